@@ -63,13 +63,12 @@ def per_species_muddiness(det: DataFrame, arm: list[str], cfg: Muddiness = Muddi
     Counts are range frames over a window's own scores (at most one row per class), so no pair of
     species is ever formed.
     """
-    s = F.col("score_raw").cast("double")
-    d = det.where("hit").withColumn("_s", s)
+    d = det.where("hit").withColumn("_s", F.col("score_raw").cast("double")).withColumn("_imp", F.col("implausible").cast("long"))
     win = Window.partitionBy(*arm, *WIN)
-    near = win.orderBy("_s").rangeBetween(-cfg.delta, Window.unboundedFollowing)
-    imp = F.col("implausible").cast("long")
+    by = ", ".join([*arm, *WIN])
+    near = f"OVER (PARTITION BY {by} ORDER BY _s RANGE BETWEEN {float(cfg.delta)}D PRECEDING AND UNBOUNDED FOLLOWING)"
     f = d.select(
-        *arm, "species_key", "_s", (F.count(F.lit(1)).over(near) - 1).alias("c"), (F.sum(imp).over(near) - imp).alias("ic"),
+        *arm, "species_key", "_s", F.expr(f"count(1) {near} - 1").alias("c"), F.expr(f"sum(_imp) {near} - _imp").alias("ic"),
         F.try_divide(F.sum(F.when(F.col("implausible"), F.col("_s")).otherwise(0.0)).over(win), F.sum("_s").over(win)).alias("m"))
     return f.groupBy(*arm, "species_key").agg(
         F.count(F.lit(1)).alias("windows"), F.avg("_s").alias("mean_score"), F.avg("c").alias("companions"),

@@ -254,9 +254,9 @@ def span_counts(df: DataFrame, keys: list[str], span_s: float, order: str = "sta
     """
     blk = F.floor(F.col(order) / span_s)
     d = df.withColumn("_own", blk).withColumn("_blk", F.explode(F.array(blk, blk - 1)))
-    w = Window.partitionBy(*keys, "_blk").orderBy(order)
-    upto = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, span_s))
-    edge = F.count(F.lit(1)).over(w.rangeBetween(span_s, span_s))
+    over = f"OVER (PARTITION BY {', '.join([*keys, '_blk'])} ORDER BY {order} RANGE BETWEEN"
+    upto = F.expr(f"count(1) {over} CURRENT ROW AND {float(span_s)}D FOLLOWING)")
+    edge = F.expr(f"count(1) {over} {float(span_s)}D FOLLOWING AND {float(span_s)}D FOLLOWING)")
     return d.withColumn("in_span", upto - edge).where(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
 
 

@@ -91,7 +91,7 @@ def detection_overview(cov: DataFrame, thetas: DataFrame, arm: list[str]) -> Dat
 
 
 def species_index(aligned: DataFrame, ann: DataFrame, arm: list[str]) -> DataFrame:
-    wins = aligned.groupBy(*arm, "species_key").agg(F.count_if(POS).alias("opportunity"))
+    wins = aligned.groupBy(*arm, "species_key").agg(F.count_if(F.expr(POS)).alias("opportunity"))
     boxes = ann.groupBy("species_key", "recording_id").agg(
         F.count(F.lit(1)).alias("b"), F.sum(F.col("end_s") - F.col("start_s")).alias("s")).groupBy("species_key").agg(
         F.sum("b").alias("boxes"), F.sum("s").alias("seconds"), F.count(F.lit(1)).alias("recordings"))
@@ -114,7 +114,7 @@ def mistaken_for(lab: DataFrame, arm: list[str], top: int = 8, quantile: bool =
     hits = lab.where("hit").select(*arm, *WIN, "species_key", "y_true", "score")
     both = missed.join(hits, [*arm, *WIN]).where(F.col("focal") != F.col("species_key"))
     t = both.groupBy(*arm, "focal", "species_key").agg(
-        F.count(F.lit(1)).alias("windows"), F.count_if(POS).alias("also_annotated"))
+        F.count(F.lit(1)).alias("windows"), F.count_if(F.expr(POS)).alias("also_annotated"))
     if quantile:
         from chorale.operators.prefix import exact_quantiles
         t = t.join(exact_quantiles(both, [*arm, "focal", "species_key"], "score", {"median_score": 0.5}),
@@ -167,7 +167,7 @@ def singing_outcomes(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 def per_species(lab: DataFrame, boxes: DataFrame, arm: list[str]) -> DataFrame:
     k = [*arm, "species_key"]
-    win = lab.groupBy(*k).agg(F.count_if(POS).alias("n_positive"), F.count_if("hit").alias("reported"),
+    win = lab.groupBy(*k).agg(F.count_if(F.expr(POS)).alias("n_positive"), F.count_if("hit").alias("reported"),
                               F.count_if(F.col("hit") & (F.col("y_true") == 1)).alias("right"))
     voc = boxes.where("outcome <> 'not asked'").groupBy(*k).agg(
         F.count(F.lit(1)).alias("vocalisations"), F.count_if(F.col("outcome") == "found").alias("found_n"))
@@ -288,7 +288,7 @@ def summary(lab: DataFrame, boxes: DataFrame, ann: DataFrame, recordings: DataFr
     ah = lab.select(*arm, "recording_id").distinct().join(hours_of(recordings), "recording_id").groupBy(*arm).agg(
         F.sum("hours").alias("hours"))
     rep = report_outcomes(lab, arm)
-    pos = lab.groupBy(*arm).agg(F.count_if(POS).alias("positives"))
+    pos = lab.groupBy(*arm).agg(F.count_if(F.expr(POS)).alias("positives"))
     sing = singing_outcomes(boxes, arm).select(*arm, F.col("found").alias("f"), F.col("hid_real").alias("fh"), F.col("missed").alias("fm"))
     fph = false_per_hour(false_events(lab, arm, block_s), ah, arm).select(*arm, "false_per_hour")
     out = ah.join(rep, arm, "left").fillna(0, ["correct", "hid_real", "wrong", "caught_mistake"]).join(pos, arm).join(
