@@ -97,6 +97,19 @@ def apply_rules(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) -> DataF
     return picked.select(*keys, F.col("_n_pos").alias("n_pos"), *cols)
 
 
+def floor_thetas(curve: DataFrame, keys: list[str], floors, min_support: int = 10) -> DataFrame:
+    """(keys, n_pos, thetas): the theta of many precision floors in one slim aggregation, as an array of (floor, theta).
+
+    Recall grows with tp, so the deepest point that holds the floor is the largest (tp, theta).
+    """
+    ok = (F.col("tp") + F.col("fp") >= min_support) & (F.col("n_pos") > 0)
+    deepest = F.struct("tp", "theta")
+    return curve.groupBy(*keys).agg(
+        F.max("n_pos").alias("n_pos"),
+        F.array(*[F.struct(F.lit(float(p)).alias("floor"),
+                           F.max(F.when(ok & (F.col("precision") >= p), deepest))["theta"].alias("theta")) for p in floors]).alias("thetas"))
+
+
 def rule_rows(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) -> DataFrame:
     """The same, long: one row per (keys, rule)."""
     wide = apply_rules(curve, keys, rules)

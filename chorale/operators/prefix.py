@@ -26,29 +26,25 @@ def linear_bin(x: Column, per_unit: int = 65536) -> Column:
 
 
 def running_totals(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], descending: bool = True,
-                   bin_of=score_bin, frame_end: int = 0) -> DataFrame:
+                   bin_of=score_bin, frame_end: int = 0, ties: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative sums in value order per key, plus the key's total of each as ``total_<name>``.
 
     ``df`` holds one row per (keys, value): collapse ties first. ``sums`` maps the output column to
     the summed one. ``frame_end=-1`` leaves the row itself out.
     """
-    binned = df.withColumn("_bin", bin_of(F.col(value)))
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    inner = Window.partitionBy(*keys, "_bin").orderBy(direction(value)).rowsBetween(
+    inner = Window.partitionBy(*keys, "_bin").orderBy(direction(value), *ties).rowsBetween(
         Window.unboundedPreceding, frame_end)
     outer = Window.partitionBy(*keys).orderBy(direction("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
-    offsets = totals.select(
-        *keys, "_bin",
-        *[F.coalesce(F.sum(f"_t_{o}").over(outer), F.lit(0)).alias(f"_o_{o}") for o in sums],
+    zero = F.lit(0)
+    binned = df.select("*", bin_of(F.col(value)).alias("_bin"))
+    offsets = binned.groupBy(*keys, "_bin").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()]).select(
+        *keys, "_bin", *[F.coalesce(F.sum(f"_t_{o}").over(outer), zero).alias(f"_o_{o}") for o in sums],
         *[F.sum(f"_t_{o}").over(whole).alias(f"total_{o}") for o in sums])
-    inside = binned.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_i_{o}")
-                                  for o, c in sums.items()])
-    out = inside.join(offsets, [*keys, "_bin"])
-    for o in sums:
-        out = out.withColumn(o, F.col(f"_i_{o}") + F.col(f"_o_{o}"))
-    return out.drop("_bin", *[f"_i_{o}" for o in sums], *[f"_o_{o}" for o in sums])
+    inside = binned.select("*", *[F.coalesce(F.sum(c).over(inner), zero).alias(f"_i_{o}") for o, c in sums.items()])
+    return inside.join(offsets, [*keys, "_bin"]).select(
+        *df.columns, *[(F.col(f"_i_{o}") + F.col(f"_o_{o}")).alias(o) for o in sums], *[f"total_{o}" for o in sums])
 
 
 def positions(df: DataFrame, keys: list[str], value: str, descending: bool = True, bin_of=score_bin) -> DataFrame:

@@ -29,12 +29,13 @@ cte("fev", """SELECT run_id, recording_id, species_key, count(*) FILTER (prev IS
 
 
 def lab(spark, d):
-    hidden = tb.detections(spark, d).where("implausible")
-    return oc.label_windows(tb.aligned(spark, d), tb.species(spark, d), ["species_key"], hidden, ARM)
+    return tb.stored(spark, d, "lab", lambda: oc.label_windows(
+        tb.aligned(spark, d), tb.species(spark, d), ["species_key"], tb.detections(spark, d).where("implausible"), ARM))
 
 
 def cov(spark, d, frame=None):
-    return oc.vocalisation_outcomes(oc.box_coverage(lab(spark, d) if frame is None else frame, tb.annotations(spark, d), ARMS, ARM, BUCKET))
+    return tb.stored(spark, d, "boxes", lambda: oc.vocalisation_outcomes(
+        oc.box_coverage(lab(spark, d), tb.annotations(spark, d), ARMS, ARM, BUCKET)))
 
 
 def _counts_sql(keys: str) -> str:

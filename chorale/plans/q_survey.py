@@ -70,11 +70,12 @@ def _ties(spark, d):
 
 
 def bars(spark, d):
-    return sv.fit_bars(_ties(spark, d), ARM, SPEC)
+    return tb.stored(spark, d, "bars", lambda: sv.fit_bars(_ties(spark, d), ARM, SPEC))
 
 
 def ev(spark, d, spans=()):
-    return sv.evidence(sv.species_only(tb.detections(spark, d), ARM), bars(spark, d), ARM, ARM, spans)
+    return tb.stored(spark, d, f"evidence{spans}", lambda: sv.evidence(
+        sv.species_only(tb.detections(spark, d), ARM), bars(spark, d), ARM, ARM, spans))
 
 
 @query("V2_fit_bars", "SELECT run_id, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, species_key, round(theta, 6) AS theta FROM bars")
@@ -232,7 +233,8 @@ cte("s_sweep", sweep_sql("evid", "s_uni", "run_id", "SELECT run_id, count(*) AS
 
 
 def sweep(spark, d):
-    return sv.sweep(ev(spark, d), RULE, truth_by_run(spark, d), recs_by_run(spark, d), ARM, label_set(spark, d))
+    return tb.stored(spark, d, "sweep", lambda: sv.sweep(
+        ev(spark, d), RULE, truth_by_run(spark, d), recs_by_run(spark, d), ARM, label_set(spark, d)))
 
 
 CELL = ("check_floor", "floor")
@@ -260,8 +262,8 @@ def v14(spark, d):
 def shared_sql(src: str, keys: str) -> str:
     lead = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
-    return f"""SELECT {lead}check_floor, floor, k, {', '.join(f'avg({s}) AS {s}' for s in sv.STATS)} FROM {src} GROUP BY ALL HAVING count(*) FILTER ({FEAS}) = 2
- QUALIFY row_number() OVER ({part} ORDER BY {PREF}) = 1"""
+    return f"""SELECT * FROM (SELECT {lead}check_floor, floor, k, {', '.join(f'avg({s}) AS {s}' for s in sv.STATS)} FROM {src} GROUP BY {lead}check_floor, floor, k
+ HAVING count(*) FILTER ({FEAS}) = 2) QUALIFY row_number() OVER ({part} ORDER BY {PREF}) = 1"""
 
 
 @query("V15_best_shared", f"SELECT check_floor, floor, k::BIGINT AS k, {_SW} FROM ({shared_sql('s_sweep', '')})")
@@ -307,6 +309,16 @@ cte("h_shared", _held_sql("SELECT run_id, fold, check_floor, floor, k FROM f_sha
 
 def held(spark, d):
     r = tb.recordings(spark, d)
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _HELD:
+        _HELD[key] = _held_out(spark, d, r)
+    return _HELD[key]
+
+
+_HELD: dict = {}
+
+
+def _held_out(spark, d, r):
     return sv.held_out(tb.aligned(spark, d), sv.species_only(tb.detections(spark, d), ARM), sv.fold_of(r, FOLDS, 1), list(range(FOLDS)), RULE, SPEC,
                        truth(spark, d), recs(spark, d), CONS, label_set(spark, d), MODELS)
 

@@ -28,14 +28,15 @@ def cte(name: str, body: str) -> None:
 def with_ctes(body: str) -> str:
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, path: tuple[str, ...]) -> None:
         for word in re.findall(r"\b[a-z_0-9]+\b", text):
+            if word in path:
+                raise ValueError(f"SQL block {word} mentions itself: {path}")
             if word in CTES and word not in needed:
-                visit(CTES[word])
-                if word not in needed:
-                    needed.append(word)
+                visit(CTES[word], (*path, word))
+                needed.append(word)
 
-    visit(body)
+    visit(body, ())
     if not needed:
         return body.strip()
     chain = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in needed)

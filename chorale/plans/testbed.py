@@ -6,6 +6,7 @@ first so that any engine gets the same values.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,20 @@ CHUNK_S = 43200.0
 RUNS = {"runA": (21600.0, 7919), "runB": (32400.0, 104729)}
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A derived frame that a project keeps as a table (aligned frame, index, evidence), kept for the session.
+
+    Persisted to memory and disk: a lost executor's part is recomputed from the given tables.
+    """
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _STORED[key]
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -108,17 +123,18 @@ def score_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     """The dense (run, window, species) frame with truth, on each run's own grid."""
-    return align_windows(score_windows(spark, d), list(SPECIES), list(SPECIES), annotations(spark, d),
-                         bucket_s=21600.0)
+    return stored(spark, d, "aligned", lambda: align_windows(
+        score_windows(spark, d), list(SPECIES), list(SPECIES), annotations(spark, d), bucket_s=21600.0))
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
     """The index in the DETECTIONS shape (all scored classes), with replayed occurrence and judge columns."""
     from chorale.operators.index import apply_occurrence, rank_windows
-    ranked = rank_windows(scored(spark, d))
-    occ = species(spark, d).select("species_key", F.col("occ").cast("float").alias("occ"))
-    det = apply_occurrence(ranked, occ, ["species_key"], 0.3)
-    return det.withColumn("implausible", F.col("suppressed"))
+    def build():
+        occ = species(spark, d).select("species_key", F.col("occ").cast("float").alias("occ"))
+        return apply_occurrence(rank_windows(scored(spark, d)), occ, ["species_key"], 0.3).withColumn(
+            "implausible", F.col("suppressed"))
+    return stored(spark, d, "detections", build)
 
 
 def thresholded(spark: SparkSession, d: str) -> DataFrame:
