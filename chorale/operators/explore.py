@@ -135,7 +135,7 @@ def activity_bins(windows: DataFrame, recordings: DataFrame, n_bins: int, block_
     b = _bins(spans.join(dur, "recording_id"), n_bins)
     ov = F.greatest(F.lit(0.0), F.least(F.col("end_s"), (F.col("bin") + 1) * F.col("bin_s")) - F.greatest(F.col("start_s"), F.col("bin") * F.col("bin_s")))
     cov = b.groupBy("recording_id", "bin").agg(F.sum(ov).alias("c"))
-    grid = dur.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).cast("long"))
+    grid = dur.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
     return grid.join(cov, ["recording_id", "bin"], "left").select(
         "recording_id", "bin", F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0)) / F.col("bin_s")).alias("activity"))
 
