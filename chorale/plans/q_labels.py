@@ -249,7 +249,7 @@ cte("act_spans", """SELECT recording_id, min(start_s) AS s, max(end_s) AS e FROM
  FROM (SELECT *, max(end_s) OVER (PARTITION BY recording_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM act)) GROUP BY recording_id, g""")
 
 
-@query("X12_X13_activity_bins", f"""SELECT e.recording_id, b.bin, round(least(1.0, coalesce(sum(least(s.e, (b.bin + 1) * 64800) - greatest(s.s, b.bin * 64800)), 0) / 64800), 6) AS activity FROM e_rec e CROSS JOIN range(0, {NB}) b(bin)
+@query("X12_X13_activity_bins", f"""SELECT e.recording_id, b.bin, round(least(1.0, coalesce(sum(least(s.e, (b.bin + 1) * 64800) - greatest(s.s, b.bin * 64800)) FILTER (s.s IS NOT NULL), 0) / 64800), 6) AS activity FROM e_rec e CROSS JOIN range(0, {NB}) b(bin)
  LEFT JOIN act_spans s ON s.recording_id = e.recording_id AND s.s < (b.bin + 1) * 64800 AND s.e > b.bin * 64800 GROUP BY 1, 2""")
 def x13(spark, d):
     """The union of both runs' guide windows, as a share of every bin."""
