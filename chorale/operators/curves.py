@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators.prefix import running_totals
 from chorale.params import DEFAULT_RULES, RANK_RESOLUTION_FLOOR, Rule
+from chorale.session import cut
 
 
 def tie_counts(aligned: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +143,7 @@ def summary(aligned: DataFrame, arm: list[str], rules=DEFAULT_RULES, min_positiv
     The pooled curve starts from the per-species tie counts, so the frame is scanned once.
     """
     keys = [*arm, "species_key"]
-    ties = tie_counts(aligned, keys)
+    ties = cut(tie_counts(aligned, keys))
     table = per_species_table(curve_from_ties(ties, keys), keys, rules=())
     pooled = ties.groupBy(*arm, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     micro = curve_from_ties(pooled, arm)

@@ -13,6 +13,7 @@ from chorale.functions.names import genus
 from chorale.operators.intervals import any_overlap, flat_overlap, interval_join
 from chorale.operators.prefix import exact_quantiles, kth_largest
 from chorale.params import Muddiness
+from chorale.session import cut
 
 WIN = ["recording_id", "start_s"]
 
@@ -154,7 +155,8 @@ def theta_for_count(det: DataFrame, arm: list[str], target) -> DataFrame:
 def with_budgets(det: DataFrame, arm: list[str], budgets: list[int]) -> DataFrame:
     """Detections once per budget with that budget's matched theta and ``hit``."""
     b = det.withColumn("budget", F.explode(F.array(*[F.lit(int(x)) for x in budgets])))
-    th = kth_largest(b.select(*arm, "budget", "score_raw"), [*arm, "budget"], "score_raw", F.col("budget")).drop("total")
+    # one row per arm and budget, read by every part of a league
+    th = cut(kth_largest(b.select(*arm, "budget", "score_raw"), [*arm, "budget"], "score_raw", F.col("budget")).drop("total"))
     return b.join(th, [*arm, "budget"]).withColumn("hit", F.col("score_raw").cast("double") >= F.col("theta"))
 
 

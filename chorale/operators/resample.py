@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators.outcomes import false_events
 from chorale.params import MIN_UNITS
+from chorale.session import cut
 
 COUNTS = ("reported", "right", "positives", "songs_found", "songs", "false_events", "hours")
 STATS = {"precision": ("right", "reported"), "window_recall": ("right", "positives"),
@@ -80,6 +81,7 @@ def intervals(stats: DataFrame, arm: list[str], names: list[str], level: float =
 def bootstrap(per_rec: DataFrame, arm: list[str], n: int = 1000, seed: int = 0, level: float = 0.95,
               draws: DataFrame | None = None, min_units: int = MIN_UNITS) -> DataFrame:
     """(arm, stat, value, lo, hi); no interval below ``min_units`` recordings."""
+    per_rec = cut(per_rec)  # one row per arm and recording, read three times
     sums = replicate_sums(per_rec, arm, list(COUNTS), n, seed, draws)
     iv = intervals(sums.select(*arm, *[c.alias(s) for s, c in ratios().items()]), arm, list(STATS), level)
     units = per_rec.groupBy(*arm).agg(F.count(F.lit(1)).alias("_units"))
@@ -93,8 +95,8 @@ def bootstrap(per_rec: DataFrame, arm: list[str], n: int = 1000, seed: int = 0,
 def paired(a: DataFrame, b: DataFrame, n: int = 1000, seed: int = 0, level: float = 0.95,
            draws: DataFrame | None = None, min_units: int = MIN_UNITS) -> DataFrame:
     """a - b on the recordings both have, the same resample for both: (stat, diff, lo, hi, verdict)."""
-    both = a.select("recording_id", *[c for c in a.columns if c == "idx"], *[F.col(c).alias(f"a_{c}") for c in COUNTS]).join(
-        b.select("recording_id", *[F.col(c).alias(f"b_{c}") for c in COUNTS]), "recording_id")
+    both = cut(a.select("recording_id", *[c for c in a.columns if c == "idx"], *[F.col(c).alias(f"a_{c}") for c in COUNTS]).join(
+        b.select("recording_id", *[F.col(c).alias(f"b_{c}") for c in COUNTS]), "recording_id"))
     cols = [f"{p}_{c}" for p in "ab" for c in COUNTS]
     diff = {s: ratios("a_")[s] - ratios("b_")[s] for s in STATS}
     sums = replicate_sums(both, [], cols, n, seed, draws)

@@ -318,6 +318,11 @@ def held(spark, d):
 _HELD: dict = {}
 
 
+def forget_held_out():
+    """Forget the held-out assessment, so that the next call computes it again (bench)."""
+    _HELD.clear()
+
+
 def _held_out(spark, d, r):
     return sv.held_out(tb.aligned(spark, d), sv.species_only(tb.detections(spark, d), ARM), sv.fold_of(r, FOLDS, 1), list(range(FOLDS)), RULE, SPEC,
                        truth(spark, d), recs(spark, d), CONS, label_set(spark, d), MODELS)

@@ -6,12 +6,12 @@ first so that any engine gets the same values.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.operators.align import align_windows
 from chorale.plans.registry import cte
+from chorale.session import cut
 
 # --- fixed values: the label space of the fixtures (name, index in the vocabulary) ---
 SPECIES = ("Catharus guttatus", "Catharus ustulatus", "Corvus corax", "Engine", "Poecile gambeli",
@@ -28,13 +28,11 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """A derived frame that a project keeps as a table (aligned frame, index, evidence), kept for the session.
-
-    Persisted to memory and disk: a lost executor's part is recomputed from the given tables.
-    """
+    """A derived frame that a project keeps as a table (aligned frame, index, evidence): written once per session
+    to the cluster's shared folder, so later plans start from a scan."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _STORED:
-        _STORED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _STORED[key] = cut(build())
     return _STORED[key]
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "chorale", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -25,11 +26,23 @@ def local_session(app: str = "chorale", cores: int | str = "*", shuffle_partitio
     return spark
 
 
+_MADE: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a new one per session only where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _MADE[app]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame as a written table in the shared folder: a short plan, computed once, safe when executors are lost."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/chorale-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
