@@ -10,9 +10,9 @@ from chorale.params import SurveyRule
 
 def complete_runs(scored: DataFrame, recordings: DataFrame, keys: list[str]) -> DataFrame:
     """Runs that scored every recording, by distinct (run, recording) pairs."""
-    n = recordings.agg(F.count(F.lit(1)).alias("_all"))
+    n = recordings.agg(F.count(F.lit(1))).scalar()
     per = scored.select(*keys, "recording_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("scored"))
-    return per.join(F.broadcast(n), F.col("scored") >= F.col("_all")).drop("_all")  # n is one row
+    return per.where(F.col("scored") >= n)
 
 
 def usable(setups: DataFrame, scored: DataFrame, recordings: DataFrame) -> DataFrame:

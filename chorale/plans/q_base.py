@@ -286,8 +286,8 @@ def i4(spark, d):
 @query("I4_truth_covered", "SELECT recording_id, sum(end_s - start_s) AS covered_s, (SELECT count(*) FROM truth_boxes WHERE species_key = 'unknown bird') AS n_unknown FROM closedc GROUP BY 1")
 def i4b(spark, d):
     t = _truth(spark, d)
-    n = t["unknown"].agg(F.count(F.lit(1)).alias("n_unknown"))
-    return t["covered"].join(F.broadcast(n)).select("recording_id", "covered_s", "n_unknown")  # n is one row
+    n = t["unknown"].agg(F.count(F.lit(1))).scalar()
+    return t["covered"].select("recording_id", "covered_s", n.alias("n_unknown"))
 
 
 @query("I4_imported_truth", "SELECT recording_id, 0.0::DOUBLE AS start_s, duration_s AS end_s FROM e_rec WHERE labelled")
