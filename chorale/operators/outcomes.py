@@ -41,12 +41,12 @@ def counts(lab: DataFrame, keys: list[str]) -> DataFrame:
         "recall", F.try_divide(F.col("caught"), F.col("opportunity")))
 
 
-def box_coverage(lab: DataFrame, ann: DataFrame, arms: DataFrame, arm: list[str], bucket_s: float,
+def box_coverage(lab: DataFrame, ann: DataFrame, arms: list[dict], arm: list[str], bucket_s: float,
                  floor_s: float = MIN_OVERLAP_S) -> DataFrame:
     """One row per (arm, box): the windows it owns, how many fired (shown / hidden), the best score.
 
     The windows a box owns are exactly those alignment labelled positive for it, so only positive
-    rows are joined. ``arms``: the arms to list every box for.
+    rows are joined. ``arms``: the key values of the arms to list every box for.
     """
     pos = lab.where(POS).select(*arm, *WIN, "end_s", "species_key", "score", "hit", "hidden")
     rule = lambda a, b, c, d: labels_window(a, b, c, d, floor_s)
@@ -56,8 +56,10 @@ def box_coverage(lab: DataFrame, ann: DataFrame, arms: DataFrame, arm: list[str]
         F.count(F.lit(1)).alias("windows"), F.count_if("hit").alias("caught"),
         F.count_if(F.col("hit") & ~F.col("hidden")).alias("shown"), F.count_if(F.col("hit") & F.col("hidden")).alias("hid"),
         F.max("score").cast("double").alias("best_score"))
-    names = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in a.items()]) for a in arms]) if isinstance(arms, list) else None
-    every = ann.withColumn("_a", F.explode(names)).select("*", "_a.*").drop("_a") if names is not None and arm else ann
+    every = ann
+    if arm:
+        listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in a.items()]) for a in arms])
+        every = ann.withColumn("_a", F.explode(listed)).select("*", "_a.*").drop("_a")
     return every.join(per, [*arm, "box_id"], "left").fillna(0, ["windows", "caught", "shown", "hid"]).withColumn(
         "duration_s", F.col("end_s") - F.col("start_s")).withColumn("detected", F.col("caught") > 0)
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from chorale.operators import curves as cv
 from chorale.operators import forensics as fx
-from chorale.operators import outcomes as oc
 from chorale.operators import thresholds as th
 from chorale.params import Muddiness, RuleSpec
 from chorale.plans import testbed as tb
