@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale.llm import mixing, topk
+from chorale.llm import mixing, secrets, topk
 from chorale.llm.registry import query
 from chorale.llm.store import Scratch, table
 
@@ -60,3 +60,12 @@ FROM p LEFT JOIN n ON p.h = n.h AND p.source IS NOT DISTINCT FROM n.source
 def op2_mix_sources(spark, d):
     scratch = Scratch(spark)
     return scratch.keep(mixing.mix(table(spark, d, "documents"), scratch))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, d):
+    found = secrets.scan(table(spark, d, "documents"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

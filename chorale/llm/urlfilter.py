@@ -53,7 +53,7 @@ def judged(addresses: DataFrame, rules: DataFrame) -> DataFrame:
         "ruled", F.col("best.r_verdict")).drop("fit", "best")
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def page_links(pages: DataFrame, scratch: Scratch, url: str = "url", html: str = "html") -> DataFrame:
     """(url, target): canonical links and immediate refreshes that pages declare, targets made absolute.
 
     Only pages whose markup mentions either are searched. Targets relative to the host or to the page's folder are
@@ -67,7 +67,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     turn = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"'\s>]+)", 1)
     to = F.replace(F.when(canonical, href).when(refresh, turn), F.lit("&amp;"), F.lit("&"))
-    links = tags.where(canonical | refresh).select("url", to.alias("to")).where("to <> ''")
+    links = scratch.cut(tags.where(canonical | refresh).select("url", to.alias("to")).where("to <> ''"))
     scheme, site = F.regexp_extract("url", r"^([^:/?#]*):", 1), F.regexp_extract("url", r"(?s)^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract("url", r"(?s)^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     whole = (F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
@@ -86,7 +86,7 @@ def filter_urls(pages: DataFrame, links: DataFrame, rules: DataFrame, scratch: S
     host, path, address = parts(F.col(url))
     own = pages.drop("host", "path", "rule", "verdict", "address_", "ruled").withColumns({"host": host, "path": path, "address_": address})
     own = judged(own, rules)
-    ends = links.select(parts(F.col("url"))[2].alias("a"), parts(F.col("target"))[2].alias("b")).where("a <> b")
+    ends = scratch.cut(links.select("url", "target")).select(parts(F.col("url"))[2].alias("a"), parts(F.col("target"))[2].alias("b")).where("a <> b")
     ends = scratch.cut(ends.distinct())
     if ends.isEmpty():
         return own.withColumn("verdict", F.coalesce("ruled", F.lit("allow"))).drop("ruled", "address_")
