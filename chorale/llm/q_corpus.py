@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale.llm import mixing, secrets, topk
+from chorale.llm import mixing, neardup, secrets, topk
 from chorale.llm.registry import query
 from chorale.llm.store import Scratch, table
 
@@ -69,3 +69,22 @@ def op7_secret_scan(spark, d):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "literal")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query("op8_near_duplicates", sql=r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+z AS (SELECT r, count(*)::bigint AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN z x ON x.r = a JOIN z y ON y.r = b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c(r, o) AS (SELECT r, r FROM w UNION SELECT c.r, t.b FROM c JOIN t ON c.o = t.a),
+m AS (SELECT c.r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.o GROUP BY c.r)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id, w.doc_id IS NOT DISTINCT FROM m.component_id AS kept FROM w JOIN m ON w.r = m.r LEFT JOIN z ON z.r = w.r
+""")
+def op8_near_duplicates(spark, d):
+    scratch = Scratch(spark)
+    found = neardup.near_duplicates(table(spark, d, "documents"), scratch, percent=85)
+    return scratch.keep(found.select("doc_id", "n_shingles", "component_id", "kept"))
