@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most passes over one source.
 PASSES = 3
 #: Rows meant for one slice of a source or of virtual time.
-SLICE = 4_000
+SLICE = 1_000
 #: Slices summed together when the end of the budget is looked for.
 COARSE = 1_000
 #: Weights by rank of the source, repeating.
