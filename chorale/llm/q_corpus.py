@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale.llm import mixing, neardup, secrets, topk
+from chorale.llm import decontaminate, lines, mixing, neardup, secrets, topk
 from chorale.llm.registry import query
 from chorale.llm.store import Scratch, table
 
@@ -88,3 +88,15 @@ def op8_near_duplicates(spark, d):
     scratch = Scratch(spark)
     found = neardup.near_duplicates(table(spark, d, "documents"), scratch, percent=85)
     return scratch.keep(found.select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+@query("op9_repeated_lines")
+def op9_repeated_lines(spark, d):
+    scratch = Scratch(spark)
+    return scratch.keep(lines.repeated_units(table(spark, d, "documents"), scratch))
+
+
+@query("op10_benchmark_leaks")
+def op10_benchmark_leaks(spark, d):
+    scratch = Scratch(spark)
+    return scratch.keep(decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), scratch))
