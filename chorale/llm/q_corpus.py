@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale.llm import decontaminate, lines, mixing, neardup, secrets, topk
+from chorale.llm import decontaminate, lines, mixing, neardup, quality, secrets, topk, toxicity
 from chorale.llm.registry import query
 from chorale.llm.store import Scratch, table
 
@@ -100,3 +100,15 @@ def op9_repeated_lines(spark, d):
 def op10_benchmark_leaks(spark, d):
     scratch = Scratch(spark)
     return scratch.keep(decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), scratch))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, d):
+    scratch = Scratch(spark)
+    return scratch.keep(toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"), scratch))
+
+
+@query("op4_quality")
+def op4_quality(spark, d):
+    scratch = Scratch(spark)
+    return scratch.keep(quality.scored(table(spark, d, "documents"), table(spark, d, "labels"), scratch))
