@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chorale.llm.store import Scratch
 
@@ -167,13 +168,12 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "
     no windows and get what the calibration says of that."""
     docs = docs.drop(name)
     at = docs.columns.index(text)
-    schema = docs.schema.add(name, "double")
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def job(batches):
-        distances = Distances(sent.value) if len(sent.value.weights) else None
+        distances = Distances(model) if len(model.weights) else None
         for b in batches:
-            scores = probabilities(sent.value, b.column(at).to_pylist(), distances)
+            scores = probabilities(model, b.column(at).to_pylist(), distances)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(job, schema)
