@@ -96,7 +96,8 @@ def evidence(texts: list[str | None], distances: Distances) -> np.ndarray:
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    """Dictionaries from two thirds of the labelled texts, calibration from the others (from all, if they are few).
+    """Calibration on a third of the labelled texts with dictionaries from the others (from all, if they are few); the
+    dictionaries that are used then come from all.
 
     Toxic texts are mostly ordinary words: the toxic dictionary takes from them the words whose beginnings are far more
     frequent in toxic texts than in ordinary ones. Without both classes the model is the smoothed share of toxic texts.
@@ -108,8 +109,19 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         return none
     few = len(y) < 60
     sets = [windows(t) for t in texts]
-    learn = [i for i in range(len(y)) if few or i % 3]
     held = [i for i in range(len(y)) if few or i % 3 == 0]
+    model = Model(*_dictionaries(sets, y, [i for i in range(len(y)) if few or i % 3]), none.mean, none.scale, none.weights, none.base)
+    x, yh = evidence([texts[i] for i in held], Distances(model)), y[held].astype(float)
+    if yh.min() == yh.max():
+        x, yh = evidence(texts, Distances(model)), y.astype(float)
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    model.weights = _logistic(np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale]), yh)
+    model.toxic, model.ordinary = _dictionaries(sets, y, list(range(len(y))))
+    return model
+
+
+def _dictionaries(sets: list[set[bytes]], y: np.ndarray, learn: list[int]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary from the texts with these numbers."""
     words, begins, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
     for i in learn:
         words[y[i]].update(sets[i])
@@ -120,13 +132,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     pick = lambda counts, keep, size: b" ".join([b"", *[w for w, _ in sorted(((w, k) for w, k in counts.items() if keep(w)), key=lambda x: (x[1], x[0]))], b""])[-size:]
     plain = pick(words[0], lambda w: w[:BEGINNING] not in told, DICTIONARY_BYTES)
     telling = pick(words[1], lambda w: w[:BEGINNING] in told, DICTIONARY_BYTES // 2)
-    model = Model(plain[-DICTIONARY_BYTES // 2:] + telling + CARRIER, plain + CARRIER, none.mean, none.scale, none.weights, none.base)
-    x, yh = evidence([texts[i] for i in held], Distances(model)), y[held].astype(float)
-    if yh.min() == yh.max():
-        x, yh = evidence(texts, Distances(model)), y.astype(float)
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = _logistic(np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale]), yh)
-    return model
+    return plain[-DICTIONARY_BYTES // 2:] + telling + CARRIER, plain + CARRIER
 
 
 def _logistic(z: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
