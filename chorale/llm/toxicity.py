@@ -35,6 +35,10 @@ BEGINNING, LEAST_ODDS = 5, 2.0
 STEPS = (2, 3, 4, 5, 6, 7, 8)
 #: Distances over a window's length at which windows are counted, too.
 SHARES = (0.65, 0.72, 0.78, 0.84)
+#: Numbers that say what the distances of a text are.
+FACTS = len(STEPS) + len(SHARES) + 3
+#: Parts of the labelled texts, each calibrated with dictionaries from the others.
+FOLDS = 3
 #: Words whose distance is remembered, and windows compressed at once.
 REMEMBERED, BATCH = 1 << 19, 1 << 13
 THRESHOLD = 0.3
@@ -92,12 +96,12 @@ def evidence(texts: list[str | None], distances: Distances) -> np.ndarray:
         d = np.array([distances[w] for w in ws], float).reshape(-1, 2)
         over = [int((d[:, 0] >= x).sum()) for x in STEPS] + [int(((d[:, 1] >= x) & (d[:, 0] >= 3)).sum()) for x in SHARES]
         out.append([*(math.log1p(x) for x in over), math.log1p(len(ws)), *(math.log1p(100 * over[k] / max(1, len(ws))) for k in (1, -2))])
-    return np.array(out, float).reshape(len(texts), len(STEPS) + len(SHARES) + 3)
+    return np.array(out, float).reshape(len(texts), FACTS)
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
-    """Calibration on a third of the labelled texts with dictionaries from the others (from all, if they are few); the
-    dictionaries that are used then come from all.
+    """Calibration on each third of the labelled texts with dictionaries from the others; the dictionaries that are used
+    then come from all.
 
     Toxic texts are mostly ordinary words: the toxic dictionary takes from them the words whose beginnings are far more
     frequent in toxic texts than in ordinary ones. Without both classes the model is the smoothed share of toxic texts.
@@ -107,13 +111,14 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     none = Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), float(base))
     if not len(y) or y.min() == y.max():
         return none
-    few = len(y) < 60
     sets = [windows(t) for t in texts]
-    held = [i for i in range(len(y)) if few or i % 3 == 0]
-    model = Model(*_dictionaries(sets, y, [i for i in range(len(y)) if few or i % 3]), none.mean, none.scale, none.weights, none.base)
-    x, yh = evidence([texts[i] for i in held], Distances(model)), y[held].astype(float)
-    if yh.min() == yh.max():
-        x, yh = evidence(texts, Distances(model)), y.astype(float)
+    model = Model(b"", b"", none.mean, none.scale, none.weights, none.base)
+    x = np.zeros((len(y), FACTS))
+    for fold in range(FOLDS):
+        model.toxic, model.ordinary = _dictionaries(sets, y, [i for i in range(len(y)) if i % FOLDS != fold])
+        own = [i for i in range(len(y)) if i % FOLDS == fold]
+        x[own] = evidence([texts[i] for i in own], Distances(model))
+    yh = y.astype(float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     model.weights = _logistic(np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale]), yh)
     model.toxic, model.ordinary = _dictionaries(sets, y, list(range(len(y))))
