@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ from chorale.llm.store import Scratch
 CARRIER, END = b"qzj0xv1kw2yb3 qgf4zp5hd6rm7 ql8cn9ts0 ", bytes(range(1, 9))
 DICTIONARY_BYTES = 16 << 10
 #: Labelled texts that a model is fitted on at most, smallest hash of the id first.
-MOST_LABELS = 10_000
+MOST_LABELS = 8_000
 #: Bytes of a word's beginning by which toxic words are told, and how much likelier in toxic texts (log) it must be.
 BEGINNING, LEAST_ODDS = 5, 2.0
 #: Distances at which windows are counted.
@@ -75,17 +74,29 @@ class Distances(dict):
             d.precompute_compress(compression_params=params)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """(saved, saved over length) of each word."""
+        out = np.zeros((len(words), 2))
+        for i in range(0, len(words), BATCH):
+            parts = [CARRIER + b" " + w + b" " + END for w in words[i:i + BATCH]]
+            toxic, ordinary = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(parts)), float, len(parts)) for c in self.by)
+            out[i:i + BATCH, 0] = ordinary - toxic
+            out[i:i + BATCH, 1] = (ordinary - toxic) / [len(w) for w in words[i:i + BATCH]]
+        return out
+
     def learn(self, words: list[bytes]) -> None:
         if len(self) + len(words) > REMEMBERED:
             self.clear()
-        for i in range(0, len(words), BATCH):
-            parts = [CARRIER + b" " + w + b" " + END for w in words[i:i + BATCH]]
-            toxic, ordinary = ([len(x) for x in c.multi_compress_to_buffer(parts)] for c in self.by)
-            self.update((w, (b - a, (b - a) / len(w))) for w, a, b in zip(words[i:i + BATCH], toxic, ordinary))
+        self.update(zip(words, map(tuple, self.of(words).tolist())))
+
+
+def facts(d: np.ndarray) -> list[float]:
+    """Of a text's distances (saved, saved over length): windows beyond each step, how many there are, and shares of two."""
+    over = [int((d[:, 0] >= x).sum()) for x in STEPS] + [int(((d[:, 1] >= x) & (d[:, 0] >= 3)).sum()) for x in SHARES]
+    return [*(math.log1p(x) for x in over), math.log1p(len(d)), *(math.log1p(100 * over[k] / max(1, len(d))) for k in (1, -2))]
 
 
 def evidence(texts: list[str | None], distances: Distances) -> np.ndarray:
-    """Per text: windows beyond each distance, how many windows there are, and shares beyond two of them."""
     out = []
     for t in texts:
         ws = windows(t)
@@ -93,50 +104,61 @@ def evidence(texts: list[str | None], distances: Distances) -> np.ndarray:
             if len(distances) + len(new) > REMEMBERED:
                 new = list(ws)
             distances.learn(new)
-        d = np.array([distances[w] for w in ws], float).reshape(-1, 2)
-        over = [int((d[:, 0] >= x).sum()) for x in STEPS] + [int(((d[:, 1] >= x) & (d[:, 0] >= 3)).sum()) for x in SHARES]
-        out.append([*(math.log1p(x) for x in over), math.log1p(len(ws)), *(math.log1p(100 * over[k] / max(1, len(ws))) for k in (1, -2))])
+        out.append(facts(np.array([distances[w] for w in ws], float).reshape(-1, 2)))
     return np.array(out, float).reshape(len(texts), FACTS)
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
     """Calibration on each third of the labelled texts with dictionaries from the others; the dictionaries that are used
-    then come from all.
+    then come from all. Texts are held as numbers of words, each word once.
 
     Toxic texts are mostly ordinary words: the toxic dictionary takes from them the words whose beginnings are far more
     frequent in toxic texts than in ordinary ones. Without both classes the model is the smoothed share of toxic texts.
     """
     y = np.array(toxic, int)
-    base = (y.sum() + 1) / (len(y) + 2)
-    none = Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), float(base))
+    base = float((y.sum() + 1) / (len(y) + 2))
+    none = np.zeros(0)
     if not len(y) or y.min() == y.max():
-        return none
-    sets = [windows(t) for t in texts]
-    model = Model(b"", b"", none.mean, none.scale, none.weights, none.base)
+        return Model(b"", b"", none, none, none, base)
+    number: dict[bytes, int] = {}
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in windows(t)), np.int32) for t in texts]
+    words = sorted(number)
+    place = np.empty(len(words), np.int32)
+    for i, w in enumerate(words):
+        place[number[w]] = i
+    del number
+    docs = [place[d] for d in docs]
+    starts: dict[bytes, int] = {}
+    start_of = np.array([starts.setdefault(w[:BEGINNING], len(starts)) for w in words], np.int32)
+    fold = np.arange(len(y)) % FOLDS
     x = np.zeros((len(y), FACTS))
-    for fold in range(FOLDS):
-        model.toxic, model.ordinary = _dictionaries(sets, y, [i for i in range(len(y)) if i % FOLDS != fold])
-        own = [i for i in range(len(y)) if i % FOLDS == fold]
-        x[own] = evidence([texts[i] for i in own], Distances(model))
-    yh = y.astype(float)
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = _logistic(np.column_stack([np.ones(len(x)), (x - model.mean) / model.scale]), yh)
-    model.toxic, model.ordinary = _dictionaries(sets, y, list(range(len(y))))
-    return model
-
-
-def _dictionaries(sets: list[set[bytes]], y: np.ndarray, learn: list[int]) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary from the texts with these numbers."""
-    words, begins, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
-    for i in learn:
-        words[y[i]].update(sets[i])
-        begins[y[i]].update({w[:BEGINNING] for w in sets[i]})
-        n[y[i]] += 1
-    odds = lambda p: math.log((begins[1][p] + 0.5) / (n[1] + 1)) - math.log((begins[0][p] + 0.5) / (n[0] + 1))
-    told = {p for p, k in begins[1].items() if k >= 2 and odds(p) > LEAST_ODDS}
-    pick = lambda counts, keep, size: b" ".join([b"", *[w for w, _ in sorted(((w, k) for w, k in counts.items() if keep(w)), key=lambda x: (x[1], x[0]))], b""])[-size:]
-    plain = pick(words[0], lambda w: w[:BEGINNING] not in told, DICTIONARY_BYTES)
-    telling = pick(words[1], lambda w: w[:BEGINNING] in told, DICTIONARY_BYTES // 2)
+    for f in range(FOLDS):
+        model = Model(*_dictionaries(words, start_of, docs, y, fold != f), none, none, none, base)
+        own = np.flatnonzero(fold == f)
+        used = np.unique(np.concatenate([docs[i] for i in own])) if len(own) else np.zeros(0, np.int32)
+        d = Distances(model).of([words[i] for i in used])
+        for i in own:
+            x[i] = facts(d[np.searchsorted(used, docs[i])])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    weights = _logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), y.astype(float))
+    return Model(*_dictionaries(words, start_of, docs, y, fold >= 0), mean, scale, weights, base)
+
+
+def _dictionaries(words: list[bytes], start_of: np.ndarray, docs: list[np.ndarray], y: np.ndarray, learn: np.ndarray) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary from the texts marked in ``learn``."""
+    def count(of, size, k):
+        parts = [of(docs[i]) for i in np.flatnonzero(learn & (y == k))]
+        return np.bincount(np.concatenate(parts), minlength=size) if parts else np.zeros(size, int)
+    n = [int((learn & (y == k)).sum()) for k in (0, 1)]
+    in_words = [count(lambda d: d, len(words), k) for k in (0, 1)]
+    in_starts = [count(lambda d: np.unique(start_of[d]), int(start_of.max()) + 1 if len(words) else 1, k) for k in (0, 1)]
+    odds = np.log((in_starts[1] + 0.5) / (n[1] + 1)) - np.log((in_starts[0] + 0.5) / (n[0] + 1))
+    told = ((in_starts[1] >= 2) & (odds > LEAST_ODDS))[start_of] if len(words) else np.zeros(0, bool)
+
+    def pick(counts: np.ndarray, size: int) -> bytes:
+        order = np.argsort(-counts, kind="stable")[:size]
+        return b" ".join([b"", *[words[i] for i in order[::-1] if counts[i] > 0], b""])[-size:]
+    plain, telling = pick(np.where(told, 0, in_words[0]), DICTIONARY_BYTES), pick(np.where(told, in_words[1], 0), DICTIONARY_BYTES // 2)
     return plain[-DICTIONARY_BYTES // 2:] + telling + CARRIER, plain + CARRIER
 
 
