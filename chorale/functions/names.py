@@ -15,7 +15,7 @@ TIER_LABELS = {0: "listed", 1: "regular", 2: "vagrant", 3: "implausible"}
 def normalise_key(name: Column) -> Column:
     """Trim, collapse spaces, Genus lower rest."""
     flat = F.lower(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"\s+", " "))
-    return F.concat(F.upper(F.substring(flat, 1, 1)), F.substring(flat, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(flat, 1, 1)), F.substr(flat, F.lit(2)))
 
 
 def is_species(key: Column) -> Column:

@@ -113,7 +113,7 @@ def box_suggestions(long_scores: DataFrame, boxes: DataFrame, arm: str, bucket_s
     j = interval_join(boxes.select("box_id", "recording_id", "start_s", "end_s"), s, ["recording_id"], bucket_s, any_overlap)
     best = j.groupBy("box_id", arm, "sp").agg(F.max("score").alias("score"))
     w = Window.partitionBy("box_id", arm).orderBy(F.col("score").desc(), "sp")
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(top * 3, 30))
+    ranked = best.withColumn("rank", F.row_number().over(w))
     f = ranked.groupBy("box_id", "sp").agg(F.sum(F.lit(1.0) / F.col("rank")).alias("support"), F.max("score").alias("best_score"))
     ww = Window.partitionBy("box_id").orderBy(F.col("support").desc(), "sp")
     return f.withColumn("place", F.row_number().over(ww)).where(F.col("place") <= top).withColumnRenamed("sp", "species_key")

@@ -53,9 +53,12 @@ def leaked(recordings: DataFrame, training: DataFrame) -> DataFrame:
 
 
 def content_ref(df: DataFrame, name: str) -> DataFrame:
-    """A content-addressed ref of a working copy: order-free hash and count, in one aggregation."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.bit_xor(h).alias("h"), F.count(F.lit(1)).alias("n")).select(F.concat(
+    """A content-addressed ref of a working copy: order-free sum of row hashes, and count, in one aggregation. Repeated
+    rows add up, and a null is told from its absence."""
+    cols = sorted(df.columns)
+    h = F.xxhash64(*[F.col(c) for c in cols], *[F.isnull(c) for c in cols])
+    total = F.coalesce(F.pmod(F.sum(h.cast("decimal(38,0)")), F.lit(2 ** 63 - 1).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(total.cast("long").alias("h"), F.count(F.lit(1)).alias("n")).select(F.concat(
         F.lit(f"{name}@w"), F.substring(F.lower(F.lpad(F.hex(F.col("h").bitwiseXOR(F.xxhash64("n"))), 16, "0")), 1, 10)).alias("ref"))
 
 

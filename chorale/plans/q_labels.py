@@ -67,7 +67,7 @@ def l4(spark, d):
     r = tb.recordings(spark, d)
     v = None
     for i in range(4):
-        p = ls.publish(r.where(F.substring("recording_id", 2, 20).cast("long") % 4 == i), i)
+        p = ls.publish(r.where(F.expr("substring(recording_id, 2)").cast("long") % 4 == i), i)
         v = p if v is None else v.unionByName(p)
     return ls.next_version(v, ["site"]).select("site", *big("next_version"))
 
@@ -87,7 +87,7 @@ def l5(spark, d):
 @query("L6_whole_recordings", """SELECT recording_id, start_s, ord::BIGINT AS ord, false AS whole FROM sampled UNION ALL SELECT recording_id, start_s, (SELECT max(ord) + 1 FROM sampled) + row_number() OVER (ORDER BY r DESC, start_s) - 1, true
  FROM chunks WHERE r % 10 = 3 AND (recording_id, start_s) NOT IN (SELECT (recording_id, start_s) FROM sampled)""")
 def l6(spark, d):
-    r = F.substring("recording_id", 2, 20).cast("long")
+    r = F.expr("substring(recording_id, 2)").cast("long")
     chosen = tb.recordings(spark, d).where(r % 10 == 3).select("recording_id", (-r).alias("rank"))
     return ls.add_whole_recordings(tb.sampled(spark, d), tb.recordings(spark, d), chosen, CH).select("recording_id", "start_s", F.col("order").cast("long").alias("ord"), "whole")
 
@@ -337,7 +337,7 @@ cte("few", "SELECT * FROM checks WHERE (w * 7 + CAST(substr(recording_id, 2) AS
 
 def _few(spark, d):
     w = (F.col("start_s") / 21600).cast("long")
-    return tb.checks(spark, d).where((w * 7 + F.substring("recording_id", 2, 20).cast("long")) % 61 == 0)
+    return tb.checks(spark, d).where((w * 7 + F.expr("substring(recording_id, 2)").cast("long")) % 61 == 0)
 
 
 @query("E4_readiness", """SELECT species_key, known_yes, known_no, unsure, lib_yes, lib_no, need_yes, need_no, need_yes = 0 AND need_no = 0 AS ready, lib_yes >= 5 AND lib_no >= 3 AS covered,
@@ -439,7 +439,7 @@ cte("rare", "SELECT * FROM checks WHERE (w * 3 + CAST(substr(recording_id, 2) AS
 @query("E14_reference_picks", "SELECT species_key, recording_id, start_s, kind, greatest(0.0, start_s - 0.5) AS source_start_s FROM refs")
 def e14(spark, d):
     w = (F.col("start_s") / 21600).cast("long")
-    rare = tb.checks(spark, d).where((w * 3 + F.substring("recording_id", 2, 20).cast("long")) % 101 == 0)
+    rare = tb.checks(spark, d).where((w * 3 + F.expr("substring(recording_id, 2)").cast("long")) % 101 == 0)
     return cb.reference_picks(_kept(spark, d), rare, tb.annotations(spark, d)).select("species_key", "recording_id", "start_s", "kind", "source_start_s")
 
 

@@ -59,7 +59,7 @@ def a11(spark, d):
 
 @query("A12_stale_working_copies", "SELECT 'site' || (r % 5) AS dataset, 'night@w' || r AS truth_ref FROM e_rec WHERE r % 5 = 2 AND r <> 7")
 def a12(spark, d):
-    r = F.substring("recording_id", 2, 20)
+    r = F.expr("substring(recording_id, 2)")
     listed = tb.recordings(spark, d).select(F.col("site").alias("dataset"), F.lit("runA").alias("run_id"), F.lit("native").alias("grid"), F.concat(F.lit("night@w"), r).alias("truth_ref"))
     return st.stale_working(listed, "site2", "night", "night@w7").select("dataset", "truth_ref")
 
@@ -150,9 +150,9 @@ def a15(spark, d):
     return x.select(F.col("Filename").alias("file"), F.col("Start Time (s)").alias("start_s"), F.col("Common Name").alias("common_name"), F.col("Chunk Closed").alias("closed"))
 
 
-@query("A16_profile_upload", "SELECT species_key, min(k % 4)::BIGINT AS tier FROM e_ev WHERE species_key <> 'Engine' GROUP BY 1")
+@query("A16_profile_upload", "SELECT species_key, min(k % 4)::BIGINT AS tier FROM e_ev GROUP BY 1")
 def a16(spark, d):
-    raw = tb.events(spark, d).where("species_key <> 'Engine'").select(F.upper("species_key").alias("species"), (F.col("k") % 4).cast("string").alias("tier"))
+    raw = tb.events(spark, d).select(F.upper("species_key").alias("species"), (F.col("k") % 4).cast("string").alias("tier"))
     return im.profile_from_upload(raw, _lookup(spark, d))[0].select("species_key", *big("tier"))
 
 
@@ -206,7 +206,7 @@ def length_scorer(batches):
 @query("A22_score_run", "SELECT recording_id, count(*) AS windows, round(sum(((start_s / 21600) % 7) / 10), 4) AS mass FROM e_win WHERE run_id = 'runA' AND CAST(substr(recording_id, 2) AS BIGINT) % 3 <> 0 GROUP BY 1")
 def a22(spark, d):
     r = tb.recordings(spark, d)
-    done = r.where(F.substring("recording_id", 2, 20).cast("long") % 3 == 0)
+    done = r.where(F.expr("substring(recording_id, 2)").cast("long") % 3 == 0)
     s = im.score_run(r, done, 21600.0, 21600.0, length_scorer, "mine")
     mass = F.aggregate(F.transform("scores", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return s.groupBy("recording_id").agg(F.count(F.lit(1)).alias("windows"), F.round(F.sum(mass), 4).alias("mass"))

@@ -147,7 +147,7 @@ def label_chunks(spark: SparkSession, d: str) -> DataFrame:
     ch = recordings(spark, d).select(
         "recording_id", "site", "start_time", "duration_s",
         F.explode(F.sequence(F.lit(0), F.lit(int(DURATION_S // CHUNK_S) - 1))).alias("i"))
-    r = F.substring("recording_id", 2, 20).cast("long")
+    r = F.expr("substring(recording_id, 2)").cast("long")
     i = F.col("i")
     closed = (r + 3 * i) % 5 != 0
     at = (r * 60 + i) * 240 + F.floor((r * 60 + i) / 7) * 1800
@@ -168,7 +168,7 @@ def label_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
     """A drawn sample: chunks with (5*r + i) % 4 = 0, ordered by (i, r)."""
-    r = F.substring("recording_id", 2, 20).cast("long")
+    r = F.expr("substring(recording_id, 2)").cast("long")
     i = F.floor(F.col("start_s") / CHUNK_S)
     return label_chunks(spark, d).where((5 * r + i) % 4 == 0).select(
         "recording_id", "start_s", "end_s", (i * 100000 + r).alias("order"), F.lit("s").alias("stratum"),
@@ -178,7 +178,7 @@ def sampled(spark: SparkSession, d: str) -> DataFrame:
 def checks(spark: SparkSession, d: str) -> DataFrame:
     """Answers on run A detections: event-derived verdicts, yes where the window is truly positive."""
     al = aligned(spark, d).where((F.col("run_id") == "runA") & (F.col("score") > 0))
-    r = F.substring("recording_id", 2, 20).cast("long")
+    r = F.expr("substring(recording_id, 2)").cast("long")
     w = (F.col("start_s") / 21600).cast("long")
     h = (r * 31 + w * 17) % 7
     return al.where(h < 3).select(

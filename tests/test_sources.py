@@ -158,3 +158,22 @@ def test_score_run_resumes(spark):
     assert s.count() == 20 and s.select("recording_id").distinct().first()[0].startswith("SNE")
     assert im.window_count_warnings(s, r, 3.0, 3.0).count() == 0
     assert im.window_count_warnings(s.limit(10), r, 3.0, 3.0).count() == 1
+
+def test_scan_folder_any_case_and_long_headers(spark, tmp_path):
+    wav(tmp_path / "a.wav", 1)
+    wav(tmp_path / "B.WAV", 2)
+    plain = (tmp_path / "a.wav").read_bytes()
+    (tmp_path / "c.wav").write_bytes(plain[:12] + b"bext" + (5001).to_bytes(4, "little") + b"x" * 5002 + plain[12:])
+    got = {r.path: r.duration_s for r in im.scan_folder(spark, str(tmp_path)).collect()}
+    assert got == {"a.wav": 1.0, "B.WAV": 2.0, "c.wav": 1.0}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(im.ImportProblem):
+        im.scan_folder(spark, str(tmp_path / "none"))
+
+
+def test_content_ref_tells_repeats_and_nulls(spark):
+    from chorale.operators.runs import content_ref
+    ref = lambda rows: content_ref(spark.createDataFrame(rows, "a string, b string"), "x").first()["ref"]
+    assert ref([("a", "b")] * 2) != ref([("c", "d")] * 2)
+    assert ref([("x", None)]) != ref([(None, "x")])
+    assert ref([("a", "b"), ("c", None)]) == ref([("c", None), ("a", "b")])
