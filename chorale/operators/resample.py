@@ -8,6 +8,9 @@ generator where the number of recordings is small.
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,8 @@ from chorale.session import cut
 COUNTS = ("reported", "right", "positives", "songs_found", "songs", "false_events", "hours")
 STATS = {"precision": ("right", "reported"), "window_recall": ("right", "positives"),
          "found": ("songs_found", "songs"), "false_per_hour": ("false_events", "hours")}
-# --- fixed values: cumulative Poisson(1) probabilities P(X <= 0), P(X <= 1), ... ---
-POISSON_1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-             0.9994058151824183, 0.9999167588507119, 0.9999898050803253, 0.9999988747974149, 0.9999998885745217)
+#: Cumulative Poisson(1) probabilities P(X <= 0), P(X <= 1), ..., up to what 52 bits of a hash can reach.
+POISSON_1 = tuple(accumulate(exp(-1.0) / factorial(k) for k in range(18)))
 
 
 def per_recording(lab: DataFrame, boxes: DataFrame, hours: DataFrame, arm: list[str], block_s: float) -> DataFrame:
@@ -47,7 +49,7 @@ def point(per_rec: DataFrame, arm: list[str]) -> DataFrame:
 def poisson_weight(seed: int, rep: Column, unit: Column) -> Column:
     """A Poisson(1) count that depends only on (seed, replicate, unit)."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), unit))
-    u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0
+    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / 4503599627370496.0
     w = F.lit(0)
     for c in POISSON_1:
         w = w + (u > c).cast("int")

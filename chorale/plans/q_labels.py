@@ -144,7 +144,7 @@ def l13(spark, d):
     from chorale.operators import resample as rs
     from chorale.plans.q_outcomes import _per_rec
     p = _per_rec(spark, d)
-    w = rs.width(rs.bootstrap(p, ARM, n=200)).where("stat = 'window_recall'").join(p.groupBy(*ARM).agg(F.count(F.lit(1)).alias("recordings")), ARM)
+    w = rs.width(rs.bootstrap(p, ARM, n=1000)).where("stat = 'window_recall'").join(p.groupBy(*ARM).agg(F.count(F.lit(1)).alias("recordings")), ARM)
     lo, hi = project(F.col("width"), F.col("recordings"), F.lit(0.02))
     return w.select(*ARM, *big("recordings"), lo.alias("lo"), hi.alias("hi"))
 
@@ -398,7 +398,7 @@ def e9(spark, d):
 def e10(spark, d):
     """The band over drawn calibrations on a grid of recalls (driver-drawn 2-vectors: no SQL; tested against numpy)."""
     c = cb.calibration(tb.pool(spark, d), tb.checks(spark, d), (1.137, -0.527))
-    return cb.recall_band(c, [0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99], draws=50)
+    return cb.recall_band(c, [0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99], draws=200)
 
 
 cte("ech", """SELECT recording_id, species_key, block, p, row_number() OVER (PARTITION BY recording_id, species_key, block ORDER BY score DESC, start_s) AS i FROM (SELECT *, floor(start_s / 259200)::BIGINT AS block FROM pp)""")

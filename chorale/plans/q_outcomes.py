@@ -294,7 +294,7 @@ cte("u_rec", """SELECT l.run_id, l.recording_id, l.reported, l.rgt, l.positives,
  LEFT JOIN (SELECT run_id, recording_id, sum(events) AS n FROM fev GROUP BY 1, 2) e USING (run_id, recording_id)""")
 _POIS = " + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in rs.POISSON_1)
 cte("u_draw", f"""SELECT rep, recording_id, {_POIS} AS w FROM (SELECT rep, recording_id,
- CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM e_rec), range(0, 200) t(rep))""")
+ CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM e_rec), range(0, 1000) t(rep))""")
 cte("u_sums", """SELECT run_id, rep, sum(rgt * w) / nullif(sum(reported * w), 0) AS precision, sum(rgt * w) / nullif(sum(positives * w), 0) AS window_recall,
  sum(songs_found * w) / nullif(sum(songs * w), 0) AS found, sum(false_events * w) / nullif(sum(hours * w), 0) AS false_per_hour FROM u_rec JOIN u_draw USING (recording_id) WHERE w > 0 GROUP BY 1, 2""")
 cte("u_point", """SELECT run_id, sum(rgt) / nullif(sum(reported), 0) AS precision, sum(rgt) / nullif(sum(positives), 0) AS window_recall,
@@ -320,7 +320,7 @@ def u2(spark, d):
 @query("U3_bootstrap", " UNION ALL ".join(f"""SELECT run_id, '{s}' AS stat, round(p.{s}, 6) AS value, round(quantile_cont(u.{s}, 0.025), 6) AS lo, round(quantile_cont(u.{s}, 0.975), 6) AS hi,
  round(quantile_cont(u.{s}, 0.975) - quantile_cont(u.{s}, 0.025), 5) AS width FROM u_sums u JOIN u_point p USING (run_id) GROUP BY run_id, p.{s}""" for s in rs.STATS))
 def u3(spark, d):
-    return rs.width(rs.bootstrap(_per_rec(spark, d), ARM, n=200)).select(*ARM, "stat", *r6("value", "lo", "hi"), F.round("width", 5).alias("width"))
+    return rs.width(rs.bootstrap(_per_rec(spark, d), ARM, n=1000)).select(*ARM, "stat", *r6("value", "lo", "hi"), F.round("width", 5).alias("width"))
 
 
 @query("U4_U5_paired", " UNION ALL ".join(f"""SELECT '{s}' AS stat, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'higher' WHEN hi < 0 THEN 'lower'
@@ -328,4 +328,4 @@ def u3(spark, d):
  FROM u_sums a JOIN u_sums b USING (rep), u_point pa, u_point pb WHERE a.run_id = 'runA' AND b.run_id = 'runB' AND pa.run_id = 'runA' AND pb.run_id = 'runB')""" for s in rs.STATS))
 def u4(spark, d):
     p = _per_rec(spark, d)
-    return rs.paired(p.where("run_id = 'runA'"), p.where("run_id = 'runB'"), n=200).select("stat", *r6("diff", "lo", "hi"), "verdict")
+    return rs.paired(p.where("run_id = 'runA'"), p.where("run_id = 'runB'"), n=1000).select("stat", *r6("diff", "lo", "hi"), "verdict")

@@ -230,7 +230,7 @@ def z4(spark, d):
     f = lab(spark, d)
     card = oc.report_outcomes(f, ARM)
     total = F.col("correct") + F.col("hid_real") + F.col("wrong") + F.col("caught_mistake")
-    iv = rs.bootstrap(_per_rec(spark, d), ARM, n=200).where("stat = 'precision'").select(*ARM, "lo", "hi")
+    iv = rs.bootstrap(_per_rec(spark, d), ARM, n=1000).where("stat = 'precision'").select(*ARM, "lo", "hi")
     return card.select(*ARM, F.try_divide(F.col("correct") + F.col("hid_real"), total).alias("precision")).join(iv, ARM).select(*ARM, *r6("precision", "lo", "hi"))
 
 

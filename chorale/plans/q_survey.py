@@ -16,7 +16,7 @@ RULE = SurveyRule(Condition(0.5, 2), Condition(0.9, 10))
 SPAN_RULE = SurveyRule(Condition(0.5, 1, 86400.0), Condition(0.9, 3, 86400.0))
 SPEC = RuleSpec()
 CONS = Constraints(min_firm_precision=0.6, max_checks_per_recording=4.0)
-N_BOOT, FOLDS = 100, 3
+N_BOOT, FOLDS = 1000, 3
 MODELS = list(tb.RUNS)
 
 
@@ -193,7 +193,7 @@ def v10(spark, d):
 
 _POIS = " + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in POISSON_1)
 cte("s_draw", f"""SELECT rep, recording_id, {_POIS} AS w FROM (SELECT rep, recording_id,
- CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM e_rec), range(0, {N_BOOT}) t(rep))""")
+ CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM e_rec), range(0, {N_BOOT}) t(rep))""")
 cte("s_sums", f"""SELECT run_id, rep, {', '.join(f'{e} AS {s}' for s, e in stats_sql().items())} FROM (SELECT run_id, rep, {', '.join(f'sum({c} * w)::DOUBLE AS {c}' for c in sv.OUT)},
  sum(w) AS n_recs, sum(hours * w) AS hours FROM s_rec JOIN s_draw USING (recording_id) WHERE w > 0 GROUP BY 1, 2)""")
 
