@@ -64,12 +64,21 @@ def read_label_tracks(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"exchange": read_exchange, "selections": read_selections, "tracks": read_label_tracks}
 
 
+def recording_names(recordings: DataFrame) -> DataFrame:
+    """(k, recording_id): what a file name stands for, one row per name: the recording with that id, else the only one
+    with that file stem. A stem of several recordings stands for none (null), so that it is reported, never guessed."""
+    names = recordings.select("recording_id", F.col("recording_id").alias("k"), F.lit(True).alias("own")).union(
+        recordings.select("recording_id", file_stem(F.col("path")).alias("k"), F.lit(False).alias("own")))
+    stem = F.when(~F.col("own"), F.col("recording_id"))
+    found = names.groupBy("k").agg(F.max(F.when(F.col("own"), F.col("recording_id"))).alias("a"), F.min(stem).alias("b"), F.max(stem).alias("c"))
+    return found.select("k", F.coalesce("a", F.when(F.col("b") == F.col("c"), F.col("b"))).alias("recording_id"))
+
+
 def resolve_boxes(rows: DataFrame, recordings: DataFrame, lookup: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(boxes, unmapped names, unknown files). Nothing is dropped silently; zero-length boxes are."""
     d = rows.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).withColumn("_stem", file_stem(F.col("file"))).withColumn(
         "_head", F.substring_index(F.col("_stem"), ".", 1))
-    by = recordings.select("recording_id", F.col("recording_id").alias("k")).union(
-        recordings.select("recording_id", file_stem(F.col("path")).alias("k"))).distinct()
+    by = recording_names(recordings)
     d = d.join(lookup.select(F.col("name").alias("_l"), "species_key"), F.lower("name") == F.col("_l"), "left").drop("_l")
     unmapped = d.where(F.col("species_key").isNull()).select("name").distinct()
     ok = d.where(F.col("species_key").isNotNull())

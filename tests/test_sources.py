@@ -177,3 +177,14 @@ def test_content_ref_tells_repeats_and_nulls(spark):
     assert ref([("a", "b")] * 2) != ref([("c", "d")] * 2)
     assert ref([("x", None)]) != ref([(None, "x")])
     assert ref([("a", "b"), ("c", None)]) == ref([("c", None), ("a", "b")])
+
+
+def test_ambiguous_file_names_are_reported(spark):
+    from chorale.sources.annotations import resolve_boxes
+    rec = spark.createDataFrame([("a__x", "s1/x.wav", 60.0), ("b__x", "s2/x.wav", 60.0), ("y", "s1/y.wav", 60.0), ("z", "s1/y2.wav", 60.0)], "recording_id string, path string, duration_s double")
+    rows = spark.createDataFrame([(f, 1.0, 2.0, None, None, "n") for f in ("x.wav", "y.wav", "a__x.wav", "y2.txt")], "file string, start_s double, end_s double, low_hz double, high_hz double, name string")
+    boxes, _, unknown = resolve_boxes(rows, rec, spark.createDataFrame([("n", "Turdus merula")], "name string, species_key string"))
+    assert sorted(r["recording_id"] for r in boxes.collect()) == ["a__x", "y", "z"]
+    assert [r["file"] for r in unknown.collect()] == ["x.wav"]
+    table = spark.createDataFrame([("x.wav", "0", "3", "Turdus merula", "0.5"), ("y", "0", "3", "Turdus merula", "0.5")], "file string, start string, end string, species string, score string")
+    assert {r["recording"]: r["recording_id"] for r in im.canonical_rows(table, rec).collect()} == {"x.wav": None, "y": "y"}
