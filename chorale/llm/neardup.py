@@ -34,6 +34,8 @@ SMALL = 64
 LEVELS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)
 #: Shingles that are hashed at once.
 CHUNK = 4096
+#: Entities whose tokens differ from a centroid's by less are equally near to it; each node chooses among them anew.
+NEAR = 3
 SKETCH = ("s1", "s2", "s3", "s4")
 
 
@@ -118,8 +120,8 @@ def _hubs(large: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch)
 
     centre = scratch.cut(sample.mapInArrow(majority, "key long, s1 long, s2 long, s3 long, s4 long"))
     near = rows.alias("r").join(centre.alias("c"), F.col("r.key") == F.col("c.key")).groupBy("r.key").agg(
-        F.min(F.struct(_differ("r", "c").alias("d"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH)])).alias("x"))
-    near = scratch.cut(near.select("key", "x.*").drop("d"))
+        F.min(F.struct(F.floor(_differ("r", "c") / NEAR).alias("d"), F.xxhash64("r.fp", "r.key").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH)])).alias("x"))
+    near = scratch.cut(near.select("key", "x.*").drop("d", "o"))
     return rows.alias("a").join(near.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _fits(percent)).select(
         F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
 
