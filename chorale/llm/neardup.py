@@ -2,12 +2,14 @@
 
 Documents with equal shingle sets are one entity. In each of ``trees`` independent trees entities branch by one minwise
 token after the other; a node of at most ``small`` entities is compared exhaustively, a larger one branches on, so that
-unlike documents part while like ones stay together. A pair of similarity s in nodes of depth d is missed by all trees
-with probability (1 - s^d)^trees.
+unlike documents part while like ones stay together. A pair of similarity s shares a node of depth d in none of the trees
+with probability (1 - s^d)^trees, so trees end at the last depth where that is ``1 - RECALL`` at most.
 
 A dense group keeps its nodes large. There the entity nearest to the node's centroid is compared with all others, and
 what it links is one component from then on; afterwards only pairs of different components are compared, so that a group
-of n copies costs about n comparisons. What is still large when the tokens of a tree run out is compared in blocks.
+of n copies costs about n comparisons. Entities whose nodes are still large where their trees end meet by a prefix filter
+besides: with all shingles in one order, rarest first, two sets as alike as asked share one of the first few of each. That
+way misses no pair; it costs the square of a family whose members share nearly as much as asked, and yet are not linked.
 
 Pairs that agree on too few of 128 minwise tokens are dropped before texts are fetched (at the threshold by over five
 standard deviations); every link is confirmed on the full sets.
@@ -30,8 +32,12 @@ FUNCTIONS = 128
 TREES = 16
 #: Entities of a node that are compared exhaustively.
 SMALL = 64
-#: Tokens of a path at each level of a tree.
-LEVELS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16)
+#: Tokens of a path at each level of a tree; 16 trees of 8 tokens use each function once, so that trees are independent.
+LEVELS = (1, 2, 3, 4, 5, 6, 7, 8)
+#: Least probability that a pair at the threshold shares a node where the trees end.
+RECALL = 0.99
+#: Counters by which shingles are ordered. Any order is right; what shares a counter only counts as more frequent.
+CELLS = 1 << 18
 #: Shingles that are hashed at once.
 CHUNK = 4096
 #: Entities whose tokens differ from a centroid's by less are equally near to it; each node chooses among them anew.
@@ -92,10 +98,14 @@ def _most_differ(percent: int) -> int:
 
 def _path(tokens: int) -> F.Column:
     """Key of the node that an entity reaches in tree ``t`` after so many tokens; trees choose different functions."""
-    at = lambda i: F.get("mins", F.pmod(F.col("t") + 16 * i + 5 * (i // 8), F.lit(FUNCTIONS)))
+    at = lambda i: F.get("mins", F.col("t") + TREES * i)
     return F.xxhash64(F.col("t"), F.lit(tokens), *[at(i) for i in range(tokens)])
 
 
+def _levels(percent: int) -> tuple[int, ...]:
+    return tuple(d for d in LEVELS if 1 - (1 - (percent / 100) ** d) ** TREES >= RECALL)
+
+
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows (key, t, fp) of nodes with two entities at least, with the node's size."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -146,11 +156,47 @@ def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
         F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
 
 
+def _texts(wanted: DataFrame, entities: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, text): one text of each entity in ``wanted`` (fp)."""
+    need = wanted.join(entities.select("fp", "one"), "fp").select("fp", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    return rows.join(need, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("fp").agg(F.first("text").alias("text"))
+
+
+def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(key, fp): of each set of n shingles the n + 1 - ceil(n * percent / 100) rarest ones. Sets as alike as ``percent``
+    have as many shingles in common that they share one of these."""
+
+    def count(batches):
+        memo, seen = WordHashes(), np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                np.add.at(seen, shingle_set(t, memo, size) % np.uint64(CELLS), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["cell", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    often = np.zeros(CELLS, np.int64)
+    often[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    often = np.minimum(often, np.iinfo(np.int32).max).astype(np.int32)
+
+    def pick(batches):
+        memo = WordHashes()
+        for b in batches:
+            fps, keys = [], []
+            for fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingle_set(t, memo, size)
+                first = np.lexsort((s, often[s % np.uint64(CELLS)]))[:len(s) + 1 - -(-len(s) * percent // 100)]
+                fps += [fp] * len(first)
+                keys.append(s[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(fps, pa.binary())], names=["key", "fp"])
+
+    return texts.select("fp", "text").mapInArrow(pick, "key long, fp binary")
+
+
 def _confirmed(pairs: DataFrame, entities: DataFrame, docs: DataFrame, percent: int, size: int, doc_id: str, text: str) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(entities.select("fp", "one"), "fp").select("fp", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    texts = rows.join(need, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("fp").agg(F.first("text").alias("text"))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), entities, docs, doc_id, text)
     both = pairs.join(texts.withColumnsRenamed({"fp": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"fp": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def job(batches):
@@ -185,30 +231,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     sketches = reps.select("fp", "n", *SKETCH)
 
     rows = reps.select("fp", "mins", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("fp", "t", _path(1).alias("key"))
-    nodes, hubs = None, None
-    for i, level in enumerate(LEVELS):
+    levels = _levels(percent)
+    nodes, hubs, dense = None, None, None if levels else reps.select("fp")
+    for i, level in enumerate(levels):
         sized = scratch.cut(_sized(rows))
-        last = i + 1 == len(LEVELS)
-        done = sized if last else sized.where(F.col("size") <= SMALL)
+        done = sized.where(F.col("size") <= SMALL)
         nodes = done if nodes is None else nodes.union(done)
         large = sized.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
         found = _hubs(large, sketches, percent, scratch)
         hubs = found if hubs is None else hubs.union(found)
-        if not last:
-            rows = large.select("fp", "t").join(reps.select("fp", "mins"), "fp").select("fp", "t", _path(LEVELS[i + 1]).alias("key"))
+        if i + 1 == len(levels):
+            dense = large.select("fp").distinct()
+        else:
+            rows = large.select("fp", "t").join(reps.select("fp", "mins"), "fp").select("fp", "t", _path(levels[i + 1]).alias("key"))
 
     check = lambda p: scratch.cut(_confirmed(scratch.cut(p.distinct()), entities, docs, percent, size, doc_id, text))
-    nodes = nodes.select("key", "size", "fp").join(sketches, "fp")
-    links = None
-    if hubs is not None:
-        links = check(hubs)
-        nodes = nodes.join(components(links, scratch).withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
-    else:
-        nodes = nodes.withColumn("label", F.col("fp"))
-    more = check(_exhaustive(nodes, percent))
-    links = more if links is None else links.union(more)
+    links = scratch.cut(sketches.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)) if hubs is None else check(hubs)
+
+    def labelled():
+        named = sketches.join(components(links, scratch).withColumnRenamed("node", "fp"), "fp", "left")
+        return scratch.cut(named.withColumn("label", F.coalesce("root", "fp")).drop("root"))
+
+    if nodes is not None:
+        labels = sketches.withColumn("label", F.col("fp")) if hubs is None else labelled()
+        links = links.union(check(_exhaustive(nodes.select("key", "size", "fp").join(labels, "fp"), percent)))
+    if dense is not None:
+        first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, docs, doc_id, text)), percent, size).join(labelled(), "fp"))
+        # a shingle of one component only, such as those of a group of copies, yields no pair
+        sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "size")
+        links = links.union(check(_exhaustive(first.join(sizes, "key"), percent)))
 
     roots = components(links, scratch).withColumnRenamed("node", "fp")
     named = entities.select("fp", "first_id").join(roots, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
