@@ -99,7 +99,7 @@ def op9_repeated_lines(spark, d):
 @query("op10_benchmark_leaks")
 def op10_benchmark_leaks(spark, d):
     scratch = Scratch(spark)
-    return scratch.keep(decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), scratch))
+    return scratch.keep(decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), scratch).drop("th"))
 
 
 @query("op5_toxicity")
