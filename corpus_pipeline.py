@@ -36,11 +36,12 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, also not one with other numbers or names. Rows without an id are judged
-    together under null."""
+    """Documents that hold no benchmark item, also not one with other numbers or names. Each text is judged by itself,
+    also where rows repeat an id or have none."""
     scratch = Scratch(spark)
-    found = scratch.cut(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), scratch).select(F.col("doc_id").alias("l_id")).distinct())
-    return scratch.keep(docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("l_id")), "left_anti"))
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), scratch).select(F.col("doc_id").alias("l_id"), F.col("th").alias("l_th"))
+    rows = docs.select(*COLUMNS).withColumn("th_", F.xxhash64("text"))
+    return scratch.keep(rows.join(scratch.cut(found.distinct()), F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("th_") == F.col("l_th")), "left_anti").select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
