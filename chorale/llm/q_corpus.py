@@ -93,7 +93,8 @@ def op8_near_duplicates(spark, d):
 @query("op9_repeated_lines")
 def op9_repeated_lines(spark, d):
     scratch = Scratch(spark)
-    return scratch.keep(lines.repeated_units(table(spark, d, "documents"), scratch))
+    docs = table(spark, d, "documents")
+    return scratch.keep(lines.repeated_units(docs, scratch, least_line=1, across=True).union(lines.repeated_passages(docs, scratch)))
 
 
 @query("op10_benchmark_leaks")
