@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorale.llm import q_corpus, q_web  # noqa: F401
+from chorale.llm import q_corpus, q_text, q_web  # noqa: F401
 from chorale.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
