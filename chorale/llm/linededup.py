@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chorale.llm.store import Scratch
 
@@ -63,7 +64,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", te
     return gone.where(~F.col("d").eqNullSafe(F.col("first"))).groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _kept(texts: pa.Array, gone: pa.Array) -> pa.Array:
     out = []
     for t, g in zip(texts.to_pylist(), gone.to_pylist()):
