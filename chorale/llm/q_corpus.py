@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale.llm import decontaminate, lines, mixing, neardup, quality, secrets, topk, toxicity
+from chorale.llm import decontaminate, lines, mixing, neardup, negatives, quality, secrets, topk, toxicity
 from chorale.llm.registry import query
 from chorale.llm.store import Scratch, table
 
@@ -113,3 +113,28 @@ def op5_toxicity(spark, d):
 def op4_quality(spark, d):
     scratch = Scratch(spark)
     return scratch.keep(quality.scored(table(spark, d, "documents"), table(spark, d, "labels"), scratch))
+
+
+@query("op11_hard_negatives", sql="""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) AS w
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_dot_product(a.w, c.w)::bigint AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id IS DISTINCT FROM a.vec_id),
+p AS (
+  SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS w FROM s WHERE same QUALIFY w <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.r, p.w ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::integer AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+""")
+def op11_hard_negatives(spark, d):
+    """Anchors are rows whose id is divisible by 50; labels of ids divisible by 7 move on by one."""
+    whole = table(spark, d, "embeddings").where("label is not null").where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    ints = whole.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("w"))
+    scratch = Scratch(spark)
+    rows = scratch.cut(negatives.vectors(ints, "vec_id", "label", "w"))
+    return scratch.keep(negatives.hard_negatives(rows.where("id % 50 = 0"), rows, scratch))
