@@ -11,8 +11,10 @@ of n copies costs about n comparisons. Entities whose nodes are still large wher
 besides: with all shingles in one order, rarest first, two sets as alike as asked share one of the first few of each. That
 way misses no pair; it costs the square of a family whose members share nearly as much as asked, and yet are not linked.
 
-Pairs that agree on too few of 128 minwise tokens are dropped before texts are fetched (at the threshold by over five
-standard deviations); every link is confirmed on the full sets.
+Before texts are fetched, pairs are dropped that differ in more bits of a parity sketch than sets as alike as asked can
+(each shingle in only one of two sets turns one bit, so the test never drops a link, and for sets of up to some hundred
+shingles it leaves hardly anything else), or that agree on too few of 128 minwise tokens (by over five standard deviations
+at the threshold). Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from chorale.llm.store import Scratch
 
 FUNCTIONS = 128
 TREES = 16
+#: Trees whose small nodes are compared before those of the others.
+FIRST_TREES = 2
 #: Entities of a node that are compared exhaustively.
 SMALL = 64
 #: Tokens of a path at each level of a tree; 16 trees of 8 tokens use each function once, so that trees are independent.
@@ -43,6 +47,8 @@ CHUNK = 4096
 #: Entities whose tokens differ from a centroid's by less are equally near to it; each node chooses among them anew.
 NEAR = 3
 SKETCH = ("s1", "s2", "s3", "s4")
+#: Words of the parity sketch, 64 bits each.
+PARITY = tuple(f"o{i}" for i in range(16))
 
 
 def _multipliers() -> np.ndarray:
@@ -50,7 +56,8 @@ def _multipliers() -> np.ndarray:
 
 
 def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, th, n, fp, mins, s1..s4): set size, fingerprint of the set, minwise tokens, and two bits of each packed."""
+    """(doc_id, th, n, fp, mins, s1..s4, o0..o15): set size, fingerprint of the set, minwise tokens, two bits of each
+    packed, and for each of 1024 cells of a hash whether the set has an odd number of shingles there."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
     def job(batches):
@@ -58,7 +65,7 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
         mix, top = np.uint64(0x9E3779B97F4A7C15), np.uint64(62)
         shift = (2 * np.arange(32)).astype(np.uint64)
         for b in batches:
-            n, fp, mins, bits = [], [], [], []
+            n, fp, mins, bits, odd = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t, memo, size)
                 n.append(len(s))
@@ -66,7 +73,10 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
                     fp.append(None)
                     mins.append(None)
                     bits.append((None,) * 4)
+                    odd.append((None,) * len(PARITY))
                     continue
+                cells = np.bincount(((s * mix) >> np.uint64(54)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+                odd.append(np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64).tolist())
                 fp.append(hashlib.md5(s.tobytes()).digest())
                 low = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(s), CHUNK):
@@ -77,9 +87,10 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
                 bits.append(tuple(int(x) for x in np.bitwise_or.reduce(two, axis=1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(mins, pa.list_(pa.int32())),
-                 *[pa.array([x[i] for x in bits], pa.int64()) for i in range(4)]], names=["doc_id", "th", "n", "fp", "mins", *SKETCH])
+                 *[pa.array([x[i] for x in bits], pa.int64()) for i in range(4)], *[pa.array([x[i] for x in odd], pa.int64()) for i in range(len(PARITY))]],
+                names=["doc_id", "th", "n", "fp", "mins", *SKETCH, *PARITY])
 
-    return rows.mapInArrow(job, "doc_id long, th long, n long, fp binary, mins array<int>, s1 long, s2 long, s3 long, s4 long")
+    return rows.mapInArrow(job, "doc_id long, th long, n long, fp binary, mins array<int>, " + ", ".join(f"{c} long" for c in (*SKETCH, *PARITY)))
 
 
 def _differ(a: str, b: str) -> F.Column:
@@ -113,7 +124,7 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _hubs(large: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of each large node's entity nearest to its centroid with all others that agree enough.
+    """(fp, hub, far): each entity of a large node with the node's entity nearest to its centroid, if they agree enough.
 
     The centroid is the bitwise majority of 32 members, one for each value of a salt, picked by partial aggregation."""
     rows = scratch.cut(large.select("key", "fp").join(sketches, "fp"))
@@ -130,19 +141,35 @@ def _hubs(large: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch)
 
     centre = scratch.cut(sample.mapInArrow(majority, "key long, s1 long, s2 long, s3 long, s4 long"))
     near = rows.alias("r").join(centre.alias("c"), F.col("r.key") == F.col("c.key")).groupBy("r.key").agg(
-        F.min(F.struct(F.floor(_differ("r", "c") / NEAR).alias("d"), F.xxhash64("r.fp", "r.key").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH)])).alias("x"))
+        F.min(F.struct(F.floor(_differ("r", "c") / NEAR).alias("d"), F.xxhash64("r.fp", "r.key").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH, *PARITY)])).alias("x"))
     near = scratch.cut(near.select("key", "x.*").drop("d", "o"))
     return rows.alias("a").join(near.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _fits(percent)).select(
-        F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+        F.col("a.fp").alias("fp"), F.col("b.fp").alias("hub"), _differ("a", "b").alias("far"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, label) of all entities linked so far: components of the links between labels, so that a round costs its own links."""
+    if labels is None:
+        return components(links, scratch).withColumnsRenamed({"node": "fp", "root": "label"})
+    for end in "ab":
+        links = links.join(labels.withColumnsRenamed({"fp": end, "label": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    roots = components(links, scratch)
+    moved = labels.join(roots, F.col("label") == F.col("node"), "left").select("fp", F.coalesce("root", "label").alias("label"))
+    new = roots.join(labels.select(F.col("fp").alias("node")), "node", "left_anti").select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    return scratch.cut(moved.union(new))
 
 
 def _fits(percent: int) -> F.Column:
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    return sizes & (_differ("a", "b") <= _most_differ(percent))
+    turned = F.lit(0)
+    for o in PARITY:
+        turned = turned + F.bit_count(F.col(f"a.{o}").bitwiseXOR(F.col(f"b.{o}")))
+    # of sets with 100 * intersection >= percent * union at most this part of all members is in one set only
+    return sizes & (_differ("a", "b") <= _most_differ(percent)) & (turned * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different labels within a node that agree enough. Nodes (key, size, fp, label, n, s1..s4) of more
+    """(a, b): pairs of different labels within a node that agree enough. Nodes (key, size, fp, label, n and sketches) of more
     than ``SMALL`` entities are dealt to blocks, and each pair of blocks is one cell of work."""
     blocks = F.ceil(F.col("size") / SMALL).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(11)), blocks).cast("int")
@@ -227,8 +254,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     full = seen.where("fp is not null")
     entities = scratch.cut(full.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")))
     reps = full.join(entities, "fp").where((F.col("th") == F.col("one.th")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id")))
-    reps = scratch.cut(reps.select("fp", "n", "mins", *SKETCH).dropDuplicates(["fp"]))
-    sketches = reps.select("fp", "n", *SKETCH)
+    reps = scratch.cut(reps.select("fp", "n", "mins", *SKETCH, *PARITY).dropDuplicates(["fp"]))
+    sketches = reps.select("fp", "n", *SKETCH, *PARITY)
 
     rows = reps.select("fp", "mins", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("fp", "t", _path(1).alias("key"))
     levels = _levels(percent)
@@ -248,23 +275,33 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
             rows = large.select("fp", "t").join(reps.select("fp", "mins"), "fp").select("fp", "t", _path(levels[i + 1]).alias("key"))
 
     check = lambda p: scratch.cut(_confirmed(scratch.cut(p.distinct()), entities, docs, percent, size, doc_id, text))
-    links = scratch.cut(sketches.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)) if hubs is None else check(hubs)
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    labels = None
+    if hubs is not None:
+        # each entity meets the nearest of its hubs first, then each two labels that are left meet once, then all that are still apart
+        hubs = scratch.cut(hubs.groupBy("fp", "hub").agg(F.min("far").alias("far")))
+        least = F.min(F.struct("far", F.xxhash64("fp", "hub").alias("o"), "fp", "hub")).alias("x")
+        labels = _merged(labels, check(hubs.groupBy("fp").agg(least).select(*pair("x.fp", "x.hub"))), scratch)
+        for once in (True, False):
+            of = lambda c: labels.withColumnsRenamed({"fp": c, "label": f"{c}_label"})
+            rest = hubs.join(of("fp"), "fp", "left").join(of("hub"), "hub", "left").withColumns({"u": F.coalesce("fp_label", "fp"), "v": F.coalesce("hub_label", "hub")}).where("u <> v")
+            rest = rest.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(least).select(*pair("x.fp", "x.hub")) if once else rest.select(*pair("fp", "hub"))
+            labels = _merged(labels, check(rest), scratch)
 
     def labelled():
-        named = sketches.join(components(links, scratch).withColumnRenamed("node", "fp"), "fp", "left")
-        return scratch.cut(named.withColumn("label", F.coalesce("root", "fp")).drop("root"))
+        return sketches.withColumn("label", F.col("fp")) if labels is None else sketches.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
     if nodes is not None:
-        labels = sketches.withColumn("label", F.col("fp")) if hubs is None else labelled()
-        links = links.union(check(_exhaustive(nodes.select("key", "size", "fp").join(labels, "fp"), percent)))
+        # the first trees link most of what is alike, so that the others only meet pairs that are still apart
+        for some in (F.col("t") < FIRST_TREES, F.col("t") >= FIRST_TREES):
+            labels = _merged(labels, check(_exhaustive(nodes.where(some).select("key", "size", "fp").join(labelled(), "fp"), percent)), scratch)
     if dense is not None:
         first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, docs, doc_id, text)), percent, size).join(labelled(), "fp"))
         # a shingle of one component only, such as those of a group of copies, yields no pair
         sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "size")
-        links = links.union(check(_exhaustive(first.join(sizes, "key"), percent)))
+        labels = _merged(labels, check(_exhaustive(first.join(sizes, "key"), percent)), scratch)
 
-    roots = components(links, scratch).withColumnRenamed("node", "fp")
-    named = entities.select("fp", "first_id").join(roots, "fp", "left").withColumn("class", F.coalesce("root", "fp")).drop("root")
+    named = entities.select("fp", "first_id").join(labels, "fp", "left").withColumn("class", F.coalesce("label", "fp")).drop("label")
     firsts = named.groupBy("class").agg(F.min("first_id").alias("component_id"))
     named = scratch.cut(named.join(firsts, "class").select("fp", "class", "component_id"))
     part = full.select("doc_id", "th", "n", "fp").join(named, "fp").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class")
