@@ -24,7 +24,7 @@ def usable(setups: DataFrame, scored: DataFrame, recordings: DataFrame) -> DataF
 def claim(score: DataFrame, rule: SurveyRule, label: str) -> DataFrame:
     """One line per model saying what its lists can be trusted to mean."""
     f, c = rule.firm, rule.check
-    share = lambda x: F.coalesce(F.concat(F.format_string("%.0f", F.col(x) * 100), F.lit("%")), F.lit("—"))
+    share = lambda x: F.when(F.col(x).isNotNull(), F.concat(F.format_string("%.0f", F.col(x) * 100), F.lit("%"))).otherwise("—")
     text = F.concat(
         F.col(label), F.lit(f": firm after {f.k} detections at {f.bar}, checked after {c.k} at {c.bar}. Measured on "),
         F.col("n_recordings").cast("string"), F.lit(" recording(s) ("), F.format_string("%.1f", F.col("hours")),

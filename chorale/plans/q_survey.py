@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chorale.operators import heldout as ho
 from chorale.operators import survey as sv
 from chorale.operators.curves import tie_counts
 from chorale.operators.resample import POISSON_1
@@ -12,12 +13,16 @@ from chorale.plans import testbed as tb
 from chorale.plans.registry import big, cte, query, r6
 
 ARM = ["run_id"]
-RULE = SurveyRule(Condition(0.5, 2), Condition(0.9, 10))
+RULE = SurveyRule(Condition(0.5, 2), Condition(0.9, 2))
 SPAN_RULE = SurveyRule(Condition(0.5, 1, 86400.0), Condition(0.9, 3, 86400.0))
 SPEC = RuleSpec()
 CONS = Constraints(min_firm_precision=0.6, max_checks_per_recording=4.0)
-N_BOOT, FOLDS = 1000, 3
+N_BOOT = 1000
 MODELS = list(tb.RUNS)
+#: Seconds of a visit: the survey's recordings are the visits to each place, boxes are cut at their ends.
+VISIT = 259200
+#: The name under which the survey's annotators file a species that they do not tell apart.
+TOLD_AS = ("Setophaga petechia", "Poecile gambeli")
 
 
 def _values(xs) -> str:
@@ -39,14 +44,36 @@ cte("ffloors", f"SELECT * FROM (VALUES {_values(FIRM_FLOORS)}) t(floor)")
 cte("ks", f"SELECT * FROM (VALUES {', '.join(f'({k})' for k in KS)}) t(k)")
 cte("bars", _bars_sql("e_curve", "e_micro", "run_id"))
 RE = "regexp_matches(d.species_key, '^[A-Z][a-z]+ [a-z\\-]+( [a-z\\-]+)?$')"
-cte("above_bar", f"SELECT d.run_id, d.recording_id, d.start_s, d.species_key, d.implausible, b.floor FROM e_det d JOIN bars b USING (run_id, species_key) WHERE d.score >= b.theta AND {RE}")
+cte("v_rec", f"SELECT recording_id || '.' || b AS recording_id, recording_id AS place, labelled FROM e_rec, range(0, CAST(2592000 / {VISIT} AS INTEGER)) t(b)")
+_AT = f"recording_id || '.' || CAST(floor(start_s / {VISIT}) AS INTEGER)"
+cte("v_det", f"SELECT * REPLACE ({_AT} AS recording_id) FROM e_det")
+cte("v_ann", f"""SELECT a.recording_id || '.' || b AS recording_id, CASE WHEN species_key = '{TOLD_AS[0]}' THEN '{TOLD_AS[1]}' ELSE species_key END AS species_key
+ FROM e_ann a, range(0, CAST(2592000 / {VISIT} AS INTEGER)) t(b) WHERE start_s < (b + 1) * {VISIT} AND end_s > b * {VISIT}""")
+cte("above_bar", f"SELECT d.run_id, d.recording_id, d.start_s, d.species_key, d.implausible, b.floor FROM v_det d JOIN bars b USING (run_id, species_key) WHERE d.score >= b.theta AND {RE}")
 cte("evid", "SELECT run_id, recording_id, species_key, floor, count(*) AS n_all, count(*) FILTER (NOT implausible) AS n_shown FROM above_bar GROUP BY ALL")
-cte("truth", "SELECT DISTINCT recording_id, a.species_key FROM e_ann a JOIN spp s ON s.species_key = a.species_key WHERE end_s - start_s >= 29160 AND s.idx <> 5")
-cte("label_set", "SELECT species_key FROM spp WHERE idx <> 5")
+cte("truth", "SELECT DISTINCT recording_id, species_key FROM v_ann")
+cte("label_set", "SELECT DISTINCT species_key FROM v_ann")
+
+
+def visits(df):
+    """A frame of windows or detections with its recordings cut into visits; no window crosses a visit's end."""
+    return df.withColumn("recording_id", F.concat_ws(".", "recording_id", F.floor(F.col("start_s") / VISIT).cast("string")))
+
+
+def detections(spark, d):
+    return tb.stored(spark, d, "visit_detections", lambda: sv.species_only(visits(tb.detections(spark, d)), ARM))
+
+
+def annotations(spark, d):
+    """The boxes, one row per visit that they touch, under the names that the annotators use."""
+    b = F.explode(F.sequence(F.floor(F.col("start_s") / VISIT), F.ceil(F.col("end_s") / VISIT) - 1))
+    told = F.when(F.col("species_key") == TOLD_AS[0], TOLD_AS[1]).otherwise(F.col("species_key"))
+    return tb.annotations(spark, d).select("recording_id", told.alias("species_key"), "start_s", "end_s", b.alias("_b")).where(
+        F.col("_b") < int(tb.DURATION_S) // VISIT).withColumn("recording_id", F.concat_ws(".", "recording_id", F.col("_b").cast("string"))).drop("_b")
 
 
 def truth(spark, d):
-    return tb.annotations(spark, d).where("end_s - start_s >= 29160 and species_key <> 'Setophaga petechia'").select("recording_id", "species_key").distinct()
+    return tb.stored(spark, d, "visit_truth", lambda: sv.truth_pairs(annotations(spark, d)))
 
 
 def truth_by_run(spark, d):
@@ -54,11 +81,16 @@ def truth_by_run(spark, d):
 
 
 def label_set(spark, d):
-    return tb.species(spark, d).where("idx <> 5").select("species_key")
+    return truth(spark, d).select("species_key").distinct()
+
+
+def recordings(spark, d):
+    return tb.recordings(spark, d).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(int(tb.DURATION_S) // VISIT - 1)))).withColumn(
+        "recording_id", F.concat_ws(".", "recording_id", F.col("_b").cast("string"))).withColumn("duration_s", F.lit(float(VISIT))).drop("_b")
 
 
 def recs(spark, d):
-    return tb.recordings(spark, d).select("recording_id", (F.col("duration_s") / 3600).alias("hours"))
+    return recordings(spark, d).select("recording_id", (F.col("duration_s") / 3600).alias("hours"))
 
 
 def recs_by_run(spark, d):
@@ -74,8 +106,7 @@ def bars(spark, d):
 
 
 def ev(spark, d, spans=()):
-    return tb.stored(spark, d, f"evidence{spans}", lambda: sv.evidence(
-        sv.species_only(tb.detections(spark, d), ARM), bars(spark, d), ARM, ARM, spans))
+    return tb.stored(spark, d, f"evidence{spans}", lambda: sv.evidence(detections(spark, d), bars(spark, d), ARM, spans))
 
 
 @query("V2_fit_bars", "SELECT run_id, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, species_key, round(theta, 6) AS theta FROM bars")
@@ -83,9 +114,9 @@ def v2(spark, d):
     return bars(spark, d).where("species_key is not null").select(*ARM, "bar", "species_key", *r6("theta"))
 
 
-@query("V3_species_only", f"SELECT run_id, recording_id, start_s, species_key, round(score, 6) AS score_raw, implausible FROM e_det d WHERE {RE}")
+@query("V3_species_only", f"SELECT run_id, recording_id, start_s, species_key, round(score, 6) AS score_raw, implausible FROM v_det d WHERE {RE}")
 def v3(spark, d):
-    return sv.species_only(tb.detections(spark, d), ARM).select(*ARM, "recording_id", "start_s", "species_key", *r6("score_raw"), "implausible")
+    return detections(spark, d).select(*ARM, "recording_id", "start_s", "species_key", *r6("score_raw"), "implausible")
 
 
 @query("V4_evidence", "SELECT run_id, recording_id, species_key, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, n_all, n_shown FROM evid")
@@ -97,14 +128,12 @@ cte("span_evid", """SELECT run_id, recording_id, species_key, floor, max(a) AS w
  (SELECT count(*) FROM above_bar y WHERE y.run_id = x.run_id AND y.recording_id = x.recording_id AND y.species_key = x.species_key AND y.floor = x.floor
   AND y.start_s >= x.start_s AND y.start_s < x.start_s + 86400) AS a,
  CASE WHEN x.implausible THEN 0 ELSE (SELECT count(*) FROM above_bar y WHERE y.run_id = x.run_id AND y.recording_id = x.recording_id AND y.species_key = x.species_key AND y.floor = x.floor
-  AND NOT y.implausible AND y.start_s >= x.start_s AND y.start_s < x.start_s + 86400) END AS s FROM above_bar x WHERE floor IN (0.5, 0.9)) GROUP BY 1, 2, 3, 4""")
+  AND NOT y.implausible AND y.start_s >= x.start_s AND y.start_s < x.start_s + 86400) END AS s FROM above_bar x) GROUP BY 1, 2, 3, 4""")
 
 
 @query("V5_span_max", "SELECT run_id, recording_id, species_key, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, w_all, w_shown FROM span_evid")
 def v5(spark, d):
-    b = bars(spark, d).where("bar in ('p0.5', 'p0.9')")
-    e = sv.evidence(sv.species_only(tb.detections(spark, d), ARM), b, ARM, ARM, (86400.0,))
-    return e.select(*ARM, "recording_id", "species_key", "bar", F.col("w86400_all").cast("long").alias("w_all"), F.col("w86400_shown").cast("long").alias("w_shown"))
+    return ev(spark, d, (86400.0,)).select(*ARM, "recording_id", "species_key", "bar", F.col("w86400_all").cast("long").alias("w_all"), F.col("w86400_shown").cast("long").alias("w_shown"))
 
 
 def _tiers_sql(fk: int, ck: int, src: str = "evid", a: str = "n_all", s: str = "n_shown") -> str:
@@ -115,7 +144,7 @@ def _tiers_sql(fk: int, ck: int, src: str = "evid", a: str = "n_all", s: str = "
  (SELECT run_id, recording_id, species_key, {s} AS s, {a} AS a FROM {src} WHERE floor = 0.5) c USING (run_id, recording_id, species_key))"""
 
 
-cte("tiers_", f"SELECT * FROM ({_tiers_sql(10, 2)}) WHERE tier_all <> 'not found'")
+cte("tiers_", f"SELECT * FROM ({_tiers_sql(2, 2)}) WHERE tier_all <> 'not found'")
 _OUTCOME = """CASE WHEN tier = 'firm' AND ann THEN 'firm, right' WHEN tier = 'firm' AND j THEN 'firm, wrong' WHEN tier = 'firm' THEN 'firm, can''t judge'
  WHEN tier = 'check' AND ann THEN 'check, real' WHEN tier = 'check' AND j THEN 'check, not there' WHEN tier = 'check' THEN 'check, can''t judge'
  WHEN ann AND tier_all <> 'not found' THEN 'filter hid a real bird' WHEN ann THEN 'missed' END"""
@@ -140,7 +169,7 @@ def v6s(spark, d):
 
 @query("V7_truth_pairs", "SELECT * FROM truth")
 def v7(spark, d):
-    return sv.truth_pairs(tb.annotations(spark, d).where("end_s - start_s >= 29160 and species_key <> 'Setophaga petechia'"))
+    return truth(spark, d)
 
 
 def outcomes(spark, d):
@@ -153,7 +182,7 @@ def v8(spark, d):
 
 
 _PIV = ", ".join("count(*) FILTER (outcome = '" + o.replace("'", "''") + f"') AS {c}" for o, c in sv.COL.items())
-cte("s_rec", f"SELECT r.run_id, e.recording_id, 720.0::DOUBLE AS hours, {_PIV} FROM e_rec e CROSS JOIN runs r LEFT JOIN s_out o ON o.run_id = r.run_id AND o.recording_id = e.recording_id GROUP BY 1, 2")
+cte("s_rec", f"SELECT r.run_id, e.recording_id, 72.0::DOUBLE AS hours, {_PIV} FROM v_rec e CROSS JOIN runs r LEFT JOIN s_out o ON o.run_id = r.run_id AND o.recording_id = e.recording_id GROUP BY 1, 2")
 
 
 def assessed(spark, d):
@@ -193,7 +222,7 @@ def v10(spark, d):
 
 _POIS = " + ".join(f"CASE WHEN u > {c!r}::DOUBLE THEN 1 ELSE 0 END" for c in POISSON_1)
 cte("s_draw", f"""SELECT rep, recording_id, {_POIS} AS w FROM (SELECT rep, recording_id,
- CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM e_rec), range(0, {N_BOOT}) t(rep))""")
+ CAST('0x' || substr(md5('0:' || rep || ':' || recording_id), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM (SELECT DISTINCT recording_id FROM v_rec), range(0, {N_BOOT}) t(rep))""")
 cte("s_sums", f"""SELECT run_id, rep, {', '.join(f'{e} AS {s}' for s, e in stats_sql().items())} FROM (SELECT run_id, rep, {', '.join(f'sum({c} * w)::DOUBLE AS {c}' for c in sv.OUT)},
  sum(w) AS n_recs, sum(hours * w) AS hours FROM s_rec JOIN s_draw USING (recording_id) WHERE w > 0 GROUP BY 1, 2)""")
 
@@ -222,14 +251,14 @@ def sweep_sql(evid: str, uni: str, keys: str, n_recs: str, ck: int = 2) -> str:
  agg AS (SELECT {keys}, floor, check_floor, k, count(*) FILTER (firm AND ann)::DOUBLE AS firm_right, count(*) FILTER (firm AND NOT ann AND j)::DOUBLE AS firm_wrong,
   count(*) FILTER (firm AND NOT ann AND NOT j)::DOUBLE AS firm_cant_judge, count(*) FILTER (chk AND ann)::DOUBLE AS check_real, count(*) FILTER (chk AND NOT ann AND j)::DOUBLE AS check_not_there,
   count(*) FILTER (chk AND NOT ann AND NOT j)::DOUBLE AS check_cant_judge, count(*) FILTER (NOT firm AND NOT chk AND ann AND seen)::DOUBLE AS filter_hid_a_real_bird,
-  count(*) FILTER (NOT firm AND NOT chk AND ann AND NOT seen)::DOUBLE AS missed, any_value(n.n_recs)::DOUBLE AS n_recs, any_value(n.n_recs) * 720.0::DOUBLE AS hours
+  count(*) FILTER (NOT firm AND NOT chk AND ann AND NOT seen)::DOUBLE AS missed, any_value(n.n_recs)::DOUBLE AS n_recs, any_value(n.n_recs) * 72.0::DOUBLE AS hours
   FROM cell JOIN ({n_recs}) n USING ({keys}) GROUP BY {keys}, floor, check_floor, k)
  SELECT {keys}, check_floor, floor, k, {', '.join(f'{e} AS {s}' for s, e in stats_sql().items())} FROM agg"""
 
 
 cte("s_uni", """SELECT run_id, recording_id, species_key, (recording_id, species_key) IN (SELECT (recording_id, species_key) FROM truth) AS ann,
  species_key IN (SELECT species_key FROM label_set) AS j FROM (SELECT run_id, recording_id, species_key FROM evid UNION SELECT run_id, recording_id, species_key FROM truth, runs)""")
-cte("s_sweep", sweep_sql("evid", "s_uni", "run_id", "SELECT run_id, count(*) AS n_recs FROM e_rec, runs GROUP BY 1"))
+cte("s_sweep", sweep_sql("evid", "s_uni", "run_id", "SELECT run_id, count(*) AS n_recs FROM v_rec, runs GROUP BY 1"))
 
 
 def sweep(spark, d):
@@ -276,45 +305,60 @@ def v16(spark, d):
     return sv.split(tb.recordings(spark, d), 7, 0.4)
 
 
-# ------------------------------------------------------------------ held out
-cte("folds", f"SELECT recording_id, CAST('0x' || substr(md5('1:' || recording_id), 1, 8) AS BIGINT) % {FOLDS} AS own_fold FROM e_rec")
-cte("f_al", f"SELECT a.*, f.fold FROM e_al a JOIN folds USING (recording_id), range(0, {FOLDS}) f(fold) WHERE own_fold <> f.fold")
-cte("f_curve", tb._curve_sql("f_al", "run_id, fold, species_key"))
-cte("f_micro", tb._curve_sql("f_al", "run_id, fold"))
-cte("f_bars", _bars_sql("f_curve", "f_micro", "run_id, fold"))
-cte("f_evid", f"""SELECT d.run_id, b.fold, d.recording_id, d.species_key, b.floor, count(*) AS n_all, count(*) FILTER (NOT implausible) AS n_shown FROM e_det d JOIN f_bars b USING (run_id, species_key)
- WHERE d.score >= b.theta AND {RE} GROUP BY ALL""")
-cte("f_uni", f"""SELECT run_id, fold, recording_id, species_key, (recording_id, species_key) IN (SELECT (recording_id, species_key) FROM truth) AS ann,
- species_key IN (SELECT species_key FROM label_set) AS j FROM (SELECT run_id, fold, recording_id, species_key FROM f_evid UNION SELECT run_id, f.fold, recording_id, species_key FROM truth, runs, range(0, {FOLDS}) f(fold))
- JOIN folds USING (recording_id) WHERE own_fold <> fold""")
-cte("f_sweep", sweep_sql("f_evid", "f_uni", "run_id, fold", f"SELECT run_id, f.fold, count(*) AS n_recs FROM folds, runs, range(0, {FOLDS}) f(fold) WHERE own_fold <> f.fold GROUP BY 1, 2"))
+# ------------------------------------------------------------------ held out: every visit is left out in turn
+cte("v_al", f"SELECT * REPLACE ({_AT} AS recording_id) FROM e_al")
+cte("vt_all", "SELECT run_id, species_key, score, sum(y_true)::BIGINT AS p, count(*)::BIGINT AS n FROM v_al GROUP BY ALL")
+cte("vt_own", "SELECT run_id, species_key, recording_id AS fold, score, sum(y_true)::BIGINT AS p, count(*)::BIGINT AS n FROM v_al GROUP BY ALL")
+cte("vt_left", """SELECT a.run_id, f.recording_id AS fold, a.species_key, a.score, a.p - coalesce(o.p, 0) AS p, a.n - coalesce(o.n, 0) AS n FROM vt_all a CROSS JOIN v_rec f
+ LEFT JOIN vt_own o ON o.run_id = a.run_id AND o.species_key = a.species_key AND o.score = a.score AND o.fold = f.recording_id""", keep=True)
+
+
+def _left_curve(keys: str, src: str) -> str:
+    return f"""SELECT {keys}, score AS theta, sum(p) OVER w AS tp, sum(n) OVER w - sum(p) OVER w AS fp, sum(p) OVER (PARTITION BY {keys}) AS n_pos,
+ (sum(p) OVER w)::DOUBLE / (sum(n) OVER w)::DOUBLE AS precision, sum(p) OVER w AS recall FROM ({src}) WHERE n > 0 WINDOW w AS (PARTITION BY {keys} ORDER BY score DESC)"""
+
+
+cte("f_curve", _left_curve("run_id, fold, species_key", "SELECT * FROM vt_left"))
+cte("f_micro", _left_curve("run_id, fold", "SELECT run_id, fold, score, sum(p) AS p, sum(n) AS n FROM vt_left GROUP BY ALL"), keep=True)
+_DEEPEST = "max(CASE WHEN n_pos > 0 AND precision >= floor AND tp + fp >= 10 THEN {'r': recall, 't': theta} END).t"
+cte("f_bars", f"""SELECT run_id, fold, floor, species_key, CASE WHEN n_pos >= 10 AND own IS NOT NULL THEN own ELSE fb END AS theta FROM
+ (SELECT run_id, fold, species_key, floor, any_value(n_pos) AS n_pos, {_DEEPEST} AS own FROM f_curve, floors GROUP BY ALL)
+ JOIN (SELECT run_id, fold, floor, {_DEEPEST} AS fb FROM f_micro, floors GROUP BY ALL) USING (run_id, fold, floor)""", keep=True)
+cte("f_det", f"SELECT run_id, recording_id, species_key, score, count(*) AS a, count(*) FILTER (NOT implausible) AS s FROM v_det d WHERE {RE} GROUP BY ALL")
+cte("f_evid", """SELECT d.run_id, b.fold, d.recording_id, d.species_key, b.floor, sum(a)::BIGINT AS n_all, sum(s)::BIGINT AS n_shown FROM f_det d JOIN f_bars b USING (run_id, species_key)
+ WHERE d.score >= b.theta GROUP BY ALL""", keep=True)
+# counts clipped where no cell tells them apart, then pairs with the same counts together: 81 floor pairs for each, and every count on top
+_ROOM = [f"p{f:g}".replace(".", "_") for f in FLOORS]
+_WIDE = ", ".join(f"coalesce(max(least(n_all, 50)) FILTER (floor = {f!r}), 0) AS a_{n}, coalesce(max(least(n_shown, 50)) FILTER (floor = {f!r}), 0) AS s_{n}" for f, n in zip(FLOORS, _ROOM))
+cte("f_uni", f"""SELECT run_id, fold, (recording_id, species_key) IN (SELECT (recording_id, species_key) FROM truth) AS ann, species_key IN (SELECT species_key FROM label_set) AS j, {_WIDE}
+ FROM (SELECT run_id, fold, recording_id, species_key, floor, n_all, n_shown FROM f_evid UNION ALL SELECT run_id, f.recording_id, t.recording_id, species_key, NULL, NULL, NULL FROM truth t, runs, v_rec f)
+ WHERE recording_id <> fold GROUP BY run_id, fold, recording_id, species_key""", keep=True)
+cte("f_hist", " UNION ALL ".join(
+    f"SELECT run_id, fold, ann, j, {f!r}::DOUBLE AS floor, {c!r}::DOUBLE AS check_floor, s_{n} AS fs, a_{n} AS fa, least(s_{m}, 2) AS cs, least(a_{m}, 2) AS ca, count(*) AS w FROM f_uni GROUP BY ALL"
+    for f, n in zip(FLOORS, _ROOM) if f in FIRM_FLOORS for c, m in zip(FLOORS, _ROOM) if c <= f), keep=True)
+cte("f_cell", """SELECT run_id, fold, floor, check_floor, k, ann, j, w, fs >= k AS firm, NOT fs >= k AND cs >= least(2, k) AS chk, fa >= k OR ca >= least(2, k) AS seen FROM f_hist, ks""")
+_CELL_SUMS = {"firm_right": "firm AND ann", "firm_wrong": "firm AND NOT ann AND j", "firm_cant_judge": "firm AND NOT ann AND NOT j", "check_real": "chk AND ann", "check_not_there": "chk AND NOT ann AND j",
+              "check_cant_judge": "chk AND NOT ann AND NOT j", "filter_hid_a_real_bird": "NOT firm AND NOT chk AND ann AND seen", "missed": "NOT firm AND NOT chk AND ann AND NOT seen"}
+cte("f_sweep", f"""SELECT run_id, fold, check_floor, floor, k, {', '.join(f'{e} AS {s}' for s, e in stats_sql().items())} FROM (SELECT run_id, fold, check_floor, floor, k,
+ {', '.join(f'coalesce(sum(w) FILTER ({c}), 0)::DOUBLE AS {o}' for o, c in _CELL_SUMS.items())}, ((SELECT count(*) FROM v_rec) - 1)::DOUBLE AS n_recs, ((SELECT count(*) FROM v_rec) - 1) * 72.0::DOUBLE AS hours
+ FROM f_cell GROUP BY ALL)""", keep=True)
 cte("f_own", f"SELECT * FROM f_sweep WHERE {FEAS} QUALIFY row_number() OVER (PARTITION BY run_id, fold ORDER BY {PREF}) = 1")
 cte("f_shared", shared_sql("f_sweep", "fold"))
 
 
 def _held_sql(picks: str) -> str:
     """Held-out per-recording counts at each fold's chosen cell."""
-    return f"""SELECT r.run_id, e.recording_id, 720.0::DOUBLE AS hours, {_PIV} FROM (SELECT recording_id, own_fold FROM folds) e CROSS JOIN runs r LEFT JOIN (SELECT *, {_OUTCOME} AS outcome FROM (
+    return f"""SELECT r.run_id, e.recording_id, 72.0::DOUBLE AS hours, {_PIV} FROM v_rec e CROSS JOIN runs r LEFT JOIN (SELECT *, {_OUTCOME} AS outcome FROM (
  SELECT run_id, recording_id, species_key, coalesce(tier, 'not found') AS tier, coalesce(tier_all, 'not found') AS tier_all, coalesce(ann, false) AS ann,
  species_key IN (SELECT species_key FROM label_set) AS j FROM (SELECT *, CASE WHEN fs >= k THEN 'firm' WHEN cs >= least(2, k) THEN 'check' ELSE 'not found' END AS tier,
   CASE WHEN fa >= k THEN 'firm' WHEN ca >= least(2, k) THEN 'check' ELSE 'not found' END AS tier_all FROM (SELECT v.run_id, v.recording_id, v.species_key, any_value(p.k) AS k,
   coalesce(max(n_shown) FILTER (v.floor = p.floor), 0) AS fs, coalesce(max(n_all) FILTER (v.floor = p.floor), 0) AS fa, coalesce(max(n_shown) FILTER (v.floor = p.check_floor), 0) AS cs,
-  coalesce(max(n_all) FILTER (v.floor = p.check_floor), 0) AS ca FROM f_evid v JOIN folds f ON f.recording_id = v.recording_id AND f.own_fold = v.fold JOIN ({picks}) p ON p.run_id = v.run_id AND p.fold = v.fold GROUP BY 1, 2, 3))
+  coalesce(max(n_all) FILTER (v.floor = p.check_floor), 0) AS ca FROM f_evid v JOIN ({picks}) p ON p.run_id = v.run_id AND p.fold = v.fold WHERE v.recording_id = v.fold GROUP BY 1, 2, 3))
  FULL JOIN (SELECT run_id, recording_id, species_key, true AS ann FROM truth, runs) USING (run_id, recording_id, species_key))) o ON o.run_id = r.run_id AND o.recording_id = e.recording_id GROUP BY 1, 2"""
 
 
 cte("h_own", _held_sql("SELECT run_id, fold, check_floor, floor, k FROM f_own"))
 cte("h_shared", _held_sql("SELECT run_id, fold, check_floor, floor, k FROM f_shared, runs"))
-
-
-def held(spark, d):
-    r = tb.recordings(spark, d)
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _HELD:
-        _HELD[key] = _held_out(spark, d, r)
-    return _HELD[key]
-
-
 _HELD: dict = {}
 
 
@@ -323,15 +367,28 @@ def forget_held_out():
     _HELD.clear()
 
 
-def _held_out(spark, d, r):
-    return sv.held_out(tb.aligned(spark, d), sv.species_only(tb.detections(spark, d), ARM), sv.fold_of(r, FOLDS, 1), list(range(FOLDS)), RULE, SPEC,
-                       truth(spark, d), recs(spark, d), CONS, label_set(spark, d), MODELS)
+def folds(spark, d):
+    """Every visit is a fold of its own."""
+    return recordings(spark, d).select("recording_id", F.col("recording_id").alias("fold"))
+
+
+def visit_aligned(spark, d):
+    return visits(tb.aligned(spark, d))
 
 
-@query("V1_fold_refit_bars", "SELECT run_id, fold::BIGINT AS fold, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, species_key, round(theta, 6) AS theta FROM f_bars")
+def held(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _HELD:
+        _HELD[key] = ho.held_out(visit_aligned(spark, d), detections(spark, d), folds(spark, d), RULE, SPEC, truth(spark, d), recs(spark, d), CONS, label_set(spark, d), MODELS)
+    return _HELD[key]
+
+
+@query("V1_fold_refit_bars", "SELECT run_id, fold, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, species_key, round(theta, 6) AS theta FROM f_bars")
 def v1(spark, d):
-    ties = sv.leave_fold_out(sv.fold_ties(tb.aligned(spark, d), ARM, sv.fold_of(tb.recordings(spark, d), FOLDS, 1)), ARM, list(range(FOLDS)))
-    return sv.fit_bars(ties, ["run_id", "fold"], SPEC).where("species_key is not null").select(*ARM, *big("fold"), "bar", "species_key", *r6("theta"))
+    every = folds(spark, d)
+    bars = ho.held_out_bars(ho.fold_ties(visit_aligned(spark, d), [*ARM, "species_key"], every), ARM, every.select("fold"), every.count(), SPEC)
+    named = F.arrays_zip(F.array(*[F.lit(f"p{f:g}") for f in FLOORS]).alias("bar"), F.col("thetas").alias("theta"))
+    return bars.where("species_key is not null").select(*ARM, "fold", "species_key", F.inline(named).alias("bar", "theta")).select(*ARM, "fold", "bar", "species_key", *r6("theta"))
 
 
 @query("V17_held_out_own", score_sql("h_own", "run_id"))
@@ -344,17 +401,17 @@ def v17s(spark, d):
     return _score_out(sv.score(held(spark, d)["held_shared"], ARM), *ARM)
 
 
-@query("V17_picks", "SELECT run_id, fold::BIGINT AS fold, check_floor, floor, k::BIGINT AS k FROM f_own")
+@query("V17_picks", "SELECT run_id, fold, check_floor, floor, k::BIGINT AS k FROM f_own")
 def v17p(spark, d):
-    return held(spark, d)["own"].select(*ARM, *big("fold"), *CELL, *big("k"))
+    return held(spark, d)["own"].select(*ARM, "fold", *CELL, *big("k"))
 
 
-@query("V18_stability", f"""SELECT run_id, 3::BIGINT AS rounds, (3 - count(*))::BIGINT AS none, count(*) FILTER (o.floor = b.floor AND o.check_floor = b.check_floor AND o.k = b.k) AS same,
- min(o.floor) AS floor_min, max(o.floor) AS floor_max, min(o.k)::BIGINT AS k_min, max(o.k)::BIGINT AS k_max FROM f_own o LEFT JOIN (SELECT * FROM s_sweep WHERE {FEAS}
- QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY {PREF}) = 1) b USING (run_id) GROUP BY 1""")
+@query("V18_stability", f"""SELECT run_id, n AS rounds, (n - count(*))::BIGINT AS none, count(*) FILTER (o.floor = b.floor AND o.check_floor = b.check_floor AND o.k = b.k) AS same,
+ min(o.floor) AS floor_min, max(o.floor) AS floor_max, min(o.check_floor) AS check_floor_min, max(o.check_floor) AS check_floor_max, min(o.k)::BIGINT AS k_min, max(o.k)::BIGINT AS k_max
+ FROM f_own o LEFT JOIN (SELECT * FROM s_sweep WHERE {FEAS} QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY {PREF}) = 1) b USING (run_id), (SELECT count(*) AS n FROM v_rec) GROUP BY run_id, n""")
 def v18(spark, d):
-    s = sv.stability(held(spark, d)["own"], sv.best(sweep(spark, d), CONS, ARM), ARM, FOLDS)
-    return s.select(*ARM, *big("rounds", "none", "same"), "floor_min", "floor_max", *big("k_min", "k_max"))
+    s = sv.stability(held(spark, d)["own"], sv.best(sweep(spark, d), CONS, ARM), ARM, folds(spark, d).count())
+    return s.select(*ARM, *big("rounds", "none", "same"), "floor_min", "floor_max", "check_floor_min", "check_floor_max", *big("k_min", "k_max"))
 
 
 HARD = Constraints(min_firm_precision=0.6, max_checks_per_recording=0.1, min_recall_reviewed=0.999)
@@ -381,17 +438,17 @@ def v20(spark, d):
     return rule.unionByName(own).unionByName(base)
 
 
-@query("V21_winner", f"""SELECT a.run_id AS winner, round(a.recall_reviewed, 6) AS recall_reviewed, round(quantile_cont(x.d, 0.025), 6) AS lo, round(quantile_cont(x.d, 0.975), 6) AS hi FROM
- (SELECT * FROM ({score_sql('s_rec', 'run_id')}) WHERE firm_precision >= 0.1 ORDER BY recall_reviewed DESC, run_id LIMIT 1) a,
- (SELECT p.run_id, p.recall_reviewed - q.recall_reviewed AS d FROM s_sums p JOIN s_sums q USING (rep) WHERE p.run_id <> q.run_id) x WHERE x.run_id = a.run_id GROUP BY 1, 2""")
+cte("v_recall", f"SELECT run_id, {stats_sql()['recall_reviewed']} AS r FROM (SELECT run_id, {_SUMS} FROM s_rec GROUP BY 1)")
+
+
+@query("V21_winner", f"""SELECT a.run_id AS winner, x.rival, round(x.diff, 6) AS diff, round(quantile_cont(x.d, 0.025), 6) AS lo, round(quantile_cont(x.d, 0.975), 6) AS hi FROM
+ (SELECT * FROM ({score_sql('s_rec', 'run_id')}) WHERE firm_precision >= 0.1 ORDER BY recall_reviewed DESC, run_id LIMIT 1) a JOIN
+ (SELECT p.run_id, q.run_id AS rival, pp.r - qq.r AS diff, p.recall_reviewed - q.recall_reviewed AS d FROM s_sums p JOIN s_sums q ON p.rep = q.rep AND p.run_id <> q.run_id
+  JOIN v_recall pp ON pp.run_id = p.run_id JOIN v_recall qq ON qq.run_id = q.run_id) x ON x.run_id = a.run_id GROUP BY ALL""")
 def v21(spark, d):
-    """The best feasible model with its paired interval against the runner-up (two models: one row decides)."""
-    p = assessed(spark, d)
-    s = sv.score(p, ARM).where("firm_precision >= 0.1")
-    lead = s.agg(F.max_by(F.struct("run_id", "recall_reviewed"), F.struct("recall_reviewed", F.expr("run_id = 'runA'"))).alias("w")).select("w.*")
-    side = [sv.paired(p.where(f"run_id = '{a}'"), p.where(f"run_id = '{b}'"), N_BOOT).where("stat = 'recall_reviewed'").withColumn("run_id", F.lit(a))
-            for a, b in (("runA", "runB"), ("runB", "runA"))]
-    return lead.join(side[0].unionByName(side[1]), "run_id").select(F.col("run_id").alias("winner"), *r6("recall_reviewed", "lo", "hi"))
+    """The best model that keeps the limits, with its paired interval against every other one."""
+    w = sv.winner(assessed(spark, d), "run_id", Constraints(min_firm_precision=0.1), N_BOOT)
+    return w.where("stat = 'recall_reviewed'").select("winner", F.col("run_id").alias("rival"), *r6("diff", "lo", "hi"))
 
 
 @query("V22_rarely_firm", """SELECT species_key, count(*) FILTER (run_id = 'runA' AND tier = 'firm') AS firm_a, count(*) FILTER (run_id = 'runA' AND tier = 'check') AS check_a,
@@ -417,7 +474,7 @@ def n1(spark, d):
         *ARM, "species_key", "bar", *r6("theta"))
 
 
-@query("N2_claim", f"""SELECT run_id, run_id || ': firm after 10 detections at p0.9, checked after 2 at p0.5. Measured on ' || n_recordings || ' recording(s) (' || printf('%.1f', hours)
+@query("N2_claim", f"""SELECT run_id, run_id || ': firm after 2 detections at p0.9, checked after 2 at p0.5. Measured on ' || n_recordings || ' recording(s) (' || printf('%.1f', hours)
  || ' h): firm calls right ' || coalesce(printf('%.0f', firm_precision * 100) || '%', '—') || ', birds found after checking ' || coalesce(printf('%.0f', recall_reviewed * 100) || '%', '—') AS claim
  FROM ({score_sql('s_rec', 'run_id')})""")
 def n2(spark, d):
@@ -428,11 +485,11 @@ def n2(spark, d):
 @query("N3_apply", """SELECT run_id, recording_id, species_key, CASE WHEN lab THEN 'present' ELSE tier END AS listed, CASE WHEN r.labelled AND lab THEN 'labelled' WHEN lab THEN 'labelled (part of recording)'
  ELSE 'model output' END AS source, tier AS model_tier, fa AS firm_bar_detections, ca AS check_bar_detections FROM (
  SELECT run_id, recording_id, species_key, coalesce(tier, 'not found') AS tier, coalesce(firm_all, 0) AS fa, coalesce(check_all, 0) AS ca, coalesce(lab, false) AS lab FROM
- (SELECT * FROM tiers_ WHERE tier <> 'not found') FULL JOIN (SELECT DISTINCT run_id, recording_id, species_key, true AS lab FROM e_ann a JOIN e_rec USING (recording_id), runs WHERE labelled AND end_s - start_s >= 29160)
- USING (run_id, recording_id, species_key)) JOIN (SELECT recording_id, labelled FROM e_rec) r USING (recording_id) WHERE NOT r.labelled OR lab""")
+ (SELECT * FROM tiers_ WHERE tier <> 'not found') FULL JOIN (SELECT DISTINCT run_id, recording_id, species_key, true AS lab FROM v_ann a JOIN v_rec USING (recording_id), runs WHERE labelled)
+ USING (run_id, recording_id, species_key)) JOIN (SELECT recording_id, labelled FROM v_rec) r USING (recording_id) WHERE NOT r.labelled OR lab""")
 def n3(spark, d):
     from chorale.operators.align import imported_truth
-    t = imported_truth(tb.recordings(spark, d), tb.annotations(spark, d).where("end_s - start_s >= 29160"))
+    t = imported_truth(recordings(spark, d), annotations(spark, d))
     t["annotations"] = t["annotations"].withColumn("run_id", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     return sv.apply_setup(tiers(spark, d), t, ARM).select(*ARM, "recording_id", "species_key", "listed", "source", "model_tier", *big("firm_bar_detections", "check_bar_detections"))
 

@@ -18,11 +18,15 @@ class Entry:
 
 QUERIES: dict[str, Entry] = {}
 CTES: dict[str, str] = {}
+#: Blocks that are worth computing once where several others read them.
+KEPT: set[str] = set()
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, keep: bool = False) -> None:
     """A named SQL building block; the ones an oracle mentions are put in its WITH clause."""
     CTES[name] = body.strip()
+    if keep:
+        KEPT.add(name)
 
 
 def with_ctes(body: str) -> str:
@@ -39,7 +43,7 @@ def with_ctes(body: str) -> str:
     visit(body, ())
     if not needed:
         return body.strip()
-    chain = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in needed)
+    chain = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}(\n{CTES[n]}\n)" for n in needed)
     return f"WITH {chain}\n{body.strip()}"
 
 
