@@ -1,16 +1,19 @@
 """Bootstrap intervals over recordings, single and paired.
 
-Two ways to draw. ``poisson`` gives every (replicate, recording) an independent Poisson(1) weight
-from a hash: no draw table, the replicates combine map-side, and only (arm, replicate) sums are
+Two ways to draw. Every (replicate, recording) gets an independent Poisson(1) weight from a hash:
+no draw table, all replicates of a recording are drawn at once, and only (arm, replicate) sums are
 shuffled. ``draws`` takes an explicit (rep, idx, w) table, for exact agreement with a given
 generator where the number of recordings is small.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 from math import exp, factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,26 +49,47 @@ def point(per_rec: DataFrame, arm: list[str]) -> DataFrame:
     return per_rec.groupBy(*arm).agg(*[F.sum(c).alias(c) for c in COUNTS]).select(*arm, *[c.alias(s) for s, c in ratios().items()])
 
 
-def poisson_weight(seed: int, rep: Column, unit: Column) -> Column:
-    """A Poisson(1) count that depends only on (seed, replicate, unit)."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), unit))
-    u = F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / 4503599627370496.0
-    w = F.lit(0)
-    for c in POISSON_1:
-        w = w + (u > c).cast("int")
-    return w
+def poisson_weights(seed: int, n: int, unit: str) -> np.ndarray:
+    """Poisson(1) counts of one unit in replicates 0 to n - 1, which depend only on (seed, replicate, unit)."""
+    u = np.array([int(hashlib.md5(f"{seed}:{rep}:{unit}".encode()).hexdigest()[:13], 16) for rep in range(n)], float) / 4503599627370496.0
+    return np.searchsorted(POISSON_1, u, side="left")
 
 
 def replicate_sums(per_rec: DataFrame, arm: list[str], counts: list[str], n: int, seed: int,
                    draws: DataFrame | None = None, unit: str = "recording_id") -> DataFrame:
-    """Resampled totals per (arm, rep). The same recordings are drawn for every arm."""
-    if draws is None:
-        d = per_rec.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-            "w", poisson_weight(seed, F.col("rep"), F.col(unit))).where("w > 0")
-    else:
+    """Resampled totals per (arm, rep). The same recordings are drawn for every arm.
+
+    A task draws each unit's weights for all replicates at once and adds weights times counts up per arm; only its
+    (arm, replicate) sums are shuffled, no row per draw."""
+    if draws is not None:
         d = per_rec.join(draws, "idx")
-    return d.groupBy(*arm, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in counts],
-                                      F.sum("w").alias("units"))
+        return d.groupBy(*arm, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in counts], F.sum("w").alias("units"))
+    rows = per_rec.select(*arm, F.col(unit).cast("string").alias("unit_"), *[F.col(c).cast("double").alias(c) for c in counts])
+    kinds = [f"`{k}` {t}" for k, t in rows.select(*arm).dtypes]
+    shape = ", ".join([*kinds, "rep int", *[f"`{c}` double" for c in counts], "units long"])
+
+    def added(batches):
+        sums: dict = {}
+        for pdf in batches:
+            drawn = {u: poisson_weights(seed, n, u) for u in pdf["unit_"].unique()}
+            for key, part in pdf.groupby(arm, sort=False, dropna=False) if arm else [((), pdf)]:
+                w = np.stack([drawn[u] for u in part["unit_"]])
+                got = np.column_stack([w.T @ part[counts].fillna(0.0).to_numpy(float), w.sum(axis=0)])
+                sums[key] = sums[key] + got if key in sums else got
+            if len(sums) > 256:
+                yield from said(sums)
+                sums = {}
+        yield from said(sums)
+
+    def said(sums):
+        for key, got in sums.items():
+            out = pd.DataFrame(got[:, :-1], columns=counts)
+            out.insert(0, "rep", np.arange(n, dtype=np.int32))
+            for k, v in zip(reversed(arm), reversed(key)):
+                out.insert(0, k, v)
+            yield out.assign(units=got[:, -1].astype(np.int64))[lambda x: x["units"] > 0]
+
+    return rows.mapInPandas(added, shape).groupBy(*arm, "rep").agg(*[F.sum(c).alias(c) for c in counts], F.sum("units").alias("units"))
 
 
 def intervals(stats: DataFrame, arm: list[str], names: list[str], level: float = 0.95) -> DataFrame:
