@@ -324,35 +324,60 @@ def e3(spark, d):
     return cb.latest_checks(ev).select("recording_id", "start_s", "species_key", "verdict")
 
 
-def _library(spark, d):
-    i = F.col("idx")
-    return tb.species(spark, d).where("idx % 2 = 0").select("species_key", (i % 7).cast("long").alias("lib_yes"), (i % 4).cast("long").alias("lib_no"))
+# species by place and ten days: many with few answers, so that each is at a stage of its own
+cte("loc", "SELECT event_id, recording_id, sec, species_key || ' ' || recording_id || '.' || (sec // 864000) AS species_key, k FROM e_ev")
+cte("loc_spp", "SELECT species_key, min(event_id) AS e FROM loc GROUP BY 1")
+cte("loc_checks", """SELECT recording_id, sec::DOUBLE AS start_s, species_key, arg_max(CASE WHEN k % 11 = 0 THEN 'yes' WHEN k % 3 = 0 THEN 'no' WHEN k % 3 = 1 THEN 'unsure' ELSE 'yes' END, event_id) AS verdict FROM loc GROUP BY 1, 2, 3""")
+cte("loc_pool", """SELECT recording_id, (sec + off)::DOUBLE AS start_s, (sec + off + 3)::DOUBLE AS end_s, species_key, max(CAST(CAST((event_id * m) % 1000 / 1000.0::DOUBLE AS FLOAT) AS DOUBLE)) AS score
+ FROM loc, (VALUES (0, 7919), (3, 104729)) t(off, m) GROUP BY 1, 2, 3, 4""")
+cte("ready", """SELECT species_key, y AS known_yes, n AS known_no, u AS unsure, ly AS lib_yes, ln_ AS lib_no, greatest(0, 5 - y - ly) AS need_yes, greatest(0, 3 - n - ln_) AS need_no FROM (SELECT s.species_key, count(*) FILTER (verdict = 'yes') AS y,
+ count(*) FILTER (verdict = 'no') AS n, count(*) FILTER (verdict = 'unsure') AS u, any_value(CASE WHEN e % 2 = 0 THEN e % 7 ELSE 0 END)::BIGINT AS ly, any_value(CASE WHEN e % 2 = 0 THEN e % 4 ELSE 0 END)::BIGINT AS ln_
+ FROM loc_spp s LEFT JOIN loc_checks c USING (species_key) GROUP BY 1)""")
 
 
-cte("ready", """SELECT species_key, y AS known_yes, n AS known_no, u AS unsure, ly AS lib_yes, ln_ AS lib_no, greatest(0, 5 - y - ly) AS need_yes, greatest(0, 3 - n - ln_) AS need_no FROM (SELECT s.species_key, count(*) FILTER (verdict = 'yes') AS y,
- count(*) FILTER (verdict = 'no') AS n, count(*) FILTER (verdict = 'unsure') AS u, any_value(CASE WHEN idx % 2 = 0 THEN idx % 7 ELSE 0 END)::BIGINT AS ly, any_value(CASE WHEN idx % 2 = 0 THEN idx % 4 ELSE 0 END)::BIGINT AS ln_
- FROM spp s LEFT JOIN few c USING (species_key) GROUP BY 1)""")
-cte("few", "SELECT * FROM checks WHERE (w * 7 + CAST(substr(recording_id, 2) AS BIGINT)) % 61 = 0")
+def _placed(df, at="sec"):
+    where = F.concat_ws(".", "recording_id", F.floor(F.col(at) / 864000).cast("string"))
+    return df.withColumn("species_key", F.concat_ws(" ", "species_key", where))
+
+
+def _local(spark, d):
+    return _placed(tb.events(spark, d))
+
+
+def _local_checks(spark, d):
+    k = F.col("k")
+    v = F.when(k % 11 == 0, "yes").when(k % 3 == 0, "no").when(k % 3 == 1, "unsure").otherwise("yes")
+    return _local(spark, d).groupBy("recording_id", F.col("sec").cast("double").alias("start_s"), "species_key").agg(F.max_by(v, "event_id").alias("verdict"))
+
 
+def _local_pool(spark, d):
+    two = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(m).alias("m")) for o, m in ((0, 7919), (3, 104729))])
+    x = _local(spark, d).withColumn("two", F.explode(two)).withColumn("start_s", (F.col("sec") + F.col("two.o")).cast("double"))
+    return x.groupBy("recording_id", "start_s", (F.col("start_s") + 3).alias("end_s"), "species_key").agg(
+        F.max(((F.col("event_id") * F.col("two.m")) % 1000 / 1000.0).cast("float")).alias("score"))
 
-def _few(spark, d):
-    w = (F.col("start_s") / 21600).cast("long")
-    return tb.checks(spark, d).where((w * 7 + F.expr("substring(recording_id, 2)").cast("long")) % 61 == 0)
+
+def _local_species(spark, d):
+    return _local(spark, d).groupBy("species_key").agg(F.min("event_id").alias("e"))
+
+
+def _local_library(spark, d):
+    return _local_species(spark, d).where("e % 2 = 0").select("species_key", (F.col("e") % 7).alias("lib_yes"), (F.col("e") % 4).alias("lib_no"))
 
 
 @query("E4_readiness", """SELECT species_key, known_yes, known_no, unsure, lib_yes, lib_no, need_yes, need_no, need_yes = 0 AND need_no = 0 AS ready, lib_yes >= 5 AND lib_no >= 3 AS covered,
  round((least(known_yes + lib_yes, 5) + least(known_no + lib_no, 3)) / 8, 6) AS progress FROM ready""")
 def e4(spark, d):
-    return cb.readiness(_few(spark, d), tb.species(spark, d), _library(spark, d)).select(
+    return cb.readiness(_local_checks(spark, d), _local_species(spark, d), _local_library(spark, d)).select(
         "species_key", *big("known_yes", "known_no", "unsure", "lib_yes", "lib_no", "need_yes", "need_no"), "ready", "covered", *r6("progress"))
 
 
 @query("E5_next_to_check", """SELECT species_key, recording_id, start_s FROM (SELECT p.*, row_number() OVER (PARTITION BY species_key ORDER BY score, CAST('0x' || substr(md5(recording_id || ':' || CAST(start_s AS BIGINT)), 1, 8) AS BIGINT), recording_id, start_s) AS ord,
- count(*) OVER (PARTITION BY species_key) AS m FROM pool p WHERE (recording_id, start_s, species_key) NOT IN (SELECT (recording_id, start_s, species_key) FROM few)) JOIN (SELECT *, 4 - (known_yes + known_no + unsure) % 5 AS f,
+ count(*) OVER (PARTITION BY species_key) AS m FROM loc_pool p WHERE (recording_id, start_s, species_key) NOT IN (SELECT (recording_id, start_s, species_key) FROM loc_checks)) JOIN (SELECT *, 4 - (known_yes + known_no + unsure) % 5 AS f,
  known_yes + known_no + unsure AS n FROM ready) USING (species_key) WHERE ord = CASE WHEN need_yes > 0 THEN m WHEN need_no > 0 THEN 1 WHEN floor(m * (f + 1) / 5 + 1e-9) > floor(m * f / 5 + 1e-9)
  THEN floor(m * f / 5 + 1e-9) + 1 + n % (floor(m * (f + 1) / 5 + 1e-9) - floor(m * f / 5 + 1e-9))::BIGINT ELSE m END""")
 def e5(spark, d):
-    return cb.next_to_check(tb.pool(spark, d), _few(spark, d), tb.species(spark, d), _library(spark, d)).select("species_key", "recording_id", "start_s")
+    return cb.next_to_check(_local_pool(spark, d), _local_checks(spark, d), _local_species(spark, d), _local_library(spark, d)).select("species_key", "recording_id", "start_s")
 
 
 @query("E6_E17_typical_fit")
@@ -417,6 +442,20 @@ def e12b(spark, d):
     return cb.estimate_protocol(cb.expected_checks(_p(tb.pool(spark, d)), "presence", 300.0, 1, 0))
 
 
+@query("E12_several_confirmations", """SELECT recording_id, species_key, round(sum(d0 + d1 + d2), 6) AS checks FROM (WITH RECURSIVE o AS (
+ SELECT *, row_number() OVER (PARTITION BY recording_id, species_key ORDER BY score DESC, p DESC, start_s) AS i FROM pp), w AS (
+ SELECT recording_id, species_key, i, p, 1.0::DOUBLE AS d0, 0.0::DOUBLE AS d1, 0.0::DOUBLE AS d2 FROM o WHERE i = 1 UNION ALL
+ SELECT o.recording_id, o.species_key, o.i, o.p, d0 * (1 - w.p), d1 * (1 - w.p) + d0 * w.p, d2 * (1 - w.p) + d1 * w.p FROM w JOIN o ON o.recording_id = w.recording_id AND o.species_key = w.species_key AND o.i = w.i + 1)
+ SELECT * FROM w) GROUP BY 1, 2""")
+def e12c(spark, d):
+    return cb.expected_checks(_p(tb.pool(spark, d)), "presence", 300.0, 3, 0).select("recording_id", "species_key", *r6("checks"))
+
+
+@query("E12_every_call", "SELECT count(*) AS units, count(*) AS checks, floor(count(*) * 5.6)::BIGINT AS answers_lo, floor(count(*) * 8.4 * 1.2)::BIGINT AS answers_hi FROM pp")
+def e12d(spark, d):
+    return cb.estimate_protocol(cb.expected_checks(_p(tb.pool(spark, d)), "every_call"), "every_call")
+
+
 cte("kept", """SELECT p.* FROM pool p JOIN esp e USING (species_key) WHERE e.plausible AND e.idx <> 8 AND (p.score >= 0.7 OR (p.recording_id, p.start_s, p.species_key) IN (SELECT (recording_id, start_s, species_key) FROM checks))""")
 
 
@@ -429,18 +468,19 @@ def e13(spark, d):
     return _kept(spark, d).select("recording_id", "start_s", "species_key", *r6("score"))
 
 
-cte("refs", """SELECT k.species_key, k.recording_id, k.start_s, k.end_s, 'answer' AS kind FROM kept k JOIN rare c USING (recording_id, start_s, species_key) WHERE verdict = 'yes'
- UNION ALL SELECT species_key, recording_id, start_s, end_s, 'box' FROM (SELECT a.*, row_number() OVER (PARTITION BY species_key ORDER BY abs(end_s - start_s - 2.5), recording_id, start_s, box_id) AS i FROM e_ann a WHERE species_key IN (SELECT species_key FROM kept))
- WHERE i <= 5 - (SELECT count(*) FROM kept k JOIN rare c USING (recording_id, start_s, species_key) WHERE verdict = 'yes' AND k.species_key = species_key_)""".replace("k.species_key = species_key_", "k.species_key = i_.species_key").replace(
-    "WHERE species_key IN (SELECT species_key FROM kept))\n", "WHERE species_key IN (SELECT species_key FROM kept)) i_\n"))
-cte("rare", "SELECT * FROM checks WHERE (w * 3 + CAST(substr(recording_id, 2) AS BIGINT)) % 101 = 0")
+cte("loc_kept", "SELECT * FROM loc_pool p WHERE score >= 0.7 OR (recording_id, start_s, species_key) IN (SELECT (recording_id, start_s, species_key) FROM loc_checks)")
+cte("loc_ann", "SELECT * REPLACE (species_key || ' ' || recording_id || '.' || CAST(floor(start_s / 864000) AS BIGINT) AS species_key) FROM e_ann")
+cte("own_refs", "SELECT k.species_key, k.recording_id, k.start_s, k.end_s FROM loc_kept k JOIN loc_checks c USING (recording_id, start_s, species_key) WHERE verdict = 'yes'")
 
 
-@query("E14_reference_picks", "SELECT species_key, recording_id, start_s, kind, greatest(0.0, start_s - 0.5) AS source_start_s FROM refs")
+@query("E14_reference_picks", """SELECT species_key, recording_id, start_s, kind, greatest(0.0, start_s - 0.5) AS source_start_s FROM (SELECT *, 'answer' AS kind FROM own_refs UNION ALL SELECT b.species_key, recording_id, start_s, end_s, 'box' FROM (
+ SELECT *, row_number() OVER (PARTITION BY species_key ORDER BY abs(end_s - start_s - 2.5), recording_id, start_s, box_id) AS i FROM loc_ann WHERE species_key IN (SELECT species_key FROM loc_kept)) b
+ LEFT JOIN (SELECT species_key, count(*) AS have FROM own_refs GROUP BY 1) h USING (species_key) WHERE i <= 5 - coalesce(have, 0))""")
 def e14(spark, d):
-    w = (F.col("start_s") / 21600).cast("long")
-    rare = tb.checks(spark, d).where((w * 3 + F.expr("substring(recording_id, 2)").cast("long")) % 101 == 0)
-    return cb.reference_picks(_kept(spark, d), rare, tb.annotations(spark, d)).select("species_key", "recording_id", "start_s", "kind", "source_start_s")
+    sp = _local_species(spark, d).select("species_key", F.lit(False).alias("unexpected"), F.lit(True).alias("include"), F.lit("named").alias("name"), F.lit(False).alias("researcher"))
+    checks = _local_checks(spark, d)
+    cand = cb.kept_candidates(_local_pool(spark, d), sp, checks, 0.7)
+    return cb.reference_picks(cand, checks, _placed(tb.annotations(spark, d), "start_s")).select("species_key", "recording_id", "start_s", "kind", "source_start_s")
 
 
 @query("E15_few_detections", "SELECT species_key, plausible AND detections < 700 AS researcher FROM esp")
