@@ -278,23 +278,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     labels = None
     if hubs is not None:
-        # each entity meets the nearest of its hubs first, then each two labels that are left meet once, then all that are still apart
         hubs = scratch.cut(hubs.groupBy("fp", "hub").agg(F.min("far").alias("far")))
-        least = F.min(F.struct("far", F.xxhash64("fp", "hub").alias("o"), "fp", "hub")).alias("x")
-        labels = _merged(labels, check(hubs.groupBy("fp").agg(least).select(*pair("x.fp", "x.hub"))), scratch)
-        for once in (True, False):
-            of = lambda c: labels.withColumnsRenamed({"fp": c, "label": f"{c}_label"})
-            rest = hubs.join(of("fp"), "fp", "left").join(of("hub"), "hub", "left").withColumns({"u": F.coalesce("fp_label", "fp"), "v": F.coalesce("hub_label", "hub")}).where("u <> v")
-            rest = rest.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(least).select(*pair("x.fp", "x.hub")) if once else rest.select(*pair("fp", "hub"))
-            labels = _merged(labels, check(rest), scratch)
+    least = F.min(F.struct("far", F.xxhash64("fp", "hub").alias("o"), "fp", "hub")).alias("x")
 
     def labelled():
-        return sketches.withColumn("label", F.col("fp")) if labels is None else sketches.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        return scratch.cut(sketches.withColumn("label", F.col("fp")) if labels is None else sketches.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
 
-    if nodes is not None:
-        # the first trees link most of what is alike, so that the others only meet pairs that are still apart
-        for some in (F.col("t") < FIRST_TREES, F.col("t") >= FIRST_TREES):
-            labels = _merged(labels, check(_exhaustive(nodes.where(some).select("key", "size", "fp").join(labelled(), "fp"), percent)), scratch)
+    def apart():
+        of = lambda c: labels.withColumnsRenamed({"fp": c, "label": f"{c}_label"})
+        return hubs.join(of("fp"), "fp", "left").join(of("hub"), "hub", "left").withColumns({"u": F.coalesce("fp_label", "fp"), "v": F.coalesce("hub_label", "hub")}).where("u <> v")
+
+    # each entity meets the nearest of its hubs; then each two labels meet once, and the first trees link most of what else
+    # is alike; so the last round, hubs and the other trees, only compares what is still apart
+    if hubs is not None:
+        labels = _merged(None, check(hubs.groupBy("fp").agg(least).select(*pair("x.fp", "x.hub"))), scratch)
+    for first in (True, False) if nodes is not None else ():
+        found = _exhaustive(nodes.where((F.col("t") < FIRST_TREES) == first).select("key", "size", "fp").join(labelled(), "fp"), percent)
+        if hubs is not None:
+            rest = apart()
+            found = found.union(rest.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(least).select(*pair("x.fp", "x.hub")) if first else rest.select(*pair("fp", "hub")))
+        labels = _merged(labels, check(found), scratch)
     if dense is not None:
         first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, docs, doc_id, text)), percent, size).join(labelled(), "fp"))
         # a shingle of one component only, such as those of a group of copies, yields no pair
