@@ -149,10 +149,26 @@ def l13(spark, d):
     return w.select(*ARM, *big("recordings"), lo.alias("lo"), hi.alias("hi"))
 
 
-@query("L14_practice_sample")
+cte("pchunk", f"SELECT recording_id, start_s, site || ' · ' || {_BAND} AS stratum, md5('0:' || recording_id || ':' || CAST(start_s AS BIGINT)) AS h2 FROM (SELECT recording_id, site, (i * 43200)::DOUBLE AS start_s, (i * 12) % 24 AS h FROM e_rec, range(0, 60) t(i) WHERE labelled)")
+cte("palloc", """SELECT stratum, c, give - greatest(0, least(give, over - before)) AS give FROM (SELECT *, coalesce(sum(give) OVER (ORDER BY share, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+ sum(give) OVER () - 5 AS over FROM (SELECT stratum, c, 5.0 * c / sum(c) OVER () AS share, greatest(1, floor(5.0 * c / sum(c) OVER ())) AS give FROM (SELECT stratum, count(*) AS c FROM pchunk GROUP BY 1)))""")
+
+
+@query("L14_practice_sample", """SELECT recording_id, start_s, stratum, (row_number() OVER (ORDER BY r, stratum) - 1)::BIGINT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY k, h2) AS r FROM (
+ SELECT *, row_number() OVER (PARTITION BY stratum, recording_id ORDER BY h2) AS k FROM pchunk)) JOIN palloc USING (stratum) WHERE r <= give""")
 def l14(spark, d):
-    """A few random minutes of labelled recordings, for practice against the given boxes (feedback: G16)."""
-    return ls.draw_sample(tb.recordings(spark, d).where("labelled"), 5, 0, chunk_s=CH).select("recording_id", "start_s", "stratum")
+    """A few random minutes of labelled recordings, for practice against the given boxes (feedback: G16). Fewer places than strata."""
+    return ls.draw_sample(tb.recordings(spark, d).where("labelled"), 5, 0, chunk_s=CH).select("recording_id", "start_s", "stratum", F.col("order").cast("long").alias("ord"))
+
+
+cte("wpick", """SELECT recording_id, site FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY md5('4:' || recording_id)) AS turn FROM e_rec) ORDER BY turn, site LIMIT 7""")
+
+
+@query("L5_with_whole_recordings", """SELECT recording_id, start_s, true AS whole, (row_number() OVER (ORDER BY recording_id, start_s) - 1)::BIGINT AS ord FROM wpick, (SELECT (i * 43200)::DOUBLE AS start_s FROM range(0, 60) t(i))""")
+def l5w(spark, d):
+    """Seven recordings in full, across sites, and no single chunks."""
+    s = ls.draw_sample(tb.recordings(spark, d), 0, 4, chunk_s=CH, whole_recordings=7)
+    return s.select("recording_id", "start_s", "whole", F.col("order").cast("long").alias("ord"))
 
 
 # ------------------------------------------------------------------ exploration

@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from chorale import schemas
 from chorale.operators import outcomes as oc
 from chorale.operators import thresholds as th
-from chorale.operators.labelsets import allocate, draw_sample
+from chorale.operators.labelsets import draw_sample, quotas
 from chorale.params import RuleSpec
 from chorale.sources import annotations as an
 from chorale.sources import bundle as bd
@@ -130,15 +131,52 @@ def test_false_events_merge_consecutive_windows(spark):
         assert oc.false_events(lab, [], block).first().events == 3
 
 
-def test_allocation_and_sample(spark):
-    assert allocate({"a": 90, "b": 9, "c": 1}, 10) == {"a": 9, "b": 1, "c": 0}  # the smallest share gives way
-    assert sum(allocate({f"s{i}": 3 for i in range(10)}, 4).values()) == 4
-    r = spark.createDataFrame([(f"r{i}", 600.0, f"site{i % 3}", "2024-01-01T05:00:00") for i in range(9)], "recording_id string, duration_s double, site string, start_time string")
-    s = draw_sample(r, 12, 1)
-    got = s.collect()
-    assert sorted(x.order for x in got) == list(range(12)) and len({x.recording_id for x in got}) == 9
-    more = draw_sample(r, 3, 2, existing=s).collect()
-    assert min(x.order for x in more) == 12 and not {(x.recording_id, x.start_s) for x in more} & {(x.recording_id, x.start_s) for x in got}
+def plain_quotas(sizes, n):
+    """Places handed out one by one."""
+    n = min(n, sum(sizes.values()))
+    share = {k: n * v / sum(sizes.values()) for k, v in sizes.items()}
+    got = {k: min(v, max(1, int(share[k]))) for k, v in sizes.items()}
+    for k in sorted(sizes, key=lambda k: (share[k], k)):
+        while sum(got.values()) > n and got[k]:
+            got[k] -= 1
+    for k in sorted(sizes, key=lambda k: (share[k] - got[k], k), reverse=True):
+        if sum(got.values()) < n and got[k] < sizes[k]:
+            got[k] += 1
+    return got
+
+
+def test_quotas_of_random_strata(spark):
+    r = random.Random(3)
+    worlds = [({"a": 90, "b": 9, "c": 1}, 10), ({f"s{i}": 3 for i in range(10)}, 4)] + [
+        ({f"s{i:02d}": r.choice([1, 2, 3, 5, 40, 400]) for i in range(r.randrange(1, 25))}, r.choice([0, 1, 7, 30, 200, 5000])) for _ in range(12)]
+    for sizes, n in worlds:
+        got = {x.stratum: x.quota for x in quotas(spark.createDataFrame(list(sizes.items()), "stratum string, size long"), n).collect()}
+        assert got == plain_quotas(sizes, n), (sizes, n)
+        assert sum(got.values()) == min(n, sum(sizes.values()))
+
+
+def sites(spark, n=9):
+    return spark.createDataFrame([(f"r{i}", 600.0, f"site{i % 3}", "2024-01-01T05:00:00") for i in range(n)], "recording_id string, duration_s double, site string, start_time string")
+
+
+def test_sample_spreads_and_is_extended_never_redrawn(spark):
+    s = draw_sample(sites(spark), 12, 1)
+    got = sorted(s.collect(), key=lambda x: x.order)
+    assert [x.order for x in got] == list(range(12)) and len({x.recording_id for x in got}) == 9
+    assert len({x.stratum for x in got[:3]}) == 3
+    more = sorted(draw_sample(sites(spark), 3, 2, existing=s).collect(), key=lambda x: x.order)
+    assert more[:12] == got and [x.order for x in more] == list(range(15)) and len({(x.recording_id, x.start_s) for x in more}) == 15
+
+
+def test_sample_takes_whole_recordings_across_sites(spark):
+    s = sorted(draw_sample(sites(spark), 4, 0, whole_recordings=2).collect(), key=lambda x: x.order)
+    whole = [x for x in s if x.whole]
+    assert [x.order for x in s] == list(range(24)) and s[:20] == whole and len(s) == 24
+    names = sorted({x.recording_id for x in whole})
+    assert len(names) == 2 and len({int(x[1:]) % 3 for x in names}) == 2 and [x.recording_id for x in whole] == [names[0]] * 10 + [names[1]] * 10
+    assert [x.start_s for x in whole[:10]] == [60.0 * i for i in range(10)] and not {x.recording_id for x in s[20:]} & set(names)
+    again = draw_sample(sites(spark), 0, 5, existing=spark.createDataFrame(s), whole_recordings=1).where("whole").select("recording_id").distinct()
+    assert again.count() == 3 and draw_sample(sites(spark).limit(0), 5).count() == 0
 
 
 def test_bundle_numbers_are_dense(spark):
