@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.operators.intervals import (chunks_touched, interval_join, labels_window, merge_spans,
-                                         within_or_last)
+from chorale.operators.intervals import (LONG_AGO, chunks_touched, interval_join, labels_window, merge_spans,
+                                         open_ended, within, within_or_last)
 from chorale.params import MIN_OVERLAP_S, UNKNOWN_BIRD
 
 WIN = ["run_id", "recording_id", "start_s"]
@@ -87,10 +87,12 @@ def label_long(frames: DataFrame, boxes: DataFrame, bucket_s: float, keys: list[
 
 def closed_time_only(aligned: DataFrame, coverage: DataFrame, complete: DataFrame, recordings: DataFrame,
                      bucket_s: float) -> DataFrame:
-    """Incomplete recordings keep only windows wholly inside closed time; complete ones keep all."""
-    whole = aligned.join(complete.select("recording_id"), "recording_id", "left_semi")
-    rest = aligned.join(complete.select("recording_id"), "recording_id", "left_anti")
-    return whole.unionByName(within_or_last(rest, coverage, recordings, bucket_s).select(*whole.columns))
+    """Incomplete recordings keep only windows wholly inside closed time; complete ones keep all: their coverage is one
+    span without ends."""
+    names = complete.select("recording_id").distinct()
+    spans = open_ended(coverage.join(names, "recording_id", "left_anti"), recordings).unionByName(
+        names.select("recording_id", F.lit(LONG_AGO).alias("start_s"), F.lit(float("inf")).alias("end_s")))
+    return within(aligned, spans, bucket_s)
 
 
 def align_meta(aligned: DataFrame, keys: list[str]) -> DataFrame:

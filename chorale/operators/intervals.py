@@ -168,37 +168,46 @@ def union_length(df: DataFrame, keys: list[str], block_s: float) -> DataFrame:
     return d.groupBy(*keys).agg(F.sum(fresh).alias("covered_s"))
 
 
-def within(df: DataFrame, coverage: DataFrame, bucket_s: float) -> DataFrame:
-    """Rows lying wholly inside covered time: the backward as-of match on start, then the end test.
+#: Earlier than any row, and still a whole number of blocks of time.
+LONG_AGO = -1e15
 
-    Coverage spans are disjoint, so at most one span per row matches. A row is probed in its
-    start bucket only; a span is listed in every bucket it covers.
-    """
-    cov = with_buckets(coverage.select("recording_id", F.col("start_s").alias("_cs"), F.col("end_s").alias("_ce")),
-                       bucket_s, "_cs", "_ce")
-    probe = df.withColumn("_bk", F.floor(F.col("start_s") / bucket_s))
-    hit = (F.col("_cs") <= F.col("start_s")) & (F.col("end_s") <= F.col("_ce") + 1e-6)
-    return probe.join(cov, ["recording_id", "_bk"]).where(hit).drop("_bk", "_cs", "_ce")
+
+def last_span(df: DataFrame, spans: DataFrame, block_s: float) -> DataFrame:
+    """Each row with ``_ce``, the end of its recording's last span (recording_id, _cs, _ce) that starts no later than it;
+    NULL without one.
+
+    A merge as-of: rows and span starts are one ordering within (recording, time block); the span in force where a block
+    begins is carried over one row per block. So neither a long recording nor a long span is one task's."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    tagged = df.select("recording_id", F.col("start_s").alias("_t"), F.lit(1).alias("_tag"), row.alias("_row"), F.lit(None).cast("double").alias("_end")).unionByName(
+        spans.select("recording_id", F.col("_cs").alias("_t"), F.lit(0).alias("_tag"), F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType).alias("_row"), F.col("_ce").alias("_end")))
+    tagged = tagged.withColumn("_blk", F.floor(F.col("_t") / block_s))
+    so_far = Window.partitionBy("recording_id", "_blk").orderBy("_t", "_tag").rowsBetween(Window.unboundedPreceding, 0)
+    seen = tagged.withColumn("_in", F.last("_end", ignorenulls=True).over(so_far))
+    before = Window.partitionBy("recording_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = tagged.groupBy("recording_id", "_blk").agg(F.max_by("_end", F.when(F.col("_tag") == 0, F.col("_t"))).alias("_last"))
+    carried = blocks.select("recording_id", "_blk", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    out = seen.where("_tag = 1").join(carried, ["recording_id", "_blk"])
+    return out.select("_row.*", F.coalesce("_in", "_carry").alias("_ce"))
+
+
+def within(df: DataFrame, coverage: DataFrame, block_s: float) -> DataFrame:
+    """Rows lying wholly inside covered time: the last span to start before the row holds its end. Spans are disjoint."""
+    spans = coverage.select("recording_id", F.col("start_s").alias("_cs"), F.col("end_s").alias("_ce"))
+    return last_span(df, spans, block_s).where(F.col("end_s") <= F.col("_ce") + 1e-6).drop("_ce")
+
+
+def open_ended(coverage: DataFrame, durations: DataFrame) -> DataFrame:
+    """Coverage whose spans have no end where they reach the recording's."""
+    known = durations.select("recording_id", "duration_s")
+    reaches = F.coalesce(F.col("end_s") >= F.col("duration_s") - 1e-6, F.lit(False))
+    return coverage.select("recording_id", "start_s", "end_s").join(known, "recording_id", "left").select(
+        "recording_id", "start_s", F.when(reaches, F.lit(float("inf"))).otherwise(F.col("end_s")).alias("end_s"))
 
 
-def within_or_last(df: DataFrame, coverage: DataFrame, durations: DataFrame, bucket_s: float) -> DataFrame:
+def within_or_last(df: DataFrame, coverage: DataFrame, durations: DataFrame, block_s: float) -> DataFrame:
     """``within``, where a span that reaches the recording's end also admits rows running past it."""
-    cov = coverage.select("recording_id", "start_s", "end_s").join(
-        durations.select("recording_id", "duration_s"), "recording_id", "left").select(
-        "recording_id", "start_s", "end_s",
-        F.coalesce(F.col("end_s") >= F.col("duration_s") - 1e-6, F.lit(False)).alias("_open"))
-    spans = with_buckets(cov.withColumnRenamed("start_s", "_cs").withColumnRenamed("end_s", "_ce"),
-                         bucket_s, "_cs", "_ce")
-    probe = df.withColumn("_bk", F.floor(F.col("start_s") / bucket_s))
-    hit = (F.col("_cs") <= F.col("start_s")) & (F.col("_open") | (F.col("end_s") <= F.col("_ce") + 1e-6))
-    near = probe.join(spans, ["recording_id", "_bk"]).where(hit).drop("_bk", "_cs", "_ce", "_open")
-    # a row starting after the last bucket of an open span
-    tail = cov.where("_open").groupBy("recording_id").agg(
-        F.max_by("start_s", "end_s").alias("_cs"), F.max("end_s").alias("_ce"))
-    far = df.join(tail, "recording_id").where(
-        (F.col("start_s") >= F.col("_cs")) & (F.floor(F.col("start_s") / bucket_s) > F.floor(F.col("_ce") / bucket_s))
-    ).drop("_cs", "_ce")
-    return near.unionByName(far)
+    return within(df, open_ended(coverage, durations), block_s)
 
 
 def merge_runs(blocks: DataFrame, keys: list[str], block_s: float, tol: float = 1e-6) -> DataFrame:

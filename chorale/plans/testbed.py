@@ -143,13 +143,14 @@ def thresholded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Sign-off chunks: (r + 3*i) % 5 != 0 closed, by one of three labellers, at a recoverable time."""
+    """Sign-off chunks: (r + 3*i) % 5 != 0 closed, and all of every sixth recording, by one of three labellers, at a
+    recoverable time."""
     ch = recordings(spark, d).select(
         "recording_id", "site", "start_time", "duration_s",
         F.explode(F.sequence(F.lit(0), F.lit(int(DURATION_S // CHUNK_S) - 1))).alias("i"))
     r = F.expr("substring(recording_id, 2)").cast("long")
     i = F.col("i")
-    closed = (r + 3 * i) % 5 != 0
+    closed = ((r + 3 * i) % 5 != 0) | (r % 6 == 0)
     at = (r * 60 + i) * 240 + F.floor((r * 60 + i) / 7) * 1800
     return ch.select(
         "recording_id", (i * CHUNK_S).alias("start_s"), ((i + 1) * CHUNK_S).alias("end_s"), "site", "start_time",
@@ -252,9 +253,9 @@ cte("e_det", """SELECT x.*, s.occ, s.occ < 0.3 AS suppressed, s.occ < 0.3 AS imp
  row_number() OVER (PARTITION BY run_id, recording_id, start_s ORDER BY score DESC, x.species_key) AS rank
  FROM e_score x JOIN spp s USING (species_key)""")
 cte("chunks", """SELECT recording_id, (i * 43200)::DOUBLE AS start_s, ((i + 1) * 43200)::DOUBLE AS end_s, r, i, site,
- CASE WHEN (r + 3 * i) % 5 <> 0 THEN 'closed' ELSE 'open' END AS state,
- CASE WHEN (r + 3 * i) % 5 <> 0 THEN 'p' || (i % 3) ELSE '' END AS closed_by,
- CASE WHEN (r + 3 * i) % 5 <> 0 THEN (r * 60 + i) * 240 + (r * 60 + i) // 7 * 1800 END AS closed_sec
+ CASE WHEN (r + 3 * i) % 5 <> 0 OR r % 6 = 0 THEN 'closed' ELSE 'open' END AS state,
+ CASE WHEN (r + 3 * i) % 5 <> 0 OR r % 6 = 0 THEN 'p' || (i % 3) ELSE '' END AS closed_by,
+ CASE WHEN (r + 3 * i) % 5 <> 0 OR r % 6 = 0 THEN (r * 60 + i) * 240 + (r * 60 + i) // 7 * 1800 END AS closed_sec
  FROM e_rec, (SELECT unnest(range(0, 60)) AS i)""")
 cte("boxes", """SELECT recording_id, start_s, end_s, low_hz, high_hz,
  CASE WHEN CAST(box_id AS BIGINT) % 11 = 0 THEN 'unknown bird' ELSE species_key END AS species_key, box_id,

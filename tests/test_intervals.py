@@ -99,3 +99,46 @@ def test_pack_rows_first_fit(spark):
     b = spark.createDataFrame([("v", 0., 5., 0), ("v", 1., 3., 1), ("v", 3., 6., 2), ("v", 5., 7., 3)], "view string, start_s double, end_s double, tie long")
     got = {(r.start_s): r.row for r in iv.pack_rows(b, ["view"], "view string, start_s double, end_s double, tie long, row long").collect()}
     assert got == {0.: 0, 1.: 1, 3.: 1, 5.: 0}
+
+
+def test_last_span_and_closed_time_against_a_scan(spark):
+    import random
+
+    from chorale.operators.align import closed_time_only
+    r = random.Random(7)
+    spans, rows, length = [], [], {f"r{i}": float(r.choice([100, 1000, 20_000])) for i in range(6)}
+    for rec, d in length.items():
+        t = 0.0
+        while t < d and rec != "r5":  # r5 has no coverage
+            t += r.choice([0, 1, 40, 900])
+            end = min(d, t + r.choice([1, 5, 300, 5000]))
+            if t < d:
+                spans.append((rec, t, end))
+            t = end + r.choice([1, 7])
+        rows += [(rec, s, s + r.choice([.5, 3, 60]), i) for i, s in enumerate(round(r.uniform(0, d), 1) for _ in range(80))] + [(rec, d - 1, d + 50, 99), (rec, d + 500, d + 600, 100)]
+    df = spark.createDataFrame(rows, "recording_id string, start_s double, end_s double, i int")
+    cov = spark.createDataFrame(spans, "recording_id string, start_s double, end_s double")
+    dur = spark.createDataFrame([x for x in length.items() if x[0] != "r4"], "recording_id string, duration_s double")  # r4's length is not known
+    full = spark.createDataFrame([("r1",), ("r5",)], "recording_id string")
+
+    def kept(open_end, complete=()):
+        out = []
+        for rec, s, e, i in rows:
+            last = max((x for x in spans if x[0] == rec and x[1] <= s), default=None)
+            inside = last and (e <= last[2] + 1e-6 or open_end and rec != "r4" and last[2] >= length[rec] - 1e-6)
+            if rec in complete or inside:
+                out.append((rec, s, e, i))
+        return sorted(out)
+    got = lambda x: sorted(tuple(y) for y in x.select("recording_id", "start_s", "end_s", "i").collect())
+    for block in (3.0, 500.0, 1e6):
+        assert got(iv.within(df, cov, block)) == kept(False)
+        assert got(iv.within_or_last(df, cov, dur, block)) == kept(True)
+        assert got(closed_time_only(df, cov, full, dur, block)) == kept(True, ("r1", "r5"))
+    assert iv.within(df, cov.limit(0), 10.0).count() == 0
+
+
+def test_no_join_on_the_recording_alone_for_rows(spark):
+    df = spark.createDataFrame([("r", 1.0, 2.0)], "recording_id string, start_s double, end_s double")
+    plan = iv.within(df, df, 10.0)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and all("_blk" in x for x in joins)
