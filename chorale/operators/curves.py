@@ -54,15 +54,28 @@ def average_precision(curve: DataFrame, keys: list[str]) -> DataFrame:
         F.try_divide(F.sum(F.col("dp") * F.col("precision")), F.max("n_pos").cast("double")).alias("ap"))
 
 
+#: Kind of rule: (what must reach the rule's value, what is made greatest), as columns of curve points.
+MERITS = {"fbeta": (None, lambda value: fbeta(F.col("precision"), F.col("recall"), value)),
+          "precision": ("precision", lambda value: F.col("recall")),
+          "recall": ("recall", lambda value: F.col("precision"))}
+
+
+def rule_name(rule: Rule) -> str:
+    """First letter and value, as in p0.95."""
+    return f"{rule.kind[:1]}{rule.value:g}"
+
+
+def rule_column(rule: Rule) -> str:
+    return rule_name(rule).replace(".", "_")
+
+
 def _merit(rule: Rule) -> tuple[Column, Column]:
     """(eligible, what is maximised) of one rule over curve points."""
-    p, r = F.col("precision"), F.col("recall")
-    supported = (F.col("tp") + F.col("fp") >= rule.min_support) & (F.col("n_pos") > 0)
-    if rule.kind == "fbeta":
-        return supported, fbeta(p, r, rule.value)
-    if rule.kind == "precision":
-        return supported & (p >= rule.value), r
-    return supported & (r >= rule.value), p
+    if rule.kind not in MERITS:
+        raise ValueError(f"no such kind of rule: {rule.kind}; there are {', '.join(MERITS)}")
+    floored, goal = MERITS[rule.kind]
+    ok = (F.col("tp") + F.col("fp") >= rule.min_support) & (F.col("n_pos") > 0)
+    return (ok & (F.col(floored) >= rule.value) if floored else ok), goal(rule.value)
 
 
 def apply_rules(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) -> DataFrame:
@@ -94,7 +107,7 @@ def apply_rules(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) -> DataF
             F.when(found, fbeta(b["precision"], b["recall"])).alias("f1"),
             F.coalesce(b["tp"], F.lit(0)).alias("tp"), F.coalesce(b["fp"], F.lit(0)).alias("fp"),
             F.coalesce(b["fn"], F.col("_n_pos")).alias("fn"),
-            found.alias("feasible"), reason.alias("reason")).alias(rule.column))
+            found.alias("feasible"), reason.alias("reason")).alias(rule_column(rule)))
     return picked.select(*keys, F.col("_n_pos").alias("n_pos"), *cols)
 
 
@@ -114,7 +127,7 @@ def floor_thetas(curve: DataFrame, keys: list[str], floors, min_support: int = 1
 def rule_rows(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) -> DataFrame:
     """The same, long: one row per (keys, rule)."""
     wide = apply_rules(curve, keys, rules)
-    arr = F.array(*[F.struct(F.lit(r.slug).alias("rule"), *[F.col(f"{r.column}.{c}").alias(c) for c in (
+    arr = F.array(*[F.struct(F.lit(rule_name(r)).alias("rule"), *[F.col(f"{rule_column(r)}.{c}").alias(c) for c in (
         "theta", "precision", "recall", "f1", "tp", "fp", "fn", "feasible", "reason")]) for r in rules])
     return wide.select(*keys, F.explode(arr).alias("r")).select(*keys, "r.*")
 
@@ -125,7 +138,7 @@ def per_species_table(curve: DataFrame, keys: list[str], rules=DEFAULT_RULES) ->
     out = ap.join(picked, keys).withColumn("prevalence", F.col("n_positive") / F.col("n_windows"))
     return out.select(
         *keys, "n_positive", "n_windows", "prevalence", "ap",
-        *[F.col(f"{r.column}.{c}").alias(f"{c}_{r.column}") for r in rules
+        *[F.col(f"{rule_column(r)}.{c}").alias(f"{c}_{rule_column(r)}") for r in rules
           for c in ("theta", "precision", "recall", "feasible")])
 
 
@@ -150,7 +163,7 @@ def summary(aligned: DataFrame, arm: list[str], rules=DEFAULT_RULES, min_positiv
     micro_ap = average_precision(micro, arm).select(
         *arm, F.col("ap").alias("micro_ap"), F.col("n_windows").alias("n_pairs"))
     picks = apply_rules(micro, arm, rules)
-    picks = picks.select(*arm, *[F.col(f"{r.column}.{c}").alias(f"{c}_{r.column}") for r in rules
+    picks = picks.select(*arm, *[F.col(f"{rule_column(r)}.{c}").alias(f"{c}_{rule_column(r)}") for r in rules
                                  for c in ("theta", "precision", "recall")])
     windows = aligned.groupBy(*arm, "recording_id", "start_s").agg(F.lit(1)).groupBy(*arm).agg(
         F.count(F.lit(1)).alias("n_windows"))

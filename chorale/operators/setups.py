@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.operators.survey import bar_of
 from chorale.params import SurveyRule
 
 
@@ -26,7 +27,7 @@ def claim(score: DataFrame, rule: SurveyRule, label: str) -> DataFrame:
     f, c = rule.firm, rule.check
     share = lambda x: F.when(F.col(x).isNotNull(), F.concat(F.format_string("%.0f", F.col(x) * 100), F.lit("%"))).otherwise("—")
     text = F.concat(
-        F.col(label), F.lit(f": firm after {f.k} detections at {f.bar}, checked after {c.k} at {c.bar}. Measured on "),
+        F.col(label), F.lit(f": firm after {f.k} detections at {bar_of(f)}, checked after {c.k} at {bar_of(c)}. Measured on "),
         F.col("n_recordings").cast("string"), F.lit(" recording(s) ("), F.format_string("%.1f", F.col("hours")),
         F.lit(" h): firm calls right "), share("firm_precision"), F.lit(", birds found after checking "), share("recall_reviewed"))
     return score.withColumn("claim", text)

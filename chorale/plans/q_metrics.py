@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators import curves as cv
 from chorale.operators import prefix
+from chorale.operators.curves import rule_column, rule_name
 from chorale.params import DEFAULT_RULES, Rule
 from chorale.plans import testbed as tb
 from chorale.plans.registry import big, cte, query, r6
@@ -56,7 +57,7 @@ def rules_sql(src: str, rules) -> str:
         best = "recall" if r.kind == "recall" else "precision"
         miss = (f"'no point predicts ≥ {r.min_support} windows'" if r.kind == "fbeta" else
                 f"'{r.kind} never reaches {r.value:g} (best ' || coalesce(printf('%.3f', b.best), 'nan') || ')'")
-        parts.append(f"""SELECT k.species_key, '{r.slug}' AS rule, round(x.theta, 6) AS theta, round(x.precision, 6) AS precision,
+        parts.append(f"""SELECT k.species_key, '{rule_name(r)}' AS rule, round(x.theta, 6) AS theta, round(x.precision, 6) AS precision,
  round(x.recall, 6) AS recall, round(CASE WHEN x.theta IS NOT NULL THEN CASE WHEN x.precision + x.recall > 0 THEN
  2 * x.precision * x.recall / (x.precision + x.recall) ELSE 0 END END, 6) AS f1, coalesce(x.tp, 0)::BIGINT AS tp, coalesce(x.fp, 0)::BIGINT AS fp,
  coalesce(x.fn, k.n_pos)::BIGINT AS fn, x.theta IS NOT NULL AS feasible,
@@ -84,9 +85,9 @@ def j4(spark, d):
 
 
 def _per_species_sql(src: str) -> str:
-    joins = "".join(f" LEFT JOIN ({rule_sql(src, 'species_key', r)}) {r.column} USING (species_key)" for r in DEFAULT_RULES)
-    cols = ", ".join(f"round({r.column}.{c}, 6) AS {c}_{r.column}" for r in DEFAULT_RULES for c in CURVE)
-    feas = ", ".join(f"{r.column}.theta IS NOT NULL AS feasible_{r.column}" for r in DEFAULT_RULES)
+    joins = "".join(f" LEFT JOIN ({rule_sql(src, 'species_key', r)}) {rule_column(r)} USING (species_key)" for r in DEFAULT_RULES)
+    cols = ", ".join(f"round({rule_column(r)}.{c}, 6) AS {c}_{rule_column(r)}" for r in DEFAULT_RULES for c in CURVE)
+    feas = ", ".join(f"{rule_column(r)}.theta IS NOT NULL AS feasible_{rule_column(r)}" for r in DEFAULT_RULES)
     return f"""SELECT species_key, k.n_positive::BIGINT AS n_positive, k.n_windows::BIGINT AS n_windows,
  round(k.n_positive / k.n_windows, 6) AS prevalence, round(k.ap, 6) AS ap, {cols}, {feas}
  FROM (SELECT species_key, max(n_pos) AS n_positive, max(n_all) AS n_windows, sum(dp * precision) / max(n_pos) AS ap
@@ -96,9 +97,9 @@ def _per_species_sql(src: str) -> str:
 @query("J5_per_species_table", _per_species_sql("l_curve"))
 def j5(spark, d):
     t = cv.per_species_table(cv.pr_curve(tb.line_aligned(spark, d), ["species_key"]), ["species_key"])
-    num = [f"{c}_{r.column}" for r in DEFAULT_RULES for c in CURVE]
+    num = [f"{c}_{rule_column(r)}" for r in DEFAULT_RULES for c in CURVE]
     return t.select("species_key", *big("n_positive", "n_windows"), *r6("prevalence", "ap", *num),
-                    *[f"feasible_{r.column}" for r in DEFAULT_RULES])
+                    *[f"feasible_{rule_column(r)}" for r in DEFAULT_RULES])
 
 
 cte("e_ap", """SELECT run_id, species_key, max(n_pos) AS n_positive, max(n_all) AS n_windows,
@@ -114,12 +115,12 @@ def j6(spark, d):
 
 
 def _micro_rules(src: str) -> str:
-    return "".join(f" LEFT JOIN ({rule_sql(src, 'run_id', r)}) {r.column} USING (run_id)" for r in DEFAULT_RULES)
+    return "".join(f" LEFT JOIN ({rule_sql(src, 'run_id', r)}) {rule_column(r)} USING (run_id)" for r in DEFAULT_RULES)
 
 
 SUMMARY_SQL = f"""SELECT run_id, round(c.cmap, 6) AS cmap, c.n_species, c.n_excluded, 1::BIGINT AS min_positives,
  round(m.micro_ap, 6) AS micro_ap, m.n_pairs::BIGINT AS n_pairs, w.n_windows,
- {', '.join(f'round({r.column}.{c}, 6) AS {c}_{r.column}' for r in DEFAULT_RULES for c in CURVE)}
+ {', '.join(f'round({rule_column(r)}.{c}, 6) AS {c}_{rule_column(r)}' for r in DEFAULT_RULES for c in CURVE)}
  FROM (SELECT run_id, avg(ap) AS cmap, count(ap) AS n_species, count(*) - count(ap) AS n_excluded FROM e_ap GROUP BY 1) c
  JOIN (SELECT run_id, sum(dp * precision) / max(n_pos) AS micro_ap, max(n_all) AS n_pairs FROM e_micro GROUP BY 1) m USING (run_id)
  JOIN (SELECT run_id, count(DISTINCT (recording_id, start_s)) AS n_windows FROM e_al GROUP BY 1) w USING (run_id)
@@ -129,7 +130,7 @@ SUMMARY_SQL = f"""SELECT run_id, round(c.cmap, 6) AS cmap, c.n_species, c.n_excl
 @query("J7_summary", SUMMARY_SQL)
 def j7(spark, d):
     s = cv.summary(tb.aligned(spark, d), ["run_id"])
-    return s.select("run_id", *r6("cmap", "micro_ap", *[f"{c}_{r.column}" for r in DEFAULT_RULES for c in CURVE]),
+    return s.select("run_id", *r6("cmap", "micro_ap", *[f"{c}_{rule_column(r)}" for r in DEFAULT_RULES for c in CURVE]),
                     *big("n_species", "n_excluded", "min_positives", "n_pairs", "n_windows"))
 
 

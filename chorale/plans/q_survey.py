@@ -470,7 +470,7 @@ def v23(spark, d):
 # ------------------------------------------------------------------ setups
 @query("N1_bars_payload", "SELECT run_id, species_key, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, round(theta, 6) AS theta FROM bars WHERE floor IN (0.5, 0.9) AND theta IS NOT NULL")
 def n1(spark, d):
-    return bars(spark, d).where(F.col("bar").isin(RULE.check.bar, RULE.firm.bar) & F.col("species_key").isNotNull() & F.col("theta").isNotNull()).select(
+    return bars(spark, d).where(F.col("bar").isin(sv.bar_of(RULE.check), sv.bar_of(RULE.firm)) & F.col("species_key").isNotNull() & F.col("theta").isNotNull()).select(
         *ARM, "species_key", "bar", *r6("theta"))
 
 

@@ -53,7 +53,7 @@ def t1(spark, d):
 
 @query("T1_resolve_fixed", """SELECT CASE WHEN species_key IS NULL THEN '*' ELSE species_key END AS species_key, model,
  CASE WHEN model = 'runA' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS theta, CASE WHEN species_key IS NULL THEN 'fallback' ELSE 'rule' END AS source,
- 'fixed θ for this model' AS reason FROM (SELECT model, species_key FROM t_own UNION ALL SELECT DISTINCT model, NULL FROM t_own)""")
+ 'theta given for the model' AS reason FROM (SELECT model, species_key FROM t_own UNION ALL SELECT DISTINCT model, NULL FROM t_own)""")
 def t1f(spark, d):
     spec = RuleSpec(kind="fixed", fixed={"runA": 0.3})
     return th.resolve(spec, cv.curve_from_ties(_ties(spark, d), ["model", "species_key"])).select(

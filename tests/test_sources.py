@@ -113,7 +113,10 @@ def test_threshold_set_on_disk(spark, tmp_path):
     assert th.load_set(spark, str(tmp_path), "night").count() == 2
     back = th.set_from_json(th.set_to_json(s, RuleSpec()))
     assert sorted((r.part, r.theta or 0) for r in back.collect()) == [("default", 0), ("snapshot", .4)]
-    assert RuleSpec.from_dict({**RuleSpec().to_dict(), "unknown": 1}) == RuleSpec()
+    spec = RuleSpec(kind="fixed", fixed={"m": 0.25}, min_labelled=3)
+    assert th.spec_from_document({**th.spec_document(spec), "unknown": "1"}) == spec and th.curve_rule(spec) is None
+    with pytest.raises(ValueError):
+        th.curve_rule(RuleSpec(kind="none such"))
 
 
 def test_unasked_box_is_outside_every_rate(spark):

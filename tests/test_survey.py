@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chorale.operators import survey as sv
 from chorale.operators import resample as rs
 from chorale.operators.curves import tie_counts
-from chorale.params import Condition, Constraints, RuleSpec, SurveyRule, swept
+from chorale.params import Condition, Constraints, RuleSpec, SurveyRule
 
 DET = "m string, recording_id string, start_s double, species_key string, score_raw float, implausible boolean"
 
@@ -56,7 +56,7 @@ def test_sweep_cells_equal_direct_assessment(spark):
     cells = sv.sweep(ev, rule, truth, recs, ["m"], labels, floors, ks, floors).collect()
     assert len(cells) == 12
     for c in cells:
-        r = swept(rule, c.floor, c.k, c.check_floor)
+        r = sv.cell_rule(rule, c.floor, c.k, c.check_floor)
         s = sv.score(sv.assess(ev, r, truth, recs, ["m"], labels), ["m"]).first()
         assert [c[x] for x in sv.STATS] == pytest.approx([s[x] for x in sv.STATS], nan_ok=True)
 
