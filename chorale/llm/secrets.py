@@ -109,16 +109,23 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, stop, score) of literals that reach a sensitive name directly or through other names."""
     if ":" not in text and "=" not in text:
         return []
-    values: dict[str, list[tuple[int, int]]] = {}
-    reach: dict[tuple[int, int], float] = {}
+    # an assignment keeps its own literals and points to those it refers to; weights then run back once, from the last
+    latest: dict[str, int] = {}
+    made: list[tuple[list[tuple[int, int]], list[int]]] = []
+    weights: list[float] = []
     for name, literals, refers in assignments(text):
-        known = [s for r in refers for s in values.get(r, ())]
-        own = [s for s in literals if not (text[s[0]:s[1]] in refers and text[s[0]:s[1]] in values)]
-        values[name] = spans = list(dict.fromkeys(own + known))
-        weight = sensitivity(name)
-        if weight:
-            for s in spans:
-                reach[s] = max(reach.get(s, 0.0), weight)
+        own = [s for s in literals if not (text[s[0]:s[1]] in refers and text[s[0]:s[1]] in latest)]
+        made.append((own, [latest[r] for r in dict.fromkeys(refers) if r in latest]))
+        weights.append(sensitivity(name))
+        latest[name] = len(made) - 1
+    reach: dict[tuple[int, int], float] = {}
+    for i in range(len(made) - 1, -1, -1):
+        if weights[i]:
+            own, sources = made[i]
+            for j in sources:
+                weights[j] = max(weights[j], weights[i])
+            for s in own:
+                reach[s] = max(reach.get(s, 0.0), weights[i])
     out = []
     for (a, b), weight in sorted(reach.items()):
         score = weight * looks(text[a:b])

@@ -84,15 +84,17 @@ def filter_urls(pages: DataFrame, links: DataFrame, rules: DataFrame, scratch: S
     a host have empty parts and are allowed. Columns of ``pages`` named host, path, rule or verdict are replaced.
     """
     host, path, address = parts(F.col(url))
-    own = pages.drop("host", "path", "rule", "verdict", "address_", "ruled").withColumns({"host": host, "path": path, "address_": address})
-    own = judged(own, rules)
+    # the page's own columns travel as one, so that no name of theirs meets one of these
+    own = judged(pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), host.alias("host"), path.alias("path"), address.alias("address")), rules)
     ends = scratch.cut(links.select("url", "target")).select(parts(F.col("url"))[2].alias("a"), parts(F.col("target"))[2].alias("b")).where("a <> b")
     ends = scratch.cut(ends.distinct())
-    if ends.isEmpty():
-        return own.withColumn("verdict", F.coalesce("ruled", F.lit("allow"))).drop("ruled", "address_")
-    roots = components(ends, scratch)
-    h, p, _ = parts(F.concat(F.lit("x://"), F.col("node")))
-    members = judged(roots.withColumns({"host": h, "path": p}), rules)
-    fate = members.groupBy("root").agg(F.min("ruled").alias("fate"))  # allow sorts before block
-    fate = roots.join(fate, "root").where("fate is not null").select(F.col("node").alias("address_"), "fate")
-    return own.join(fate, "address_", "left").withColumn("verdict", F.coalesce("ruled", "fate", F.lit("allow"))).drop("ruled", "address_", "fate")
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("ruled", F.lit("allow"))}
+    if not ends.isEmpty():
+        roots = components(ends, scratch)
+        h, p, _ = parts(F.concat(F.lit("x://"), F.col("node")))
+        members = judged(roots.withColumns({"host": h, "path": p}), rules)
+        fate = members.groupBy("root").agg(F.min("ruled").alias("fate"))  # allow sorts before block
+        fate = roots.join(fate, "root").where("fate is not null").select(F.col("node").alias("address"), "fate")
+        own = own.join(fate, "address", "left")
+        made["verdict"] = F.coalesce("ruled", "fate", F.lit("allow"))
+    return own.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c not in made], *[c.alias(n) for n, c in made.items()])

@@ -60,3 +60,20 @@ def test_many_assignments_stay_linear():
     scan_text('k="' * 100_000)
     scan_text("token " * 100_000)
     assert time.time() - t0 < 20
+
+
+def test_a_name_that_grows_by_itself_stays_linear():
+    import time
+
+    from chorale.llm.secrets import literal_spans
+    text = "".join(f'a = a + "x{i}"\n' for i in range(40_000)) + 'b = a\npassword = b + "q7Zk2Lw9Xv4T"\n'
+    start = time.time()
+    got = literal_spans(text)
+    assert time.time() - start < 20 and len(text) - 2 in {b for _, b, _ in got}
+
+
+def test_weights_run_back_over_chains_and_only_over_earlier_values():
+    from chorale.llm.secrets import literal_spans
+    text = 'k = "q7Zk2Lw9Xv4T"\nm = k\nk = "zzzzzz7Lw9Xv4T8"\npassword = m\n'
+    found = {text[a:b] for a, b, _ in literal_spans(text)}
+    assert "q7Zk2Lw9Xv4T" in found and "zzzzzz7Lw9Xv4T8" not in found

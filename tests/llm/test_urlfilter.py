@@ -72,3 +72,49 @@ def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     s = Scratch(spark)
     assert filter_urls(none, page_links(none, s), rule_table(spark, RULES), s).count() == 0
+
+
+def test_random_link_graphs_against_union_find_and_any_column_names(spark):
+    import random
+
+    from chorale.llm.store import Scratch
+    from chorale.llm.urlfilter import filter_urls, rule_table
+    r = random.Random(12)
+    hosts = ["a.net", "b.a.net", "c.com", "www.c.com", "d.org", "e.org", "f.io", "g.io"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'x'])}/p{i % 120}" for i in range(400)] + [None, "no scheme", "http://"]
+    links = [(f"http://h{i}.io/s", f"http://h{i + 1}.io/s") for i in range(40)] + [("http://h40.io/s", "http://h0.io/s")]  # a long cycle
+    links += [(r.choice(urls[:400]), r.choice(urls[:400])) for _ in range(60)] + [(urls[i], "http://hub.io/all") for i in range(0, 60, 3)]  # a hot target
+    links += [("http://hub.io/all", "http://c.com/de/p1"), (None, urls[0]), (urls[1], None), ("http://h7.io/s", "http://b.a.net/en/own")]
+    rules = [("block", "a.net/"), ("allow", "b.a.net/en/"), ("block", "c.com/de/"), ("allow", "d.org/fr/")]
+
+    def cut(u):
+        if not u or "://" not in u:
+            return "", ""
+        rest = u.split("://", 1)[1]
+        host = rest.split("/")[0].split("?")[0].split("#")[0].lower()
+        return host, rest[len(host):].split("?")[0].split("#")[0]
+
+    def ruled(host, path):
+        fits = [(len(x), v, x) for v, x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        return max(fits)[1:] if fits else (None, None)
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in links:
+        if a and b:
+            parent[find(cut(a))] = find(cut(b))
+    fate = {}
+    for x in list(parent):
+        v = ruled(*x)[0]
+        if v:
+            fate[find(x)] = "allow" if "allow" in (v, fate.get(find(x))) else "block"
+    want = sorted((str(i), *cut(u), ruled(*cut(u))[1], ruled(*cut(u))[0] or (fate.get(find(cut(u))) if cut(u) in parent else None) or "allow") for i, u in enumerate(urls))
+    pages = spark.createDataFrame([(str(i), u, 1, 2, 3, 4, 5, "x") for i, u in enumerate(urls)], "id string, url string, fit int, fate int, best int, node int, row int, host string")
+    out = filter_urls(pages, spark.createDataFrame(links, "url string, target string"), rule_table(spark, rules), Scratch(spark))
+    got = sorted((x.id, x.host, x.path, x.rule, x.verdict) for x in out.collect())
+    assert got == want and {x[-1] for x in want} == {"allow", "block"} and sum(x[3] is None and x[4] == "block" for x in want) > 3
+    assert out.where("fit = 1 and fate = 2 and best = 3 and node = 4 and row = 5").count() == len(urls)
