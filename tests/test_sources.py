@@ -212,6 +212,13 @@ def test_scan_folder_any_case_and_long_headers(spark, tmp_path):
         im.scan_folder(spark, str(tmp_path / "none"))
 
 
+def test_scan_folder_with_odd_file_names(spark, tmp_path):
+    names = ["a b.wav", "c#d.wav", "50%20 e.wav", "été?.wav"]
+    for i, n in enumerate(names):
+        wav(tmp_path / n, i + 1)
+    assert {r.path: r.duration_s for r in im.scan_folder(spark, str(tmp_path)).collect()} == {n: i + 1.0 for i, n in enumerate(names)}
+
+
 def test_content_ref_tells_repeats_and_nulls(spark):
     from chorale.operators.runs import content_ref
     ref = lambda rows: content_ref(spark.createDataFrame(rows, "a string, b string"), "x").first()["ref"]
