@@ -28,6 +28,17 @@ BLOCK, STRIDE = 8, 1 << 10
 LEAST, TIMES = 24, 3
 
 
+#: Texts that are turned into Python strings at once.
+SLICE = 256
+
+
+def slices(batches):
+    """The same rows in short batches, so that few texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -198,7 +209,7 @@ def periodic_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("th"), F.col(text).alias("t")).where(F.length("t") >= 2 * LEAST - 1)
 
     def job(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], []]
             for d, th, t in zip(*(c.to_pylist() for c in b.columns)):
                 for found in fragments_of(numbered(words(t)), tile):
@@ -243,8 +254,12 @@ def with_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile:
 
     @F.arrow_udf(shape)
     def judged(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        parts = [part(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in slices([pa.RecordBatch.from_arrays([texts, runs], names=["t", "r"])])]
+        return pa.concat_arrays(parts) if parts else part([], [])
+
+    def part(texts: list, runs: list) -> pa.Array:
         lists, best, kept = [], [], []
-        for t, rs in zip(texts.to_pylist(), runs.to_pylist()):
+        for t, rs in zip(texts, runs):
             w, rs = words(t), rs or []
             top = None
             for x in rs:  # in order of start and period: only a greater ratio takes the place
