@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.components import components
-from chorale.llm.shingles import WordHashes, common, shingle_set
+from chorale.llm.shingles import WordHashes, common, shingle_set, slices
 from chorale.llm.store import Scratch
 
 FUNCTIONS = 128
@@ -64,7 +64,7 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
         memo, mult = WordHashes(), _multipliers()
         mix, top = np.uint64(0x9E3779B97F4A7C15), np.uint64(62)
         shift = (2 * np.arange(32)).astype(np.uint64)
-        for b in batches:
+        for b in slices(batches):
             n, fp, mins, bits, odd = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 s = shingle_set(t, memo, size)
@@ -196,7 +196,7 @@ def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
 
     def count(batches):
         memo, seen = WordHashes(), np.zeros(CELLS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 np.add.at(seen, shingle_set(t, memo, size) % np.uint64(CELLS), 1)
         at = np.flatnonzero(seen)
@@ -209,7 +209,7 @@ def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
 
     def pick(batches):
         memo = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             fps, keys = [], []
             for fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingle_set(t, memo, size)
@@ -228,7 +228,7 @@ def _confirmed(pairs: DataFrame, entities: DataFrame, docs: DataFrame, percent:
 
     def job(batches):
         memo, kept = WordHashes(), (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for ta, b, tb in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 if kept[0] != b:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from chorale.llm.store import Scratch
+from chorale.llm.shingles import slices
 
 #: Words of a tile that serves all octaves up to its 32nd part; longer octaves have tiles of 32 blocks.
 TILE = 1 << 15
@@ -28,17 +28,6 @@ BLOCK, STRIDE = 8, 1 << 10
 LEAST, TIMES = 24, 3
 
 
-#: Texts that are turned into Python strings at once.
-SLICE = 256
-
-
-def slices(batches):
-    """The same rows in short batches, so that few texts are Python strings at a time."""
-    for b in batches:
-        for i in range(0, len(b), SLICE):
-            yield b.slice(i, SLICE)
-
-
 def words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

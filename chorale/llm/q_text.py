@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm import linededup, periodic
 from chorale.llm.registry import query
+from chorale.llm.shingles import slices
 from chorale.llm.store import Scratch, table
 
 
@@ -60,7 +61,7 @@ def repeating(docs):
     n words of a text with h % 10 = 0 go on from word a = g % n as copies of the p = 1 + (n - a) // (3 + g % 8) words there."""
 
     def job(batches):
-        for b in periodic.slices(batches):
+        for b in slices(batches):
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = None if d is None or t is None else zlib.crc32(str(d).encode())

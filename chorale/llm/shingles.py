@@ -10,10 +10,21 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 _SHIFT = np.uint64(29)
 
 
+#: Texts that are turned into Python strings at once.
+SLICE = 256
+
+
+def slices(batches):
+    """The same rows in short batches, so that few texts are Python strings at a time."""
+    for b in batches:
+        for i in range(0, len(b), SLICE):
+            yield b.slice(i, SLICE)
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it has grown large."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
