@@ -25,6 +25,8 @@ from chorale.session import cut
 
 #: Folds that share a cell of work, and recordings that do.
 FOLD_BLOCK, RECORDING_BLOCK = 4096, 4096
+#: Folds whose cells are chosen in one task.
+CHOICE_BLOCK = 256
 #: Distinct scores of a bucket of bins, which are looked into together; a bin has fewer (``prefix.score_bin``).
 BUCKET = 1 << 14
 
@@ -276,7 +278,7 @@ def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: Data
         for v, first in zip(*np.unique(vec, return_index=True)):
             at = np.searchsorted(near, theta[first])[position]  # an infinite theta meets the column of zeros
             got = cells.counts(cls, fs[:, at], fa[:, at], cs[:, at], ca[:, at])
-            out.append((key[0], key[1], v, None, None, None, None, None, None, None, got.astype(np.int64).tobytes()))
+            out.append((key[0], key[1], v, None, None, None, None, None, None, None, got.astype(np.int16).tobytes()))  # a part has no more pairs than a block has recordings
             for r in np.flatnonzero(own_vec == v):
                 out.append((key[0], key[1], v, left["fold"].iloc[r], left["recording_id"].iloc[r], cls[r], *[x[r, at] for x in (fs, fa, cs, ca)], None))
         return pd.DataFrame(out, columns=names)
@@ -304,7 +306,7 @@ def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constr
     shape = (len(OUT), len(cells.floors), len(cells.ks), len(cells.check_floors))
     whole: dict = {}
     for m, sp, v, c in zip(tables[model], tables["species_key"], tables["vec"], tables["cells"]):
-        t = np.frombuffer(c, np.int64).reshape(shape)
+        t = np.frombuffer(c, np.int16).reshape(shape).astype(np.int64)
         whole[m, sp, v] = whole[m, sp, v] + t if (m, sp, v) in whole else t
     cell = {"floor": np.array(cells.floors)[valid[:, 0]], "k": np.array(cells.ks, float)[valid[:, 1]], "check_floor": np.array(cells.check_floors)[valid[:, 2]]}
 
@@ -368,7 +370,7 @@ def held_out(aligned: DataFrame, det: DataFrame, folds: DataFrame, rule: SurveyR
     ties = fold_ties(aligned, [model, "species_key"], folds)
     bars = cut(held_out_bars(ties, [model], per_fold.select("fold"), n_folds, spec, cells.bars))
     assigned, tables, held = fold_pairs(det, bars, recordings, truth, label_set, folds, rule, cells, model)
-    block = F.pmod(F.xxhash64("fold"), F.lit(max(1, -(-n_folds // FOLD_BLOCK)))).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("fold"), F.lit(max(1, -(-n_folds // CHOICE_BLOCK)))).cast("int").alias("block")
     left = assigned.join(held.drop("recording_id"), [model, "fold", "species_key"], "left").join(per_fold, "fold").select(
         block, model, "fold", "species_key", "vec", "cls", "fs", "fa", "cs", "ca", (F.lit(n_all or 0) - F.col("own_n")).alias("n"), (F.lit(hours_all or 0.0) - F.col("own_hours")).alias("hours"))
     right = assigned.select(block, model, "species_key", "vec").distinct().join(tables, [model, "species_key", "vec"]).select("block", model, "species_key", "vec", "cells")

@@ -65,6 +65,7 @@ def world(spark, seed, n=9, species=("Aa aa", "Bb bb", "Cc cc", "Dd dd")):
 @pytest.mark.parametrize("rule, per_fold", [(SurveyRule(Condition(.5, 2), Condition(.9, 3)), 1), (SurveyRule(Condition(.5, 1), Condition(.9, 2, 9.0)), 2)])
 def test_picks_and_held_out_counts_equal_the_long_way(spark, monkeypatch, rule, per_fold):
     monkeypatch.setattr(ho, "RECORDING_BLOCK", 4)
+    monkeypatch.setattr(ho, "CHOICE_BLOCK", 3)
     al, det, truth, recs = world(spark, 5)
     floors, ks, check = (.5, .7, .9), (1, 2, 3, 5), (.3, .5, .7, .9)
     cons, spec = Constraints(min_firm_precision=.5, max_checks_per_recording=2.5), RuleSpec(min_support=5, min_labelled=8)
