@@ -231,6 +231,28 @@ def b15(spark, d):
     return rn.index_differences(a, b).agg(F.count(F.lit(1)).alias("differences"))
 
 
+@query("B15_planted_differences", """SELECT run_id, recording_id, sum(rows)::BIGINT AS index_rows, sum(oi)::BIGINT AS only_index, sum(om)::BIGINT AS only_matrix,
+ count(*) FILTER (ti > 0) AS windows_index, count(*) FILTER (tm > 0) AS windows_matrix, count(*) FILTER (bi > 0) AS muddy_index, count(*) FILTER (bm > 0) AS muddy_matrix,
+ round(max(abs(CASE WHEN ti > 0 THEN bi / ti ELSE 0 END - CASE WHEN tm > 0 THEN bm / tm ELSE 0 END)), 6) AS mass_gap,
+ sum(oi) + sum(om) = 0 AND count(*) FILTER ((ti > 0) <> (tm > 0)) = 0 AND count(*) FILTER (bi > 0) = count(*) FILTER (bm > 0) AS agrees FROM (
+ SELECT run_id, recording_id, start_s, count(*) FILTER (i) AS rows, count(*) FILTER (i AND s <> score) AS oi, count(*) FILTER (m AND (NOT i OR s <> score)) AS om,
+ coalesce(sum(s) FILTER (i AND s >= 0.4), 0) AS ti, coalesce(sum(s) FILTER (i AND s >= 0.4 AND idx IN (2, 4, 8)), 0) AS bi,
+ coalesce(sum(score) FILTER (score >= 0.4), 0) AS tm, coalesce(sum(score) FILTER (score >= 0.4 AND idx IN (2, 4, 8)), 0) AS bm FROM (
+ SELECT *, m AND NOT (CAST(substr(recording_id, 2) AS INTEGER) % 7 = 3 AND rank = 2) AS i, CASE WHEN CAST(substr(recording_id, 2) AS INTEGER) % 7 = 5 AND start_s % 86400 = 0
+ THEN CAST(CAST(score - 0.25 AS FLOAT) AS DOUBLE) ELSE score END AS s FROM (SELECT *, rank <= 2 OR score >= 0.4 AS m FROM matrix)) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def b15_planted(spark, d):
+    """A stored index that has lost rows in some recordings and holds lower scores in others."""
+    from chorale.operators.crosscheck import cross_check
+    sw, vocab = tb.score_windows(spark, d), list(tb.SPECIES)
+    rebuilt = ix.derive_detections(sw, vocab, 2, 0.4)
+    r = F.expr("substring(recording_id, 2)").cast("int") % 7
+    stored = rebuilt.where((r != 3) | (F.col("rank_in_window") != 2)).withColumn(
+        "score_raw", F.when((r == 5) & (F.col("start_s") % 86400 == 0), (F.col("score_raw") - F.lit(0.25)).cast("float")).otherwise(F.col("score_raw")))
+    found = cross_check(stored, rebuilt, sw, vocab, [vocab[i] for i in (2, 4, 8)], 0.4)
+    return found.select("run_id", "recording_id", *big("index_rows", "only_index", "only_matrix", "windows_index", "windows_matrix", "muddy_index", "muddy_matrix"),
+                        *r6("mass_gap"), "agrees")
+
+
 # ------------------------------------------------------------------ alignment
 @query("I1_eval_species", "SELECT DISTINCT species_key FROM e_ann JOIN e_rec USING (recording_id) WHERE labelled")
 def i1(spark, d):
