@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chorale.operators.intervals import (LONG_AGO, chunks_touched, interval_join, labels_window, merge_spans,
                                          open_ended, within, within_or_last)
 from chorale.params import MIN_OVERLAP_S, UNKNOWN_BIRD
+from chorale.session import spread
 
 WIN = ["run_id", "recording_id", "start_s"]
 
@@ -25,26 +26,27 @@ def unknown_labels(boxes: DataFrame, species: DataFrame) -> DataFrame:
     return boxes.join(species.select("species_key").distinct(), "species_key", "left_anti")
 
 
-def dense_scores(score_windows: DataFrame, vocab: list[str], species: list[str]) -> DataFrame:
-    """Every window with every evaluation species; a species missing from the vocabulary scores 0.
+def dense_scores(score_windows: DataFrame, vocab: list[str], species: list[str], labels: str | None = None) -> DataFrame:
+    """Every window with every evaluation species; a species missing from the vocabulary scores 0. ``labels``: an array
+    column of the species that are true of a window, which become ``y_true``.
 
     The vocabulary is run metadata, so the picked classes are fixed positions in the array and the
     dense frame is an explode of each row: no join.
     """
     at = {v: i for i, v in enumerate(vocab)}
+    true = lambda s: [F.coalesce(F.array_contains(labels, s), F.lit(False)).cast("int").alias("y_true")] if labels else []
     cells = F.array(*[F.struct(
         F.lit(s).alias("species_key"),
-        (F.element_at("scores", at[s] + 1) if s in at else F.lit(0.0)).cast("float").alias("score")) for s in species])
+        (F.element_at("scores", at[s] + 1) if s in at else F.lit(0.0)).cast("float").alias("score"), *true(s)) for s in species])
     return score_windows.select(*WIN, "end_s", F.explode(cells).alias("c")).select(*WIN, "end_s", "c.*")
 
 
 def align_windows(score_windows: DataFrame, vocab: list[str], species: list[str], boxes: DataFrame,
                   bucket_s: float, floor_s: float = MIN_OVERLAP_S) -> DataFrame:
-    """The dense truth/score frame on the native grid."""
-    hits = label_windows(score_windows.select(*WIN, "end_s"), boxes, bucket_s, WIN, floor_s).withColumn(
-        "y_true", F.lit(1))
-    return dense_scores(score_windows, vocab, species).join(hits, [*WIN, "species_key"], "left").withColumn(
-        "y_true", F.coalesce("y_true", F.lit(0)))
+    """The dense truth/score frame on the native grid. Windows meet their labels before they become a row per species."""
+    hits = label_windows(score_windows.select(*WIN, "end_s"), boxes, bucket_s, WIN, floor_s)
+    labelled = score_windows.join(hits.groupBy(*WIN).agg(F.collect_set("species_key").alias("_labels")), WIN, "left")
+    return dense_scores(labelled, vocab, species, "_labels")
 
 
 def project_scores(long_scores: DataFrame, recordings: DataFrame, window_s: float, hop_s: float) -> DataFrame:
@@ -68,7 +70,7 @@ def densify(projected: DataFrame, recordings: DataFrame, runs: list[str], specie
             hop_s: float) -> DataFrame:
     """Frames nothing covered keep 0, for every run and species of the evaluation."""
     n = F.greatest(F.lit(0), F.floor((F.col("duration_s") - window_s) / hop_s) + 1)
-    grid = recordings.where(n > 0).select(
+    grid = spread(recordings.where(n > 0).select("recording_id", "duration_s"), "recording_id").select(
         "recording_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).withColumn(
         "c", F.explode(F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(s).alias("species_key"))
                                  for r in runs for s in species])))

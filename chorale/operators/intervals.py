@@ -49,12 +49,13 @@ def with_buckets(df: DataFrame, bucket_s: float, start: str, end: str, name: str
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bucket_s: float, rule=labels_window) -> DataFrame:
     """Pairs whose [start_s, end_s) meet under ``rule``; the right side's times come out as b_start, b_end.
 
-    A pair is kept only in the bucket where both have begun, so it appears once.
+    A pair is kept only in the bucket where both have begun, so it appears once. The sides are merged, never sent whole to
+    every task: windows are often made of a few recordings by an explode, which no size check sees.
     """
     r = right.withColumnRenamed("start_s", "b_start").withColumnRenamed("end_s", "b_end")
     lb = with_buckets(left, bucket_s, "start_s", "end_s")
     rb = with_buckets(r, bucket_s, "b_start", "b_end")
-    both = lb.join(rb, [*on, "_bk"])
+    both = lb.hint("merge").join(rb, [*on, "_bk"])
     first = F.floor(F.greatest("start_s", "b_start") / bucket_s) == F.col("_bk")
     return both.where(first & rule(F.col("start_s"), F.col("end_s"), F.col("b_start"), F.col("b_end"))).drop("_bk")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators.align import align_windows
 from chorale.plans.registry import cte
-from chorale.session import cut
+from chorale.session import cut, spread
 
 # --- fixed values: the label space of the fixtures (name, index in the vocabulary) ---
 SPECIES = ("Catharus guttatus", "Catharus ustulatus", "Corvus corax", "Engine", "Poecile gambeli",
@@ -108,7 +108,7 @@ def score_windows(spark: SparkSession, d: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(idx, "score"))).alias("m"))  # one entry per vocabulary class
     grids = F.array(*[F.struct(F.lit(n).alias("run_id"), F.lit(w).alias("w"),
                                F.lit(int((DURATION_S - w) // w) + 1).alias("n")) for n, (w, _) in RUNS.items()])
-    wins = recordings(spark, d).select("recording_id", F.explode(grids).alias("g")).select(
+    wins = spread(recordings(spark, d).select("recording_id"), "recording_id").select("recording_id", F.explode(grids).alias("g")).select(
         "recording_id", "g.run_id", "g.w", F.explode(F.sequence(F.lit(0), F.col("g.n") - 1)).alias("i"))
     wins = wins.select("run_id", "recording_id", (F.col("i") * F.col("w")).alias("start_s"),
                        ((F.col("i") + 1) * F.col("w")).alias("end_s"))
@@ -145,7 +145,7 @@ def thresholded(spark: SparkSession, d: str) -> DataFrame:
 def label_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Sign-off chunks: (r + 3*i) % 5 != 0 closed, and all of every sixth recording, by one of three labellers, at a
     recoverable time."""
-    ch = recordings(spark, d).select(
+    ch = spread(recordings(spark, d), "recording_id").select(
         "recording_id", "site", "start_time", "duration_s",
         F.explode(F.sequence(F.lit(0), F.lit(int(DURATION_S // CHUNK_S) - 1))).alias("i"))
     r = F.expr("substring(recording_id, 2)").cast("long")

@@ -40,6 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _MADE[app]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The frame dealt over four tasks a core, before each row is multiplied: the adaptive planner puts small partitions
+    together by what it has seen, and would leave all that is made of them to one task."""
+    return df.repartition(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame as a written table in the shared folder: a short plan, computed once, safe when executors are lost."""
     spark = df.sparkSession
