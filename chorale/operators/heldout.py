@@ -21,14 +21,18 @@ from chorale.operators.prefix import running_totals, score_bin
 from chorale.operators.survey import COL, ORDER, OUT, PAIR, STATS, Cells, limits, outcome_of, per_recording
 from chorale.operators.curves import tie_counts
 from chorale.params import FIRM_FLOORS, FLOORS, KS, Constraints, RuleSpec, SurveyRule
-from chorale.session import cut
+from chorale.session import cut, spread
 
 #: Folds that share a cell of work, and recordings that do.
 FOLD_BLOCK, RECORDING_BLOCK = 4096, 4096
 #: Folds whose cells are chosen in one task.
-CHOICE_BLOCK = 256
+CHOICE_BLOCK = 1024
+#: Folds of such a task whose cells are looked at together.
+TOGETHER = 64
 #: Distinct scores of a bucket of bins, which are looked into together; a bin has fewer (``prefix.score_bin``).
 BUCKET = 1 << 14
+#: Cells of a table of questions by scores that is made at once.
+TABLE = 1 << 20
 
 
 def fold_ties(aligned: DataFrame, keys: list[str], folds: DataFrame) -> DataFrame:
@@ -108,34 +112,43 @@ def _points(asked: pd.DataFrame, ties: pd.DataFrame, floors, min_support: int) -
     """(fold, floor number, tp, seen, theta) of the candidates that hold. ``ties``: their bins' rows of all folds together
     (fold null; tp and seen up to each score) and of single folds."""
     bins = dict(list(ties.groupby("bin")))
-    out = [x for b, part in asked.groupby("bin") for x in _points_of_bin(part, bins[b], floors, min_support)]
-    return pd.DataFrame(out, columns=["fold", "i", "tp", "seen", "theta"])
+    out = [_points_of_bin(part, bins[b], floors, min_support) for b, part in asked.groupby("bin")]
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["fold", "i", "tp", "seen", "theta"])
 
 
-def _points_of_bin(asked: pd.DataFrame, ties: pd.DataFrame, floors, min_support: int) -> list[tuple]:
+def _points_of_bin(asked: pd.DataFrame, ties: pd.DataFrame, floors, min_support: int) -> pd.DataFrame:
+    """The points of one bin: a row of a table per question, a column per score. Folds without rows in the bin that ask the
+    same are one row, and tables are cut where they grow large."""
     num, den = _exact(floors)
     whole = ties[ties["fold"].isna()].sort_values("score", ascending=False)
     score, p, n, tp, seen = (whole[c].to_numpy() for c in ("score", "p", "n", "tp", "seen"))
-    own = {k: v for k, v in ties[ties["fold"].notna()].groupby("fold")}
-    known: dict = {}
-    out = []
-    for fold, i, a, s in zip(asked["fold"], asked["i"], asked["tp_before"], asked["n_before"]):
-        mine = own.get(fold)
-        key = None if mine is not None else (i, a, s)
-        if key is None or key not in known:
-            op, on = np.zeros(len(score), np.int64), np.zeros(len(score), np.int64)
-            if mine is not None:
-                at = len(score) - 1 - np.searchsorted(score[::-1], mine["score"].to_numpy())
-                op[at], on[at] = mine["p"], mine["n"]
-            t, r = tp - a - np.cumsum(op), seen - s - np.cumsum(on)
-            if i < 0:
-                ok = np.flatnonzero((r >= min_support) & (n > on))[:1]
-            else:
-                ok = np.flatnonzero((p > op) & (r >= min_support) & (den[i] * t >= num[i] * r))[-1:]
-            known[key] = (int(t[ok[0]]), int(r[ok[0]]), float(score[ok[0]])) if len(ok) else None
-        if known[key] is not None:
-            out.append((fold, i, *known[key]))
-    return out
+    own = ties[ties["fold"].notna()]
+    code, ids = pd.factorize(own["fold"])
+    at = len(score) - 1 - np.searchsorted(score[::-1], own["score"].to_numpy())
+    order = np.argsort(code, kind="stable")
+    code, at, own_p, own_n = code[order], at[order], own["p"].to_numpy()[order], own["n"].to_numpy()[order]
+    q = pd.DataFrame({"mine": pd.Index(ids).get_indexer(asked["fold"]), "i": asked["i"].to_numpy(), "a": asked["tp_before"].to_numpy(), "s": asked["n_before"].to_numpy()})
+    same = q.groupby(["mine", "i", "a", "s"]).ngroup().to_numpy()
+    q = q.drop_duplicates().sort_values(["mine", "i", "a", "s"])  # in the order of the group numbers
+    mine, i, a, s = (q[c].to_numpy(np.int64) for c in ("mine", "i", "a", "s"))
+    place, got_tp, got_seen = (np.full(len(q), -1, np.int64) for _ in range(3))
+    step = max(1, TABLE // max(len(score), 1))
+    for lo in range(0, len(q), step):
+        part = slice(lo, lo + step)
+        first, last = max(mine[part][0], 0), mine[part][-1] + 1
+        mine_at = np.arange(*np.searchsorted(code, [first, last]))
+        op, on = (np.zeros((last - first + 1, len(score)), np.int64) for _ in range(2))  # the last row: no rows of its own
+        op[code[mine_at] - first, at[mine_at]], on[code[mine_at] - first, at[mine_at]] = own_p[mine_at], own_n[mine_at]
+        which = np.where(mine[part] >= 0, mine[part] - first, last - first)
+        op, on, f = op[which], on[which], i[part, None]
+        t, r = tp - a[part, None] - np.cumsum(op, axis=1), seen - s[part, None] - np.cumsum(on, axis=1)
+        ok = (r >= min_support) & np.where(f < 0, n > on, (p > op) & (den[f] * t >= num[f] * r))
+        pick = np.where(f[:, 0] < 0, ok.argmax(axis=1), ok.shape[1] - 1 - ok[:, ::-1].argmax(axis=1))
+        row = np.arange(len(pick))
+        place[part], got_tp[part], got_seen[part] = np.where(ok.any(axis=1), pick, -1), t[row, pick], r[row, pick]
+    hit = place[same] >= 0
+    found = same[hit]
+    return pd.DataFrame({"fold": asked["fold"].to_numpy()[hit], "i": asked["i"].to_numpy()[hit], "tp": got_tp[found], "seen": got_seen[found], "theta": score[place[found]].astype(float)})
 
 
 def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds: int, floors=FLOORS, min_support: int = 10) -> DataFrame:
@@ -241,7 +254,7 @@ def levels(det: DataFrame, cuts: DataFrame, keys: list[str], within_s: float | N
 def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: DataFrame, label_set: DataFrame, folds: DataFrame, rule: SurveyRule, cells: Cells,
                model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(assigned, tables, held). ``assigned``: (model, fold, species, vec), vec standing for the fold's thetas. ``tables``:
-    (model, species, vec, cells), the sweep cells of all recordings under these thetas, in parts to be added up. ``held``:
+    (model, species, vec, cells), the sweep cells of all recordings under these thetas. ``held``:
     (model, fold, recording, species, cls, fs, fa, cs, ca), the pairs of each fold with counts at its own thetas."""
     keys = [model]
     listed = det.select(*keys, "species_key").distinct().unionByName(truth.select(*keys, "species_key").distinct()).distinct()
@@ -254,7 +267,10 @@ def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: Data
     uni = lists.join(truth.select(*keys, *PAIR).withColumn("a", F.lit(True)), [*keys, *PAIR], "full_outer").join(
         label_set.select("species_key").withColumn("j", F.lit(True)), "species_key", "left").join(pairs_of.select("recording_id"), "recording_id", "left_semi").join(folds, "recording_id")
     blocks = max(1, -(-pairs_of.count() // RECORDING_BLOCK))
-    uni = uni.select(*keys, "species_key", F.pmod(F.xxhash64("recording_id"), F.lit(blocks)).cast("int").alias("block"), "recording_id", "fold", "firm", "check",
+    # a pair knows its own fold's thetas, so only distinct thetas have to meet every block of recordings
+    uni = uni.join(_apart(assigned.select(*keys, "species_key", "fold", "vec")), [*keys, "species_key", "fold"])
+    vecs = assigned.groupBy(*keys, "species_key", "vec").agg(F.first("thetas").alias("thetas"))
+    uni = uni.select(*keys, "species_key", F.pmod(F.xxhash64("recording_id"), F.lit(blocks)).cast("int").alias("block"), "recording_id", "fold", "vec", "firm", "check",
                      F.when(F.col("a"), "a").when(F.col("j"), "w").otherwise("u").alias("cls"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     position = [cells.bars.index(b) for b in cells.bars]
@@ -271,88 +287,136 @@ def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: Data
         near = np.unique(theta[np.isfinite(theta)])
         fa, fs = _at_levels(left["firm"], near, sums[0])
         ca, cs = _at_levels(left["check"], near, sums[1])
-        cls, fold_at = left["cls"].to_numpy(), {f: i for i, f in enumerate(right["fold"])}
-        vec = right["vec"].to_numpy()
-        own_vec = vec[[fold_at[f] for f in left["fold"]]]
+        cls, own_vec = left["cls"].to_numpy(), left["vec"].to_numpy()
         out = []
-        for v, first in zip(*np.unique(vec, return_index=True)):
-            at = np.searchsorted(near, theta[first])[position]  # an infinite theta meets the column of zeros
+        for v, own_theta in zip(right["vec"], theta):
+            at = np.searchsorted(near, own_theta)[position]  # an infinite theta meets the column of zeros
             got = cells.counts(cls, fs[:, at], fa[:, at], cs[:, at], ca[:, at])
             out.append((key[0], key[1], v, None, None, None, None, None, None, None, got.astype(np.int16).tobytes()))  # a part has no more pairs than a block has recordings
             for r in np.flatnonzero(own_vec == v):
                 out.append((key[0], key[1], v, left["fold"].iloc[r], left["recording_id"].iloc[r], cls[r], *[x[r, at] for x in (fs, fa, cs, ca)], None))
         return pd.DataFrame(out, columns=names)
 
-    done = cut(uni.groupBy(model, "species_key", "block").cogroup(_apart(assigned.select("*", every)).groupBy(model, "species_key", "block")).applyInPandas(count, shape))
-    return (assigned.select(model, "fold", "species_key", "vec"), done.where("cells is not null").select(model, "species_key", "vec", "cells"),
-            done.where("cells is null").drop("cells", "vec"))
+    done = cut(uni.groupBy(model, "species_key", "block").cogroup(_apart(vecs.select("*", every)).groupBy(model, "species_key", "block")).applyInPandas(count, shape))
+    added = [model, "species_key", "vec"]
+
+    def add_up(key, parts):
+        total = sum(np.frombuffer(c, np.int16).astype(np.int32) for c in parts["cells"])
+        return pd.DataFrame([(*key, total.tobytes())], columns=[*added, "cells"])
+
+    tables = done.where("cells is not null").select(*added, "cells").groupBy(*added).applyInPandas(add_up, f"`{model}` {model_kind}, species_key string, vec long, cells binary")
+    return assigned.select(model, "fold", "species_key", "vec"), cut(tables), done.where("cells is null").drop("cells", "vec")
 
 
 # ------------------------------------------------------------------ choice
-def _statistics(t: np.ndarray, n: float, hours: float) -> dict[str, np.ndarray]:
+def _statistics(t: np.ndarray, n: np.ndarray, hours: np.ndarray) -> dict[str, np.ndarray]:
     fr, fw, fu, cr, cw, cu, hid, missed = t
     annotated = fr + cr + missed + hid
     with np.errstate(divide="ignore", invalid="ignore"):
         d = lambda a, b: np.where(b > 0, a / b, np.nan)
-        return {"firm_precision": d(fr, fr + fw), "recall_reviewed": d(fr + cr, annotated), "firm_recall": d(fr, annotated), "checks_per_recording": (cr + cw + cu) / max(n, 1),
-                "checks_per_hour": (cr + cw + cu) / hours if hours > 0 else np.full(fr.shape, np.nan), "check_yield": d(cr, cr + cw), "firm_errors_per_recording": fw / max(n, 1)}
+        return {"firm_precision": d(fr, fr + fw), "recall_reviewed": d(fr + cr, annotated), "firm_recall": d(fr, annotated), "checks_per_recording": (cr + cw + cu) / np.maximum(n, 1),
+                "checks_per_hour": d(cr + cw + cu, hours), "check_yield": d(cr, cr + cw), "firm_errors_per_recording": fw / np.maximum(n, 1)}
+
+
+def _own_cells(at: np.ndarray, cls: np.ndarray, counts: list[np.ndarray], cells: Cells, valid: np.ndarray, n_folds: int) -> np.ndarray:
+    """(outcomes, folds, cells): what ``Cells.counts`` says of each fold's pairs. ``at``: their folds, in rising order."""
+    fs, fa, cs, ca = counts
+    firm_at = np.array([cells.bars.index(float(f)) for f in cells.floors])[valid[:, 0]]
+    check_at = np.array([cells.bars.index(float(c)) for c in cells.check_floors])[valid[:, 2]]
+    k = np.array(cells.ks)[valid[:, 1]]
+    least = np.minimum(cells.check_k, k)
+    firm = fs[:, firm_at] >= k
+    check = ~firm & (cs[:, check_at] >= least)
+    unseen = ~((fa[:, firm_at] >= k) | (ca[:, check_at] >= least))
+    hid = (~firm & ~check).astype(np.int64) - unseen
+    out = np.zeros((len(OUT), n_folds, len(valid)), np.int64)
+    for kind, made in {"a": {0: firm, 3: check, 6: hid, 7: unseen}, "w": {1: firm, 4: check}, "u": {2: firm, 5: check}}.items():
+        own = cls == kind
+        if own.any():
+            which, start = np.unique(at[own], return_index=True)
+            for o, x in made.items():
+                out[o, which] = np.add.reduceat(x[own].astype(np.int64), start, axis=0)
+    return out
 
 
 def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constraints, n_models: int, model: str) -> pd.DataFrame:
     """(model or null, fold, check_floor, floor, k, statistics): each fold's best cell per model, and the best one that
     all models share, where there is one. ``folds``: a row per (model, fold, species, pair of the fold) with vec, and
-    with counts and class where there is a pair; n and hours of the other folds."""
+    with counts and class where there is a pair; n and hours of the other folds. Some folds are looked at together."""
     valid = np.array(cells.valid())
     shape = (len(OUT), len(cells.floors), len(cells.ks), len(cells.check_floors))
-    whole: dict = {}
-    for m, sp, v, c in zip(tables[model], tables["species_key"], tables["vec"], tables["cells"]):
-        t = np.frombuffer(c, np.int16).reshape(shape).astype(np.int64)
-        whole[m, sp, v] = whole[m, sp, v] + t if (m, sp, v) in whole else t
+    whole = {(m, sp, v): np.frombuffer(c, np.int32).reshape(shape)[:, valid[:, 0], valid[:, 1], valid[:, 2]].astype(np.int64)
+             for m, sp, v, c in zip(tables[model], tables["species_key"], tables["vec"], tables["cells"])}
     cell = {"floor": np.array(cells.floors)[valid[:, 0]], "k": np.array(cells.ks, float)[valid[:, 1]], "check_floor": np.array(cells.check_floors)[valid[:, 2]]}
-
-    def best(st: dict, ok: np.ndarray):
-        ok = np.flatnonzero(ok)
-        if not len(ok):
-            return None
-        given = {**st, **cell}
-        sign = lambda name: -given[name[1:]][ok] if name[0] == "-" else given[name][ok]
-        order = np.lexsort([-np.nan_to_num(sign(n), nan=-np.inf) for n in reversed(ORDER[cons.objective])])
-        return ok[order[0]]
+    none = np.zeros((len(OUT), len(valid)), np.int64)
+    summed: dict = {}
+
+    def all_pairs(m, named: tuple) -> np.ndarray:
+        """The cells of all recordings under one choice of thetas for every species."""
+        if (m, named) not in summed:
+            summed[m, named] = sum((whole[m, sp, v] for sp, v in named if (m, sp, v) in whole), none)
+        return summed[m, named]
+
+    def best(st: dict, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(folds, cells): the best cell of each fold that has one; the first one among equals."""
+        given, alive = {**st, **cell}, ok.copy()
+        for name in ORDER[cons.objective]:
+            x = -given[name[1:]] if name[0] == "-" else given[name]
+            x = np.where(alive & ~np.isnan(x), x, -np.inf)
+            alive &= x == x.max(axis=1, keepdims=True)
+        some = np.flatnonzero(ok.any(axis=1))
+        return some, alive[some].argmax(axis=1)
 
     def kept(st: dict) -> np.ndarray:
-        ok = np.ones(len(valid), bool)
+        ok = np.ones(st[STATS[0]].shape, bool)
         for c, side, v in limits(cons):
             with np.errstate(invalid="ignore"):
                 ok &= (st[c] >= v) if side == "least" else (st[c] <= v)
         return ok
 
+    def said(m, names, st: dict, at: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        f, c = at
+        return pd.DataFrame({model: [m] * len(f), "fold": names[f], "check_floor": cell["check_floor"][c], "floor": cell["floor"][c], "k": cell["k"][c].astype(int),
+                             **{s: st[s][f, c] for s in STATS}})
+
     out = []
-    for fold, rows in folds.groupby("fold", sort=False):
-        every, fine = [], np.zeros(len(valid), int)
+    code, ids = pd.factorize(folds["fold"])
+    folds = folds.assign(_at=code).sort_values("_at", kind="stable")
+    for lo in range(0, len(ids), TOGETHER):
+        names = np.asarray(ids[lo:lo + TOGETHER])
+        rows = folds.iloc[slice(*np.searchsorted(folds["_at"], [lo, lo + len(names)]))]
+        every, fine = [], np.zeros((len(names), len(valid)), int)
         for m, part in rows.groupby(model, sort=False):
-            t = np.zeros(shape, np.int64)
-            for sp, v in part[["species_key", "vec"]].drop_duplicates().itertuples(index=False):
-                if (m, sp, v) in whole:
-                    t = t + whole[m, sp, v]
-            own = part[part["cls"].notna()]
-            if len(own):
-                t = t - cells.counts(own["cls"].to_numpy(), *[np.array(own[c].tolist(), np.int64) for c in ("fs", "fa", "cs", "ca")]).astype(np.int64)
-            st = _statistics(t[:, valid[:, 0], valid[:, 1], valid[:, 2]].astype(float), float(part["n"].iloc[0]), float(part["hours"].iloc[0]))
+            at = part["_at"].to_numpy() - lo
+            here, first = np.unique(at, return_index=True)
+            t = np.zeros((len(OUT), len(names), len(valid)), np.int64)
+            of: dict = {f: set() for f in here}
+            for f, sp, v in zip(at, part["species_key"], part["vec"]):
+                of[f].add((sp, v))
+            for f, named in of.items():
+                t[:, f] = all_pairs(m, tuple(sorted(named)))
+            own = part["cls"].notna().to_numpy()
+            if own.any():
+                pairs = part[own]
+                t -= _own_cells(at[own], pairs["cls"].to_numpy(), [np.array(pairs[c].tolist(), np.int64) for c in ("fs", "fa", "cs", "ca")], cells, valid, len(names))
+            n, hours = np.full((len(names), 1), np.nan), np.full((len(names), 1), np.nan)
+            n[here, 0], hours[here, 0] = part["n"].to_numpy(float)[first], part["hours"].to_numpy(float)[first]
+            st = _statistics(t.astype(float), n, hours)
             ok = kept(st)
+            absent = np.isnan(n[:, 0])
+            ok[absent] = False
+            for s in STATS:
+                st[s][absent] = np.nan
             fine += ok
             every.append(st)
-            at = best(st, ok)
-            if at is not None:
-                out.append((m, fold, cell["check_floor"][at], cell["floor"][at], int(cell["k"][at]), *[st[s][at] for s in STATS]))
+            out.append(said(m, names, st, best(st, ok)))
         mean = {}
         for s in STATS:
             x = np.array([st[s] for st in every])
             some = ~np.isnan(x)
             mean[s] = np.where(some.any(axis=0), np.where(some, x, 0).sum(axis=0) / np.maximum(some.sum(axis=0), 1), np.nan)
-        at = best(mean, fine == n_models)
-        if at is not None:
-            out.append((None, fold, cell["check_floor"][at], cell["floor"][at], int(cell["k"][at]), *[mean[s][at] for s in STATS]))
-    return pd.DataFrame(out, columns=[model, "fold", "check_floor", "floor", "k", *STATS])
+        out.append(said(None, names, mean, best(mean, fine == n_models)))
+    return pd.concat(out, ignore_index=True)[[model, "fold", "check_floor", "floor", "k", *STATS]]
 
 
 def held_out(aligned: DataFrame, det: DataFrame, folds: DataFrame, rule: SurveyRule, spec: RuleSpec, truth: DataFrame, recordings: DataFrame, cons: Constraints, label_set: DataFrame,
@@ -368,7 +432,7 @@ def held_out(aligned: DataFrame, det: DataFrame, folds: DataFrame, rule: SurveyR
     per_fold = cut(recordings.join(folds, "recording_id").groupBy("fold").agg(F.count(F.lit(1)).alias("own_n"), F.sum("hours").alias("own_hours")))
     n_folds, n_all, hours_all = per_fold.agg(F.count(F.lit(1)), F.sum("own_n"), F.sum("own_hours")).first()
     ties = fold_ties(aligned, [model, "species_key"], folds)
-    bars = cut(held_out_bars(ties, [model], per_fold.select("fold"), n_folds, spec, cells.bars))
+    bars = cut(held_out_bars(ties, [model], spread(per_fold.select("fold"), "fold"), n_folds, spec, cells.bars))
     assigned, tables, held = fold_pairs(det, bars, recordings, truth, label_set, folds, rule, cells, model)
     block = F.pmod(F.xxhash64("fold"), F.lit(max(1, -(-n_folds // CHOICE_BLOCK)))).cast("int").alias("block")
     left = assigned.join(held.drop("recording_id"), [model, "fold", "species_key"], "left").join(per_fold, "fold").select(

@@ -11,6 +11,7 @@ from chorale.operators.resample import POISSON_1
 from chorale.params import FIRM_FLOORS, FLOORS, KS, Condition, Constraints, RuleSpec, SurveyRule
 from chorale.plans import testbed as tb
 from chorale.plans.registry import big, cte, query, r6
+from chorale.session import spread
 
 ARM = ["run_id"]
 RULE = SurveyRule(Condition(0.5, 2), Condition(0.9, 2))
@@ -85,7 +86,7 @@ def label_set(spark, d):
 
 
 def recordings(spark, d):
-    return tb.recordings(spark, d).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(int(tb.DURATION_S) // VISIT - 1)))).withColumn(
+    return spread(tb.recordings(spark, d), "recording_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(int(tb.DURATION_S) // VISIT - 1)))).withColumn(
         "recording_id", F.concat_ws(".", "recording_id", F.col("_b").cast("string"))).withColumn("duration_s", F.lit(float(VISIT))).drop("_b")
 
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from chorale.operators import heldout as ho
 from chorale.operators.intervals import interval_join
+from chorale.operators.survey import Cells
+from chorale.params import Constraints
 from chorale.plans import q_outcomes as qo
 from chorale.plans import testbed as tb
 from chorale.plans.registry import QUERIES, with_ctes
@@ -49,3 +54,15 @@ def test_a_window_that_scores_nothing_is_not_hidden(spark, tmp_path):
     assert got == want
     assert sum(r[-1] for r in got) == 2  # the second event, in both runs
     assert qo.lab(spark, d).where("hidden and score <= 0").count() == 0
+
+
+def test_cells_of_many_recordings_are_added_up_before_the_choice():
+    cells = Cells((0.9,), (1,), (0.5,), 1)
+    table = np.zeros((8, 1, 1, 1), np.int32)
+    table[0], table[7] = 50000, 10000  # more than a part of the pairs can hold
+    tables = pd.DataFrame([("m", "s", 1, table.tobytes())], columns=["run", "species_key", "vec", "cells"])
+    rows = [("m", f, "s", 1, "a" if f == 0 else None, *[[1, 1] if f == 0 else None] * 4, 60000, 60000.0) for f in range(3)]
+    folds = pd.DataFrame(rows, columns=["run", "fold", "species_key", "vec", "cls", "fs", "fa", "cs", "ca", "n", "hours"])
+    got = ho.choose(folds, tables, cells, Constraints(min_firm_precision=0.5), 1, "run")
+    own = got[got["run"].notna()].set_index("fold")["recall_reviewed"].to_dict()
+    assert own == {0: 49999 / 59999, 1: 50000 / 60000, 2: 50000 / 60000}
