@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.params import MIN_OVERLAP_S
+from chorale.session import spread
 
 _FAR = 1e18
 
@@ -271,18 +272,25 @@ def span_counts(df: DataFrame, keys: list[str], span_s: float, order: str = "sta
 
 
 def pack_rows(blocks: DataFrame, lane: list[str], schema: str) -> DataFrame:
-    """Greedy first-fit lanes for the blocks of one view (a view is a bounded stretch of one recording)."""
-    def place(pdf):
-        ordered = pdf.sort_values(["start_s", "tie"], kind="stable").reset_index(drop=True)
-        free_at: list[float] = []
-        rows = []
-        for s, e in zip(ordered["start_s"], ordered["end_s"]):
-            lane_no = next((i for i, t in enumerate(free_at) if s >= t - 1e-9), len(free_at))
-            free_at[lane_no:lane_no + 1] = [e]
-            rows.append(lane_no)
-        ordered["row"] = rows
-        return ordered
-    return blocks.groupBy(*lane).applyInPandas(place, schema)
+    """Greedy first-fit lanes for the blocks of one view (a view is a bounded stretch of one recording).
+
+    Views are dealt over tasks whole and come in order, so a task walks its rows once; the lanes of the view that a batch
+    ends in are carried to the next, and no view becomes a frame of its own."""
+    names = [f.name for f in blocks.schema.fields]
+
+    def place(batches):
+        view, free_at = None, []
+        for pdf in batches:
+            rows = []
+            for key, s, e in zip(zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in lane]), pdf["start_s"].tolist(), pdf["end_s"].tolist()):
+                if key != view:
+                    view, free_at = key, []
+                lane_no = next((i for i, t in enumerate(free_at) if s >= t - 1e-9), len(free_at))
+                free_at[lane_no:lane_no + 1] = [e]
+                rows.append(lane_no)
+            yield pdf.assign(row=rows)
+
+    return spread(blocks, *lane).sortWithinPartitions(*lane, F.asc_nulls_last("start_s"), F.asc_nulls_last("tie")).select(*names).mapInPandas(place, schema)
 
 
 def compare_to_reference(mine: DataFrame, ref: DataFrame, bucket_s: float, floor_s: float = MIN_OVERLAP_S

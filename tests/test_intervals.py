@@ -142,3 +142,23 @@ def test_no_join_on_the_recording_alone_for_rows(spark):
     plan = iv.within(df, df, 10.0)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.split("\n") if "Join" in x]
     assert joins and all("_blk" in x for x in joins)
+
+
+def test_pack_rows_walks_a_task_once(spark):
+    import random
+    r = random.Random(5)
+    rows = [(f"v{i % 40}", float(s), float(s + r.choice([1, 5, 30])), i) for i, s in enumerate(r.randrange(60) for _ in range(800))]
+    b = spark.createDataFrame(rows, "view string, start_s double, end_s double, tie long")
+    want, free = {}, {}
+    for v, s, e, tie in sorted(rows, key=lambda x: (x[0], x[1], x[3])):
+        at = free.setdefault(v, [])
+        lane = next((i for i, t in enumerate(at) if s >= t - 1e-9), len(at))
+        at[lane:lane + 1] = [e]
+        want[tie] = lane
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # views go on from batch to batch
+    try:
+        packed = iv.pack_rows(b, ["view"], "view string, start_s double, end_s double, tie long, row long")
+        assert {x.tie: x.row for x in packed.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in packed._jdf.queryExecution().executedPlan().toString()
