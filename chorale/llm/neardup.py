@@ -124,10 +124,11 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _hubs(large: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(fp, hub, far): each entity of a large node with the node's entity nearest to its centroid, if they agree enough.
+    """(fp, hub, far): each entity of a large node with the node's entity nearest to its centroid, if sizes and tokens agree
+    enough. An entity is in large nodes of many trees, so parity sketches wait until each pair is there once.
 
     The centroid is the bitwise majority of 32 members, one for each value of a salt, picked by partial aggregation."""
-    rows = scratch.cut(large.select("key", "fp").join(sketches, "fp"))
+    rows = scratch.cut(large.select("key", "fp").join(sketches.select("fp", "n", *SKETCH), "fp"))
     sample = rows.groupBy("key", F.pmod(F.xxhash64("fp"), F.lit(32)).alias("salt")).agg(F.min(F.struct(F.xxhash64("fp", F.lit(3)).alias("h"), *SKETCH)).alias("x"))
     sample = sample.groupBy("key").agg(F.collect_list("x").alias("xs"))
 
@@ -141,9 +142,9 @@ def _hubs(large: DataFrame, sketches: DataFrame, percent: int, scratch: Scratch)
 
     centre = scratch.cut(sample.mapInArrow(majority, "key long, s1 long, s2 long, s3 long, s4 long"))
     near = rows.alias("r").join(centre.alias("c"), F.col("r.key") == F.col("c.key")).groupBy("r.key").agg(
-        F.min(F.struct(F.floor(_differ("r", "c") / NEAR).alias("d"), F.xxhash64("r.fp", "r.key").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH, *PARITY)])).alias("x"))
+        F.min(F.struct(F.floor(_differ("r", "c") / NEAR).alias("d"), F.xxhash64("r.fp", "r.key").alias("o"), *[F.col(f"r.{c}").alias(c) for c in ("fp", "n", *SKETCH)])).alias("x"))
     near = scratch.cut(near.select("key", "x.*").drop("d", "o"))
-    return rows.alias("a").join(near.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _fits(percent)).select(
+    return rows.alias("a").join(near.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") != F.col("b.fp")) & _agrees(percent)).select(
         F.col("a.fp").alias("fp"), F.col("b.fp").alias("hub"), _differ("a", "b").alias("far"))
 
 
@@ -159,13 +160,21 @@ def _merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Dat
     return scratch.cut(moved.union(new))
 
 
-def _fits(percent: int) -> F.Column:
+def _agrees(percent: int) -> F.Column:
     sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    return sizes & (_differ("a", "b") <= _most_differ(percent))
+
+
+def _parity(percent: int) -> F.Column:
     turned = F.lit(0)
     for o in PARITY:
         turned = turned + F.bit_count(F.col(f"a.{o}").bitwiseXOR(F.col(f"b.{o}")))
     # of sets with 100 * intersection >= percent * union at most this part of all members is in one set only
-    return sizes & (_differ("a", "b") <= _most_differ(percent)) & (turned * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
+    return turned * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+
+
+def _fits(percent: int) -> F.Column:
+    return _agrees(percent) & _parity(percent)
 
 
 def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
@@ -191,8 +200,9 @@ def _texts(wanted: DataFrame, entities: DataFrame, docs: DataFrame, doc_id: str,
 
 
 def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(key, fp): of each set of n shingles the n + 1 - ceil(n * percent / 100) rarest ones. Sets as alike as ``percent``
-    have as many shingles in common that they share one of these."""
+    """(key, fp, room): of each set of n shingles the n + 1 - ceil(n * percent / 100) rarest ones. Sets as alike as ``percent``
+    have as many shingles in common that they share one of these. ``room``: the shingle itself and those after it in order,
+    which is the most that the set can share with one whose first shingle in common it is."""
 
     def count(batches):
         memo, seen = WordHashes(), np.zeros(CELLS, np.int64)
@@ -210,15 +220,40 @@ def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
     def pick(batches):
         memo = WordHashes()
         for b in slices(batches):
-            fps, keys = [], []
+            fps, keys, room = [], [], []
             for fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingle_set(t, memo, size)
                 first = np.lexsort((s, often[s % np.uint64(CELLS)]))[:len(s) + 1 - -(-len(s) * percent // 100)]
                 fps += [fp] * len(first)
                 keys.append(s[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(fps, pa.binary())], names=["key", "fp"])
-
-    return texts.select("fp", "text").mapInArrow(pick, "key long, fp binary")
+                room.append(len(s) - np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, room)], pa.array(fps, pa.binary())], names=["key", "room", "fp"])
+
+    return texts.select("fp", "text").mapInArrow(pick, "key long, room long, fp binary")
+
+
+def _within_room(first: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Rows of ``first`` (key, room, n, label and others) that can be the first shingle in common of two sets as alike as
+    ``percent`` and of different labels, with the ``size`` of what is left of their key.
+
+    Such sets of n and m shingles share percent * (n + m) / (100 + percent) of them at least, and at most the room of either,
+    so a row only meets sets of up to a certain size, and may go if its key holds none of another label so small, or that leaves
+    it so much room. A member of a large family whose own shingles, which are the rarest, take all that its room would have
+    to hold is so compared with none of it."""
+    most = (F.col("room") * (100 + percent)).cast("double") / percent - F.col("n")
+    rows = first.withColumn("most", F.floor(most + 1e-6)).where(F.col("most") * 100 >= F.col("n") * percent)
+    for _ in range(2):
+        by = rows.groupBy("key", "label").agg(F.min("n").alias("n"), F.max("most").alias("most"), F.count(F.lit(1)).alias("c"))
+        # the least size, and the greatest room, of the label that has it and of all others
+        two = lambda c, up: F.max_by("label", c) if up else F.min_by("label", c)
+        tops = by.groupBy("key").agg(two("n", False).alias("small"), two("most", True).alias("wide"), F.min("n").alias("n1"), F.max("most").alias("m1"))
+        others = by.join(tops, "key").groupBy("key").agg(
+            F.first("small").alias("small"), F.first("wide").alias("wide"), F.first("n1").alias("n1"), F.first("m1").alias("m1"),
+            F.min(F.when(F.col("label") != F.col("small"), F.col("n"))).alias("n2"), F.max(F.when(F.col("label") != F.col("wide"), F.col("most"))).alias("m2"))
+        least, widest = F.when(F.col("label") == F.col("small"), F.col("n2")).otherwise(F.col("n1")), F.when(F.col("label") == F.col("wide"), F.col("m2")).otherwise(F.col("m1"))
+        rows = scratch.cut(rows.join(others, "key").where((F.col("most") >= least) & (widest >= F.col("n"))).select(*first.columns, "most"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    return rows.join(sizes, "key").drop("most", "room")
 
 
 def _confirmed(pairs: DataFrame, entities: DataFrame, docs: DataFrame, percent: int, size: int, doc_id: str, text: str) -> DataFrame:
@@ -278,7 +313,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     labels = None
     if hubs is not None:
-        hubs = scratch.cut(hubs.groupBy("fp", "hub").agg(F.min("far").alias("far")))
+        met = hubs.groupBy("fp", "hub").agg(F.min("far").alias("far"))
+        marks = sketches.select("fp", "n", *PARITY)
+        met = met.alias("p").join(marks.alias("a"), F.col("p.fp") == F.col("a.fp")).join(marks.alias("b"), F.col("p.hub") == F.col("b.fp"))
+        hubs = scratch.cut(met.where(_parity(percent)).select("p.fp", "hub", "far"))
     least = F.min(F.struct("far", F.xxhash64("fp", "hub").alias("o"), "fp", "hub")).alias("x")
 
     def labelled():
@@ -301,8 +339,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     if dense is not None:
         first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, docs, doc_id, text)), percent, size).join(labelled(), "fp"))
         # a shingle of one component only, such as those of a group of copies, yields no pair
-        sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "size")
-        labels = _merged(labels, check(_exhaustive(first.join(sizes, "key"), percent)), scratch)
+        mixed = first.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        labels = _merged(labels, check(_exhaustive(_within_room(first.join(mixed, "key"), percent, scratch), percent)), scratch)
 
     named = entities.select("fp", "first_id").join(labels, "fp", "left").withColumn("class", F.coalesce("label", "fp")).drop("label")
     firsts = named.groupBy("class").agg(F.min("first_id").alias("component_id"))
