@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from chorale.operators.outcomes import false_events
 from chorale.params import MIN_UNITS
-from chorale.session import cut
+from chorale.session import cut, spread
 
 COUNTS = ("reported", "right", "positives", "songs_found", "songs", "false_events", "hours")
 STATS = {"precision": ("right", "reported"), "window_recall": ("right", "positives"),
          "found": ("songs_found", "songs"), "false_per_hour": ("false_events", "hours")}
 #: Cumulative Poisson(1) probabilities P(X <= 0), P(X <= 1), ..., up to what 52 bits of a hash can reach.
 POISSON_1 = tuple(accumulate(exp(-1.0) / factorial(k) for k in range(18)))
+#: Rows whose weights of all replicates a task holds at once.
+DRAWN = 512
 
 
 def per_recording(lab: DataFrame, boxes: DataFrame, hours: DataFrame, arm: list[str], block_s: float) -> DataFrame:
@@ -51,7 +53,8 @@ def point(per_rec: DataFrame, arm: list[str]) -> DataFrame:
 
 def poisson_weights(seed: int, n: int, unit: str) -> np.ndarray:
     """Poisson(1) counts of one unit in replicates 0 to n - 1, which depend only on (seed, replicate, unit)."""
-    u = np.array([int(hashlib.md5(f"{seed}:{rep}:{unit}".encode()).hexdigest()[:13], 16) for rep in range(n)], float) / 4503599627370496.0
+    drawn = b"".join(hashlib.md5(f"{seed}:{rep}:{unit}".encode()).digest()[:8] for rep in range(n))
+    u = (np.frombuffer(drawn, ">u8") >> np.uint64(12)).astype(float) / 4503599627370496.0  # the first 52 bits of each
     return np.searchsorted(POISSON_1, u, side="left")
 
 
@@ -60,7 +63,8 @@ def replicate_sums(per_rec: DataFrame, arm: list[str], counts: list[str], n: int
     """Resampled totals per (arm, rep). The same recordings are drawn for every arm.
 
     A task draws each unit's weights for all replicates at once and adds weights times counts up per arm; only its
-    (arm, replicate) sums are shuffled, no row per draw."""
+    (arm, replicate) sums are shuffled, no row per draw. Units are dealt over all tasks, as each costs ``n`` hashes, and
+    come in order, so that the arms of one share its weights; a task holds the weights of ``DRAWN`` rows."""
     if draws is not None:
         d = per_rec.join(draws, "idx")
         return d.groupBy(*arm, "rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in counts], F.sum("w").alias("units"))
@@ -70,7 +74,7 @@ def replicate_sums(per_rec: DataFrame, arm: list[str], counts: list[str], n: int
 
     def added(batches):
         sums: dict = {}
-        for pdf in batches:
+        for pdf in (batch.iloc[lo:lo + DRAWN] for batch in batches for lo in range(0, len(batch), DRAWN)):
             drawn = {u: poisson_weights(seed, n, u) for u in pdf["unit_"].unique()}
             for key, part in pdf.groupby(arm, sort=False, dropna=False) if arm else [((), pdf)]:
                 w = np.stack([drawn[u] for u in part["unit_"]])
@@ -89,7 +93,7 @@ def replicate_sums(per_rec: DataFrame, arm: list[str], counts: list[str], n: int
                 out.insert(0, k, v)
             yield out.assign(units=got[:, -1].astype(np.int64))[lambda x: x["units"] > 0]
 
-    return rows.mapInPandas(added, shape).groupBy(*arm, "rep").agg(*[F.sum(c).alias(c) for c in counts], F.sum("units").alias("units"))
+    return spread(rows, "unit_").sortWithinPartitions("unit_").mapInPandas(added, shape).groupBy(*arm, "rep").agg(*[F.sum(c).alias(c) for c in counts], F.sum("units").alias("units"))
 
 
 def intervals(stats: DataFrame, arm: list[str], names: list[str], level: float = 0.95) -> DataFrame:

@@ -66,3 +66,33 @@ def test_cells_of_many_recordings_are_added_up_before_the_choice():
     got = ho.choose(folds, tables, cells, Constraints(min_firm_precision=0.5), 1, "run")
     own = got[got["run"].notna()].set_index("fold")["recall_reviewed"].to_dict()
     assert own == {0: 49999 / 59999, 1: 50000 / 60000, 2: 50000 / 60000}
+
+
+def test_replicates_are_drawn_by_many_tasks_in_slices(spark, monkeypatch):
+    from chorale.operators import resample as rs
+    rows = [(m, f"r{i}", float(i % 7 + (m == "b"))) for i in range(900) for m in "ab"]
+    per = spark.createDataFrame(rows, "run_id string, recording_id string, right double").coalesce(1)
+    sums = rs.replicate_sums(per, ["run_id"], ["right"], 20, 3)
+    assert "REPARTITION_BY_NUM" in _plan(sums)  # few rows of much work each: put together, one task would draw them all
+    got = {(r.run_id, r.rep): (r.right, r.units) for r in sums.collect()}
+    import hashlib
+    u = lambda rep, unit: int(hashlib.md5(f"3:{rep}:{unit}".encode()).hexdigest()[:13], 16) / 4503599627370496.0
+    for m in "ab":
+        for rep in range(20):
+            w = [sum(u(rep, f"r{i}") > c for c in rs.POISSON_1) for i in range(900)]
+            assert got[m, rep] == (sum(x * (i % 7 + (m == "b")) for i, x in enumerate(w)), sum(w))
+    most = []
+    stack = np.stack
+    monkeypatch.setattr(np, "stack", lambda a, *k, **o: most.append(len(a)) or stack(a, *k, **o))
+    monkeypatch.setattr(rs, "spread", lambda df, *k: df)
+
+    class Plain:
+        """Runs a task's function here, on one batch of all rows."""
+        def __init__(self, df): self.df = df
+        def sortWithinPartitions(self, *k): return self
+        def mapInPandas(self, fn, shape):
+            list(fn([self.df.toPandas()]))
+            return self.df.limit(0).selectExpr("run_id", "0 AS rep", "right", "0L AS units")
+    monkeypatch.setattr(rs, "spread", lambda df, *k: Plain(df))
+    rs.replicate_sums(per, ["run_id"], ["right"], 20, 3)
+    assert max(most) <= rs.DRAWN < 1800
