@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.operators.align import align_windows
+from chorale.operators.align import dense_scores, labelled_windows
 from chorale.plans.registry import cte
 from chorale.session import cut, spread
 
@@ -43,8 +43,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def species(spark: SparkSession, d: str) -> DataFrame:
     """species_key, idx, tier (NULL: not in the profile), occ, theta (NULL: no operating point).
 
-    The names come from the events themselves, so the frame is as large as the label space."""
-    names = events(spark, d).select("species_key").distinct()
+    The names come from the events themselves, so the frame is as large as the label space. It is stored, so that the
+    planner knows its size and sends it to large frames rather than these to it."""
+    names = stored(spark, d, "names", lambda: events(spark, d).select("species_key").distinct())
     idx = F.element_at(F.create_map(*[x for i, s in enumerate(SPECIES) for x in (F.lit(s), F.lit(i))]),
                        F.col("species_key"))
     return names.select(
@@ -119,10 +120,14 @@ def score_windows(spark: SparkSession, d: str) -> DataFrame:
                     lambda i: F.coalesce(F.try_element_at("m", i), zero)).alias("scores"))
 
 
+def windows_with_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The score matrix with the set of species that are true of each window, on each run's own grid."""
+    return stored(spark, d, "windows", lambda: labelled_windows(score_windows(spark, d), annotations(spark, d), bucket_s=21600.0))
+
+
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     """The dense (run, window, species) frame with truth, on each run's own grid."""
-    return stored(spark, d, "aligned", lambda: align_windows(
-        score_windows(spark, d), list(SPECIES), list(SPECIES), annotations(spark, d), bucket_s=21600.0))
+    return stored(spark, d, "aligned", lambda: dense_scores(windows_with_labels(spark, d), list(SPECIES), list(SPECIES), "labels"))
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:

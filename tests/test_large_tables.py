@@ -96,3 +96,24 @@ def test_replicates_are_drawn_by_many_tasks_in_slices(spark, monkeypatch):
     monkeypatch.setattr(rs, "spread", lambda df, *k: Plain(df))
     rs.replicate_sums(per, ["run_id"], ["right"], 20, 3)
     assert max(most) <= rs.DRAWN < 1800
+
+
+def test_hidden_rows_meet_windows_before_they_become_a_row_per_species(spark):
+    from chorale.operators.align import align_windows, dense_scores, labelled_windows, with_species
+    from chorale.operators.outcomes import label_windows
+    wins = spark.createDataFrame([("A", "r", float(i), i + 1.0, [0.9, 0.2 * i]) for i in range(4)], "run_id string, recording_id string, start_s double, end_s double, scores array<double>")
+    boxes = spark.createDataFrame([("r", 0.0, 1.0, "x"), ("r", 1.5, 3.0, "y")], "recording_id string, start_s double, end_s double, species_key string")
+    hidden = spark.createDataFrame([("A", "r", 0.0, "x"), ("A", "r", 0.0, "x"), ("A", "r", 2.0, "y"), ("A", "r", 2.0, "z"), ("A", "gone", 0.0, "x")], "run_id string, recording_id string, start_s double, species_key string")
+    thetas = spark.createDataFrame([("x", 0.5), ("y", None)], "species_key string, theta double")
+    sp = ["x", "y"]
+    plain = label_windows(align_windows(wins, sp, sp, boxes, 4.0), thetas, ["species_key"], hidden, ["run_id"])
+    got = label_windows(dense_scores(with_species(labelled_windows(wins, boxes, 4.0), hidden, "hidden"), sp, sp, "labels", "hidden"), thetas, ["species_key"])
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect())) and got.where("hidden").count() == 2
+
+
+def test_a_table_as_small_as_the_label_space_is_sent_to_the_dense_frame(spark, tmp_path):
+    d = _events(spark, tmp_path, [(i, "2024-01-02 00:00:00", i * 5, "click", 1.0, '{"k": 60}') for i in range(64)])
+    assert "Exchange" not in _plan(tb.species(spark, d))  # names are a table, whose size the planner knows, not a distinct of all events
+    plan = _plan(tb.aligned(spark, d).join(tb.species(spark, d).select("species_key", "theta"), "species_key", "left"))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert qo.lab(spark, d).where("hidden").count() == 128 and qo.lab(spark, d).count() == 64 * 200 * 10
