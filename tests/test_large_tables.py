@@ -117,3 +117,16 @@ def test_a_table_as_small_as_the_label_space_is_sent_to_the_dense_frame(spark, t
     plan = _plan(tb.aligned(spark, d).join(tb.species(spark, d).select("species_key", "theta"), "species_key", "left"))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert qo.lab(spark, d).where("hidden").count() == 128 and qo.lab(spark, d).count() == 64 * 200 * 10
+
+
+def test_pairs_that_no_cell_tells_apart_are_counted_together(spark):
+    from chorale.operators.survey import alike_pairs
+    cells = Cells((0.5, 0.9), (1, 3), (0.5,), 2)
+    rng = np.random.default_rng(1)
+    rows = [("m", str(rng.choice(list("awu"))), *[[int(x) for x in rng.integers(0, 9, 2)] for _ in range(4)]) for _ in range(3000)]
+    pairs = spark.createDataFrame(rows, "run_id string, cls string, fs array<int>, fa array<int>, cs array<int>, ca array<int>")
+    got = alike_pairs(pairs, ["run_id"], cells).toPandas()
+    assert got["times"].sum() == 3000 and len(got) < 3000 and max(map(max, got["fs"])) == 3 and max(map(max, got["ca"])) == 2
+    table = lambda col: np.array([list(x) for x in col])
+    plain = cells.counts(np.array([r[1] for r in rows]), *[table([r[i] for r in rows]) for i in range(2, 6)])
+    assert (cells.counts(got["cls"].to_numpy(), *[table(got[c]) for c in ("fs", "fa", "cs", "ca")], got["times"]) == plain).all()
