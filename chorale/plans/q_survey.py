@@ -107,7 +107,10 @@ def bars(spark, d):
 
 
 def ev(spark, d, spans=()):
-    return tb.stored(spark, d, f"evidence{spans}", lambda: sv.evidence(detections(spark, d), bars(spark, d), ARM, spans))
+    def build():
+        det = detections(spark, d)  # counts of all bars wait in a task for each group it meets, so a task takes whole groups
+        return sv.evidence(spread(det, *ARM, *sv.PAIR, rows=det.count()), bars(spark, d), ARM, spans)
+    return tb.stored(spark, d, f"evidence{spans}", build)
 
 
 @query("V2_fit_bars", "SELECT run_id, 'p' || regexp_replace(printf('%.2f', floor), '0$', '') AS bar, species_key, round(theta, 6) AS theta FROM bars")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.operators.align import dense_scores, labelled_windows
+from chorale.operators.align import WIN, dense_scores, labelled_windows
 from chorale.plans.registry import cte
 from chorale.session import cut, spread
 
@@ -54,16 +54,21 @@ def species(spark: SparkSession, d: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    name = F.lit(None).cast("string")
-    for kind, (even, odd) in BY_EVENT.items():
-        name = F.when(F.col("event_type") == kind,
-                      F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)).otherwise(name)
-    r = F.floor(F.col("user_id") / 5)
-    return e.select(
-        "event_id", r.alias("r"), F.concat(F.lit("r"), r.cast("string")).alias("recording_id"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000000").alias("sec"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"), name.alias("species_key"))
+    """The events with their place, second and species. They are dealt by row before anything is read off them, and stored: a
+    file of one row group is read by one task, which would else make all that follows."""
+    def build():
+        e = table(spark, d, "events")
+        name = F.lit(None).cast("string")
+        for kind, (even, odd) in BY_EVENT.items():
+            name = F.when(F.col("event_type") == kind,
+                          F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)).otherwise(name)
+        r = F.floor(F.col("user_id") / 5)
+        raw = spread(e.select("event_id", "ts", "user_id", "event_type", "props"), "event_id", rows=e.count())
+        return raw.select(
+            "event_id", r.alias("r"), F.concat(F.lit("r"), r.cast("string")).alias("recording_id"),
+            F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000000").alias("sec"),
+            F.get_json_object("props", "$.k").cast("int").alias("k"), name.alias("species_key"))
+    return stored(spark, d, "events", build)
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
@@ -87,18 +92,21 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """(run_id, recording_id, start_s, end_s, species_key, score float): the best score per window and species."""
-    e = events(spark, d)
-    runs = F.array(*[F.struct(F.lit(n).alias("run_id"), F.lit(w).alias("w"), F.lit(m).alias("m"))
-                     for n, (w, m) in RUNS.items()])
-    x = e.withColumn("run", F.explode(runs)).select("*", "run.*")
-    raw = (F.col("event_id") * F.col("m")) % 1000 + F.when(F.col("k") >= 50, 400).otherwise(0)
-    start = F.floor(F.col("sec") / F.col("w")) * F.col("w")
-    return x.select(
-        "run_id", "recording_id", start.cast("double").alias("start_s"),
-        (start + F.col("w")).cast("double").alias("end_s"), "species_key",
-        F.least(raw / 1000.0, F.lit(1.0)).cast("float").alias("score"),
-    ).groupBy("run_id", "recording_id", "start_s", "end_s", "species_key").agg(F.max("score").alias("score"))
+    """(run_id, recording_id, start_s, end_s, species_key, score float): the best score per window and species. Nearly every
+    row is a group of its own, so rows meet their window's task first, and no task adds up what it happens to read."""
+    def build():
+        e = events(spark, d)
+        runs = F.array(*[F.struct(F.lit(n).alias("run_id"), F.lit(w).alias("w"), F.lit(m).alias("m"))
+                         for n, (w, m) in RUNS.items()])
+        x = e.withColumn("run", F.explode(runs)).select("*", "run.*")
+        raw = (F.col("event_id") * F.col("m")) % 1000 + F.when(F.col("k") >= 50, 400).otherwise(0)
+        start = F.floor(F.col("sec") / F.col("w")) * F.col("w")
+        rows = x.select(
+            "run_id", "recording_id", start.cast("double").alias("start_s"),
+            (start + F.col("w")).cast("double").alias("end_s"), "species_key",
+            F.least(raw / 1000.0, F.lit(1.0)).cast("float").alias("score"))
+        return spread(rows, *WIN, rows=len(RUNS) * e.count()).groupBy(*WIN, "end_s", "species_key").agg(F.max("score").alias("score"))
+    return stored(spark, d, "scored", build)
 
 
 def score_windows(spark: SparkSession, d: str) -> DataFrame:

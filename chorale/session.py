@@ -40,10 +40,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _MADE[app]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+#: Rows that one task of ``spread`` takes where their number is known.
+ROWS = 250_000
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
     """The frame dealt over four tasks a core, before each row is multiplied: the adaptive planner puts small partitions
-    together by what it has seen, and would leave all that is made of them to one task."""
-    return df.repartition(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+    together by what it has seen, and would leave all that is made of them to one task.
+
+    ``rows``: how many there are, where tasks hold what they read (groups, hash tables); then there are so many tasks that
+    each takes about ``ROWS``, whatever the size of the table and however few pieces its files can be read in."""
+    least = max(16, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(least, -(-rows // ROWS)), *keys)
 
 
 def cut(df: DataFrame) -> DataFrame:

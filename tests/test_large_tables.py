@@ -12,8 +12,10 @@ from chorale.operators.intervals import interval_join
 from chorale.operators.survey import Cells
 from chorale.params import Constraints
 from chorale.plans import q_outcomes as qo
+from chorale.plans import q_survey as qs
 from chorale.plans import testbed as tb
 from chorale.plans.registry import QUERIES, with_ctes
+from chorale.session import spread
 
 
 def _plan(df) -> str:
@@ -43,6 +45,23 @@ def test_windows_are_made_by_many_tasks(spark, tmp_path):
     assert "REPARTITION_BY_NUM" in _plan(tb.score_windows(spark, d))
 
 
+def test_groups_of_large_tables_are_not_held_by_the_task_that_reads_them(spark, tmp_path, monkeypatch):
+    d = _events(spark, tmp_path, [(i, "2024-01-02 00:00:00", i * 5, "click", 1.0, '{"k": 60}') for i in range(64)])
+    built, cut = [], tb.cut
+    monkeypatch.setattr(tb, "cut", lambda df: (built.append(df), cut(df))[1])
+    monkeypatch.setattr(tb, "_STORED", {})
+    assert tb.scored(spark, d).count() == 128
+    scores = _plan(built[-1])
+    assert qs.ev(spark, d).where("n_all > 0").count() > 0
+    for plan, sums in ((scores, "partial_max"), (_plan(built[-1]), "partial_count")):
+        assert plan.rindex(sums) < plan.index("REPARTITION_BY_NUM")  # parents come first
+
+
+def test_tasks_grow_in_number_with_known_rows(spark):
+    few, many = (spread(spark.range(4), "id", rows=n).rdd.getNumPartitions() for n in (4, 90_000_000))
+    assert few < 100 and many == 360
+
+
 def test_a_window_that_scores_nothing_is_not_hidden(spark, tmp_path):
     rows = [(1000, "2024-01-02 00:00:00", 0, "click", 1.0, '{"k": 10}'), (2002, "2024-01-03 00:00:00", 0, "click", 1.0, '{"k": 10}')]
     d = _events(spark, tmp_path, rows)
