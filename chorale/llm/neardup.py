@@ -192,11 +192,20 @@ def _exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
         F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
 
 
-def _texts(wanted: DataFrame, entities: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _place(doc_id: str, th: str) -> F.Column:
+    """Where a text is found: its hash and its row's id, as one key."""
+    return F.concat_ws(":", F.col(th).cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
+def _stored_texts(docs: DataFrame, scratch: Scratch, doc_id: str, text: str) -> DataFrame:
+    """(at, text) of all texts, shuffled once; every check finds texts there by joins that do not move them again."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("text is not null")
+    return scratch.dealt(rows.select(_place("doc_id", "th").alias("at"), "text"), "at")
+
+
+def _texts(wanted: DataFrame, entities: DataFrame, texts: DataFrame) -> DataFrame:
     """(fp, text): one text of each entity in ``wanted`` (fp)."""
-    need = wanted.join(entities.select("fp", "one"), "fp").select("fp", F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return rows.join(need, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("fp").agg(F.first("text").alias("text"))
+    return wanted.join(entities.select("fp", "at"), "fp").join(texts, "at").select("fp", "text")
 
 
 def _rarest(texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -256,10 +265,11 @@ def _within_room(first: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return rows.join(sizes, "key").drop("most", "room")
 
 
-def _confirmed(pairs: DataFrame, entities: DataFrame, docs: DataFrame, percent: int, size: int, doc_id: str, text: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, entities: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), entities, docs, doc_id, text)
-    both = pairs.join(texts.withColumnsRenamed({"fp": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"fp": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    at = lambda c: entities.select(F.col("fp").alias(c), F.col("at").alias(f"{c}_at"))
+    text = lambda c: texts.select(F.col("at").alias(f"{c}_at"), F.col("text").alias(f"t{c}"))
+    both = pairs.join(at("a"), "a").join(at("b"), "b").join(text("a"), "a_at").join(text("b"), "b_at").select("a", "b", "ta", "tb")
 
     def job(batches):
         memo, kept = WordHashes(), (None, None)
@@ -287,7 +297,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
     """
     seen = scratch.cut(describe(docs, doc_id, text, size))
     full = seen.where("fp is not null")
-    entities = scratch.cut(full.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")))
+    entities = scratch.cut(full.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")).withColumn("at", _place("one.doc_id", "one.th")))
     reps = full.join(entities, "fp").where((F.col("th") == F.col("one.th")) & F.col("doc_id").eqNullSafe(F.col("one.doc_id")))
     reps = scratch.cut(reps.select("fp", "n", "mins", *SKETCH, *PARITY).dropDuplicates(["fp"]))
     sketches = reps.select("fp", "n", *SKETCH, *PARITY)
@@ -309,7 +319,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
         else:
             rows = large.select("fp", "t").join(reps.select("fp", "mins"), "fp").select("fp", "t", _path(levels[i + 1]).alias("key"))
 
-    check = lambda p: scratch.cut(_confirmed(scratch.cut(p.distinct()), entities, docs, percent, size, doc_id, text))
+    texts = _stored_texts(docs, scratch, doc_id, text)
+    check = lambda p: scratch.cut(_confirmed(scratch.cut(p.distinct()), entities, texts, percent, size))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     labels = None
     if hubs is not None:
@@ -337,7 +348,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 80, size:
             found = found.union(rest.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(least).select(*pair("x.fp", "x.hub")) if first else rest.select(*pair("fp", "hub")))
         labels = _merged(labels, check(found), scratch)
     if dense is not None:
-        first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, docs, doc_id, text)), percent, size).join(labelled(), "fp"))
+        first = scratch.cut(_rarest(scratch.cut(_texts(dense, entities, texts)), percent, size).join(labelled(), "fp"))
         # a shingle of one component only, such as those of a group of copies, yields no pair
         mixed = first.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         labels = _merged(labels, check(_exhaustive(_within_room(first.join(mixed, "key"), percent, scratch), percent)), scratch)

@@ -16,6 +16,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.made: list[str] = []
+        self.tables: list[str] = []
 
     def path(self) -> str:
         return f"{checkpoint_dir(self.spark)}/llm-{uuid.uuid4().hex}"
@@ -32,6 +33,15 @@ class Scratch:
         self.clear()
         return out
 
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """One row of the frame for each ``key`` as a table in buckets of it: joins on the key alone read the table where it
+        lies and shuffle the other side only."""
+        n, name, path = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"llm_{uuid.uuid4().hex}", self.path()
+        df.repartition(n, key).dropDuplicates([key]).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+        self.made.append(path)
+        self.tables.append(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         """Removes the table behind a frame that ``cut`` returned."""
         for path in [p for p in self.made if any(p.rsplit("/", 1)[1] in f for f in df.inputFiles())]:
@@ -39,8 +49,11 @@ class Scratch:
             self.made.remove(path)
 
     def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in self.made:
             self._remove(path)
+        self.tables.clear()
         self.made.clear()
 
     def _remove(self, path: str) -> None:
