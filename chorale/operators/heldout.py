@@ -2,9 +2,11 @@
 
 A refit is a subtraction. The full curve is summed up once, in score bins; taking a fold out shifts the curve by constants
 between the fold's own scores, so the point where a precision floor is last held is found by range maxima over bins, and
-only bins where it can lie are looked into score by score. Folds that share thetas share their counts: a detection is
-placed once among the distinct thetas of its species, counts at any theta follow from running sums, and the cells of a
-sweep are added up once per species and distinct set of thetas. A fold's sweep is the sum over species less its own pairs.
+only bins where it can lie are looked into score by score. Few points of a curve can be any fold's answer, so folds whose own
+rows lie alike between these points have the same thetas, and one of them is refitted for all. Folds that share thetas share
+their counts: a detection is placed once among the distinct thetas of its species, counts at any theta follow from running
+sums, and the cells of a sweep are added up once per species and distinct set of thetas, over the distinct lists of counts. A
+fold's sweep is the sum over species less its own pairs, taken only in the cells that can be chosen without any of the folds.
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from chorale.session import cut, spread
 #: Folds that share a cell of work, and recordings that do.
 FOLD_BLOCK, RECORDING_BLOCK = 4096, 4096
 #: Folds whose cells are chosen in one task.
-CHOICE_BLOCK = 1024
+CHOICE_BLOCK = 4096
 #: Folds of such a task whose cells are looked at together.
-TOGETHER = 64
+TOGETHER = 256
 #: Distinct scores of a bucket of bins, which are looked into together; a bin has fewer (``prefix.score_bin``).
 BUCKET = 1 << 14
 #: Cells of a table of questions by scores that is made at once.
@@ -151,6 +153,37 @@ def _points_of_bin(asked: pd.DataFrame, ties: pd.DataFrame, floors, min_support:
     return pd.DataFrame({"fold": asked["fold"].to_numpy()[hit], "i": asked["i"].to_numpy()[hit], "tp": got_tp[found], "seen": got_seen[found], "theta": score[place[found]].astype(float)})
 
 
+def _alike_folds(ties: DataFrame, curve: DataFrame, keys: list[str], folds: DataFrame, floors, min_support: int) -> DataFrame:
+    """(keys, fold, like, own): every fold with what its thetas depend on, and its positives. Folds with the same ``like``
+    have the same thetas.
+
+    A point of the curve is open if it can hold a floor without some fold, going by the most rows that any fold has. Where
+    it holds without every fold, only a fold with all its positives can take it away, which no fold can do to more points
+    than it has positives: so the points that are open, and not higher than one more of these, hold every fold's answer.
+    ``like`` lists the fold's rows at these points and between them; rows below the last one change nothing."""
+    num, den = _exact(floors)
+    sizes = cut(ties.groupBy(*keys, "fold").agg(F.sum("p").alias("own"), F.sum("n").alias("_n")))
+    most = sizes.groupBy(*keys).agg(F.max("own").alias("_p"), F.max("_n").alias("_rows"), F.max(F.col("_n") - F.col("own")).alias("_neg"))
+    at = range(len(num))
+    gain = [F.col("tp") * int(d) - F.col("seen") * int(m) for m, d in zip(num, den)]
+    some, enough = (F.col("p") > 0) & (F.col("seen") >= min_support), F.col("seen") - F.col("_rows") >= min_support
+    flags = curve.join(most, keys).select(
+        *keys, "score", "_p", "_rows", (F.col("seen") >= min_support).alias("_late"), enough.cast("long").alias("_enough"),
+        *[(some & (g >= F.col("_p") * int(min(d - m, 0)) - F.col("_neg") * int(m))).alias(f"_open{i}") for i, (g, m, d) in enumerate(zip(gain, num, den))],
+        *[(some & enough & (g >= F.col("_p") * int(max(d - m, 0)))).cast("long").alias(f"_held{i}") for i, (g, m, d) in enumerate(zip(gain, num, den))])
+    below = running_totals(flags, keys, "score", {"_c": "_enough", **{f"_c{i}": f"_held{i}" for i in at}}, descending=False)
+    asked = F.col("_late") & (F.col("total__c") - F.col("_c") <= F.col("_rows"))  # the first point with enough rows
+    for i in at:
+        asked = asked | (F.col(f"_open{i}") & (F.col(f"_c{i}") - F.col(f"_held{i}") <= F.col("_p")))
+    placed = running_totals(below.select(*keys, "score", asked.cast("long").alias("_asked")), keys, "score", {"_down": "_asked"}, descending=False)
+    places = cut(placed.where("_down > 0").select(*keys, "score", ((F.col("total__down") - F.col("_down")) * 2 + F.col("_asked")).alias("place")))
+    near = ties.join(_apart(places), [*keys, "score"]).groupBy(*keys, "fold", "place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    like = near.groupBy(*keys, "fold").agg(F.array_sort(F.collect_list(F.struct("place", "p", "n"))).alias("like"))
+    base = curve.select(*keys).distinct().withColumn("_one", F.lit(1)).join(folds.select("fold").withColumn("_one", F.lit(1)), "_one").drop("_one")  # the result has a row for each
+    return base.join(like, [*keys, "fold"], "left").join(_apart(sizes.drop("_n")), [*keys, "fold"], "left").withColumn(
+        "like", F.coalesce("like", F.array().cast(like.schema["like"].dataType))).fillna(0, ["own"])
+
+
 def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds: int, floors=FLOORS, min_support: int = 10) -> DataFrame:
     """(keys, fold, n_pos, thetas): for each fold, without its rows, positives left and per floor the theta of the deepest
     point that holds it, as ``floor_thetas`` picks it on the refitted curve; null where none does.
@@ -158,20 +191,23 @@ def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds:
     ``ties`` has (keys, fold, score, p, n), ``folds`` each fold once. Cells hold the bins of one key, or the scores of one
     bin, and a bounded number of folds."""
     num, den = _exact(floors)
-    blocks = max(1, -(-n_folds // FOLD_BLOCK))
+    curve = running_totals(ties.groupBy(*keys, score_bin(F.col("score")).alias("bin"), "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), keys, "score", {"tp": "p", "seen": "n"})
+    curve = cut(curve.select(*keys, "bin", "score", "p", "n", "tp", "seen"))
+    every_fold = cut(_alike_folds(ties, curve, keys, folds, floors, min_support))
+    asked_for = cut(every_fold.groupBy(*keys, "like").agg(F.min("fold").alias("fold")))
+    base = asked_for.select(*keys, "fold")
+    fewer = base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-min(n_folds, fewer) // FOLD_BLOCK))
     block = F.pmod(F.xxhash64("fold"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     kinds = ", ".join(f"`{k}` {t}" for k, t in ties.select(*keys).dtypes)
     fold_kind = dict(ties.dtypes)["fold"]
-    ties = cut(ties.withColumn("bin", score_bin(F.col("score"))))
-    curve = running_totals(ties.groupBy(*keys, "bin", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), keys, "score", {"tp": "p", "seen": "n"})
-    curve = cut(curve.select(*keys, "bin", "score", "p", "n", "tp", "seen"))
+    ties = cut(ties.join(_apart(base), [*keys, "fold"], "left_semi").withColumn("bin", score_bin(F.col("score"))))
     gain = [F.max(F.when(F.col("p") > 0, F.col("tp") * int(d) - F.col("seen") * int(m))).alias(f"g{i}") for i, (m, d) in enumerate(zip(num, den))]
     bins = curve.groupBy(*keys, "bin").agg(F.max("seen").alias("seen_end"), F.count(F.lit(1)).alias("_scores"), *gain)
     upto = F.sum("_scores").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))  # some ten thousand bins at most
     bins = cut(bins.withColumn("bucket", F.floor(F.coalesce(upto, F.lit(0)) / BUCKET).cast("long")).drop("_scores"))
     bucket_of = bins.select(*keys, "bin", "bucket")
-    base = ties.select(*keys).distinct().withColumn("_one", F.lit(1)).join(folds.select("fold").withColumn("_one", F.lit(1)), "_one").drop("_one")  # the result has a row for each
     own = ties.groupBy(*keys, "fold", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).unionByName(
         base.select(*keys, "fold", F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
     shape = f"{kinds}, block int, fold {fold_kind}, i int, bucket long, bin long, tp_before long, n_before long"
@@ -201,17 +237,18 @@ def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds:
     best = found.groupBy(*keys, "fold").agg(*[F.max(F.when(F.col("i") == i, F.struct("tp", "theta"))).alias(f"b{i}") for i in range(len(num))],
                                             F.max(F.when(F.col("i") == -1, F.struct("tp", "seen", "theta"))).alias("first"))
     theta = F.array(*[F.coalesce(F.col(f"b{i}.theta"), F.when(F.col("first.tp") * int(d) >= F.col("first.seen") * int(m), F.col("first.theta"))) for i, (m, d) in enumerate(zip(num, den))])
-    mine = ties.groupBy(*keys, "fold").agg(F.sum("p").alias("_own"))
-    total = ties.groupBy(*keys).agg(F.sum("p").alias("_all"))
-    out = base.join(best, [*keys, "fold"], "left").join(mine, [*keys, "fold"], "left").join(total, keys)
-    return out.select(*keys, "fold", (F.col("_all") - F.coalesce("_own", F.lit(0))).alias("n_pos"), theta.alias("thetas"))
+    total = curve.groupBy(*keys).agg(F.sum("p").alias("_all"))
+    found = cut(asked_for.join(best, [*keys, "fold"], "left").join(_apart(total), keys).select(*keys, "like", "_all", theta.alias("thetas")))
+    return every_fold.join(found, [*keys, "like"]).select(*keys, "fold", (F.col("_all") - F.col("own")).alias("n_pos"), "thetas")
 
 
 def held_out_bars(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds: int, spec: RuleSpec, floors=FLOORS) -> DataFrame:
     """(keys, species_key, fold, thetas): the bars of every fold refitted without it, one theta per floor; those for
     species without a curve have a NULL species. Guards and fallback are the spec's."""
+    ties = cut(ties)
     own = held_out_thetas(ties, [*keys, "species_key"], folds, n_folds, floors, spec.min_support)
-    pooled = held_out_thetas(ties.groupBy(*keys, "fold", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), keys, folds, n_folds, floors, spec.min_support)
+    together = cut(ties.groupBy(*keys, "fold", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
+    pooled = held_out_thetas(together, keys, folds, n_folds, floors, spec.min_support)
     fallback = F.array_repeat(F.lit(float(spec.default_fixed)), len(floors)) if spec.fallback == "fixed" else F.col("thetas")
     pooled = cut(pooled.select(*keys, "fold", fallback.alias("fb")))
     rows = own.join(pooled, [*keys, "fold"]).select(*keys, "species_key", "fold", F.when(
@@ -233,6 +270,14 @@ def _at_levels(lists, cuts: np.ndarray, add_up: bool) -> tuple[np.ndarray, np.nd
     return every, shown
 
 
+def _at_thetas(lists: str, what: str, add_up: bool):
+    """Counts of a pair at each of its fold's thetas, from its list of (level, n_all, n_shown); a null theta counts nothing."""
+    def one(t):
+        reached = F.filter(lists, lambda e: (e["level"] >= t) if add_up else (e["level"] == t))
+        return F.coalesce(F.aggregate(reached, F.lit(0).cast("long"), lambda n, e: n + e[what]), F.lit(0)).cast("int")
+    return F.transform("thetas", one)
+
+
 def levels(det: DataFrame, cuts: DataFrame, keys: list[str], within_s: float | None, name: str) -> DataFrame:
     """(keys, recording, species, name): per pair a list of (level, n_all, n_shown), no longer than its species has cuts.
 
@@ -248,7 +293,7 @@ def levels(det: DataFrame, cuts: DataFrame, keys: list[str], within_s: float | N
         a = span_counts(each, g, within_s).groupBy(*g).agg(F.max("in_span").alias("n_all"))
         b = span_counts(each.where("shown"), g, within_s).groupBy(*g).agg(F.max("in_span").alias("n_shown"))
         n = a.join(b, g, "left").fillna(0, ["n_shown"])
-    return n.groupBy(*keys, *PAIR).agg(F.collect_list(F.struct("level", "n_all", "n_shown")).alias(name))
+    return n.groupBy(*keys, *PAIR).agg(F.array_sort(F.collect_list(F.struct("level", "n_all", "n_shown"))).alias(name))
 
 
 def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: DataFrame, label_set: DataFrame, folds: DataFrame, rule: SurveyRule, cells: Cells,
@@ -261,51 +306,52 @@ def fold_pairs(det: DataFrame, bars: DataFrame, pairs_of: DataFrame, truth: Data
     own = bars.where("species_key is not null")
     rest = listed.join(own.select(*keys, "species_key").distinct(), [*keys, "species_key"], "left_anti").join(bars.where("species_key is null").drop("species_key"), keys)
     assigned = cut(own.join(listed, [*keys, "species_key"], "left_semi").unionByName(rest.select(*own.columns)).withColumn("vec", F.xxhash64("thetas")))
-    cuts = cut(assigned.select(*keys, "species_key", F.explode("thetas").alias("t")).where("t is not null").groupBy(*keys, "species_key").agg(F.array_sort(F.collect_set("t")).alias("cuts")))
+    vecs = cut(assigned.groupBy(*keys, "species_key", "vec").agg(F.first("thetas").alias("thetas")))
+    cuts = cut(vecs.select(*keys, "species_key", F.explode("thetas").alias("t")).where("t is not null").groupBy(*keys, "species_key").agg(F.array_sort(F.collect_set("t")).alias("cuts")))
     firm = levels(det, cuts, keys, rule.firm.within_s, "firm")
     lists = firm.withColumn("check", F.col("firm")) if rule.check.within_s == rule.firm.within_s else firm.join(levels(det, cuts, keys, rule.check.within_s, "check"), [*keys, *PAIR], "full_outer")
     uni = lists.join(truth.select(*keys, *PAIR).withColumn("a", F.lit(True)), [*keys, *PAIR], "full_outer").join(
         label_set.select("species_key").withColumn("j", F.lit(True)), "species_key", "left").join(pairs_of.select("recording_id"), "recording_id", "left_semi").join(folds, "recording_id")
-    blocks = max(1, -(-pairs_of.count() // RECORDING_BLOCK))
-    # a pair knows its own fold's thetas, so only distinct thetas have to meet every block of recordings
-    uni = uni.join(_apart(assigned.select(*keys, "species_key", "fold", "vec")), [*keys, "species_key", "fold"])
-    vecs = assigned.groupBy(*keys, "species_key", "vec").agg(F.first("thetas").alias("thetas"))
-    uni = uni.select(*keys, "species_key", F.pmod(F.xxhash64("recording_id"), F.lit(blocks)).cast("int").alias("block"), "recording_id", "fold", "vec", "firm", "check",
-                     F.when(F.col("a"), "a").when(F.col("j"), "w").otherwise("u").alias("cls"))
+    # a pair knows its own fold's thetas, so only distinct thetas have to meet what pairs there are
+    uni = uni.join(_apart(assigned.select(*keys, "species_key", "fold", "vec")), [*keys, "species_key", "fold"]).join(_apart(vecs), [*keys, "species_key", "vec"])
+    firm_counts, check_counts = ({k: _at_thetas(name, f"n_{k}", c.within_s is None) for k in ("shown", "all")} for name, c in (("firm", rule.firm), ("check", rule.check)))
+    same = rule.check.within_s == rule.firm.within_s
+    uni = uni.select(*keys, *PAIR, "fold", "firm", "check", F.when(F.col("a"), "a").when(F.col("j"), "w").otherwise("u").alias("cls"),
+                     firm_counts["shown"].alias("fs"), firm_counts["all"].alias("fa"), *([] if same else [check_counts["shown"].alias("cs"), check_counts["all"].alias("ca")]))
+    uni = cut(uni)
+    alike = cut(uni.groupBy(*keys, "species_key", "cls", "firm", "check").agg(F.count(F.lit(1)).alias("times")))  # pairs that no thetas tell apart
+    blocks = max(1, -(-(alike.groupBy(*keys, "species_key").count().agg(F.max("count")).first()[0] or 0) // RECORDING_BLOCK))
+    alike = alike.withColumn("block", F.pmod(F.xxhash64("cls", "firm", "check"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    position = [cells.bars.index(b) for b in cells.bars]
-    fold_kind, model_kind = dict(bars.dtypes)["fold"], dict(bars.dtypes)[model]
-    shape = (f"`{model}` {model_kind}, species_key string, vec long, fold {fold_kind}, recording_id string, cls string, "
-             "fs array<int>, fa array<int>, cs array<int>, ca array<int>, cells binary")
+    model_kind = dict(bars.dtypes)[model]
+    shape = f"`{model}` {model_kind}, species_key string, vec long, cells binary"
     sums = (rule.firm.within_s is None, rule.check.within_s is None)
+    added = [model, "species_key", "vec"]
 
     def count(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [model, "species_key", "vec", "fold", "recording_id", "cls", "fs", "fa", "cs", "ca", "cells"]
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame(columns=[*added, "cells"])
         theta = np.array([[np.inf if t is None or t != t else t for t in row] for row in right["thetas"]], float)
         near = np.unique(theta[np.isfinite(theta)])
         fa, fs = _at_levels(left["firm"], near, sums[0])
         ca, cs = _at_levels(left["check"], near, sums[1])
-        cls, own_vec = left["cls"].to_numpy(), left["vec"].to_numpy()
+        cls, times = left["cls"].to_numpy(), left["times"].to_numpy()
         out = []
         for v, own_theta in zip(right["vec"], theta):
-            at = np.searchsorted(near, own_theta)[position]  # an infinite theta meets the column of zeros
-            got = cells.counts(cls, fs[:, at], fa[:, at], cs[:, at], ca[:, at])
-            out.append((key[0], key[1], v, None, None, None, None, None, None, None, got.astype(np.int16).tobytes()))  # a part has no more pairs than a block has recordings
-            for r in np.flatnonzero(own_vec == v):
-                out.append((key[0], key[1], v, left["fold"].iloc[r], left["recording_id"].iloc[r], cls[r], *[x[r, at] for x in (fs, fa, cs, ca)], None))
-        return pd.DataFrame(out, columns=names)
-
-    done = cut(uni.groupBy(model, "species_key", "block").cogroup(_apart(vecs.select("*", every)).groupBy(model, "species_key", "block")).applyInPandas(count, shape))
-    added = [model, "species_key", "vec"]
+            at = np.searchsorted(near, own_theta)  # an infinite theta meets the column of zeros
+            got = cells.counts(cls, fs[:, at], fa[:, at], cs[:, at], ca[:, at], times)
+            out.append((key[0], key[1], v, got.astype(np.int32).tobytes()))
+        return pd.DataFrame(out, columns=[*added, "cells"])
+
+    done = alike.groupBy(model, "species_key", "block").cogroup(_apart(vecs.select("*", every)).groupBy(model, "species_key", "block")).applyInPandas(count, shape)
 
     def add_up(key, parts):
-        total = sum(np.frombuffer(c, np.int16).astype(np.int32) for c in parts["cells"])
+        total = sum(np.frombuffer(c, np.int32) for c in parts["cells"])
         return pd.DataFrame([(*key, total.tobytes())], columns=[*added, "cells"])
 
-    tables = done.where("cells is not null").select(*added, "cells").groupBy(*added).applyInPandas(add_up, f"`{model}` {model_kind}, species_key string, vec long, cells binary")
-    return assigned.select(model, "fold", "species_key", "vec"), cut(tables), done.where("cells is null").drop("cells", "vec")
+    tables = done.groupBy(*added).applyInPandas(add_up, shape)
+    held = uni.select(model, "fold", *PAIR, "cls", "fs", "fa", *([F.col("fs").alias("cs"), F.col("fa").alias("ca")] if same else ["cs", "ca"]))
+    return assigned.select(model, "fold", "species_key", "vec"), cut(tables), held
 
 
 # ------------------------------------------------------------------ choice
@@ -339,15 +385,60 @@ def _own_cells(at: np.ndarray, cls: np.ndarray, counts: list[np.ndarray], cells:
     return out
 
 
+def _bounds(t: np.ndarray, most: dict[str, int], n: tuple[float, float]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(least, most) of each statistic that limits or aims name, when up to ``most`` pairs of each class are taken out of the
+    totals ``t`` of (outcomes, folds, cells) and ``n`` recordings are left. One that may be undefined has no bounds, one that
+    is undefined whatever is taken out has none above."""
+    fr, fw, _, cr, cw, cu, hid, missed = t
+    less = lambda x, k: np.maximum(x - k, 0)
+    a, w, u = (most.get(k, 0) for k in "awu")
+    checks, annotated = cr + cw + cu, fr + cr + missed + hid
+
+    def share(low, high, below_low, below_high):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (np.where(below_low > 0, low / below_high, -np.inf), np.where(below_low > 0, high / below_low, np.where(below_high > 0, np.inf, -np.inf)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low = np.where(less(fr, a) + less(fw, w) > 0, less(fr, a) / (less(fr, a) + fw), -np.inf)
+        high = np.where(less(fr, a) + less(fw, w) > 0, fr / (fr + less(fw, w)), np.where(fr + fw > 0, np.inf, -np.inf))
+    return {"firm_precision": (low, high), "recall_reviewed": share(less(fr + cr, a), fr + cr, less(annotated, a), annotated),
+            "firm_recall": share(less(fr, a), fr, less(annotated, a), annotated),
+            "checks_per_recording": (less(checks, a + w + u) / max(n[1], 1), checks / max(n[0], 1))}
+
+
+def _may_be_chosen(bounds: list[dict], there: list[np.ndarray], cons: Constraints, n_models: int) -> np.ndarray:
+    """Cells that may be the best of some fold, for one model or for all of them; ``there``: folds that a model has."""
+    aim, sign = ORDER[cons.objective][0].lstrip("-"), -1 if ORDER[cons.objective][0][0] == "-" else 1
+
+    def left(can, sure, low, high):
+        least = np.where(sure, low, -np.inf).max(axis=1, keepdims=True)
+        return can & (high >= least)
+    keep, each = False, []
+    for b, here in zip(bounds, there):
+        can, sure = (np.repeat(here[:, None], b[aim][0].shape[1], axis=1) for _ in range(2))
+        for c, side, v in limits(cons):
+            low, high = b[c]
+            can, sure = (can & (high >= v), sure & (low >= v)) if side == "least" else (can & (low <= v), sure & (high <= v))
+        low, high = b[aim] if sign > 0 else (-b[aim][1], -b[aim][0])
+        sure = sure & np.isfinite(low) & np.isfinite(high)
+        each.append((can, sure, low, high))
+        keep = keep | left(can, sure, low, high).any(axis=0)
+    if len(each) == n_models:
+        can, sure = (np.logical_and.reduce([e[i] for e in each]) for i in range(2))
+        clear = np.logical_and.reduce([np.isfinite(e[2]) & np.isfinite(e[3]) for e in each])  # a mean leaves out what is undefined
+        low, high = (sum(np.where(clear, e[i], 0) for e in each) / len(each) for i in (2, 3))
+        keep = keep | left(can, sure, np.where(clear, low, -np.inf), np.where(clear, high, np.inf)).any(axis=0)
+    return keep
+
+
 def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constraints, n_models: int, model: str) -> pd.DataFrame:
     """(model or null, fold, check_floor, floor, k, statistics): each fold's best cell per model, and the best one that
-    all models share, where there is one. ``folds``: a row per (model, fold, species, pair of the fold) with vec, and
+    all models share, where there is one, out of the cells that their totals leave open. ``folds``: a row per (model, fold, species, pair of the fold) with vec, and
     with counts and class where there is a pair; n and hours of the other folds. Some folds are looked at together."""
     valid = np.array(cells.valid())
     shape = (len(OUT), len(cells.floors), len(cells.ks), len(cells.check_floors))
     whole = {(m, sp, v): np.frombuffer(c, np.int32).reshape(shape)[:, valid[:, 0], valid[:, 1], valid[:, 2]].astype(np.int64)
              for m, sp, v, c in zip(tables[model], tables["species_key"], tables["vec"], tables["cells"])}
-    cell = {"floor": np.array(cells.floors)[valid[:, 0]], "k": np.array(cells.ks, float)[valid[:, 1]], "check_floor": np.array(cells.check_floors)[valid[:, 2]]}
+    every_cell = {"floor": np.array(cells.floors)[valid[:, 0]], "k": np.array(cells.ks, float)[valid[:, 1]], "check_floor": np.array(cells.check_floors)[valid[:, 2]]}
     none = np.zeros((len(OUT), len(valid)), np.int64)
     summed: dict = {}
 
@@ -357,7 +448,7 @@ def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constr
             summed[m, named] = sum((whole[m, sp, v] for sp, v in named if (m, sp, v) in whole), none)
         return summed[m, named]
 
-    def best(st: dict, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def best(st: dict, ok: np.ndarray, cell: dict) -> tuple[np.ndarray, np.ndarray]:
         """(folds, cells): the best cell of each fold that has one; the first one among equals."""
         given, alive = {**st, **cell}, ok.copy()
         for name in ORDER[cons.objective]:
@@ -374,33 +465,50 @@ def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constr
                 ok &= (st[c] >= v) if side == "least" else (st[c] <= v)
         return ok
 
-    def said(m, names, st: dict, at: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    def said(m, names, st: dict, at: tuple[np.ndarray, np.ndarray], cell: dict) -> pd.DataFrame:
         f, c = at
-        return pd.DataFrame({model: [m] * len(f), "fold": names[f], "check_floor": cell["check_floor"][c], "floor": cell["floor"][c], "k": cell["k"][c].astype(int),
+        return pd.DataFrame({model: np.full(len(f), m, object), "fold": names[f], "check_floor": cell["check_floor"][c], "floor": cell["floor"][c], "k": cell["k"][c].astype(int),
                              **{s: st[s][f, c] for s in STATS}})
 
     out = []
     code, ids = pd.factorize(folds["fold"])
-    folds = folds.assign(_at=code).sort_values("_at", kind="stable")
+    folds = folds.assign(_at=code)
+    sets: list[dict] = [{} for _ in ids]  # per fold and model the thetas of each species
+    for f, m, sp, v in zip(code, folds[model], folds["species_key"], folds["vec"]):
+        sets[f].setdefault(m, set()).add((sp, v))
+    seen: dict = {}
+    combos = np.array([seen.setdefault(tuple(sorted((m, tuple(sorted(x))) for m, x in s.items())), len(seen)) for s in sets], np.int64)
+    kinds = list(seen)
+    rank = np.empty(len(ids), np.int64)
+    rank[np.argsort(combos, kind="stable")] = np.arange(len(ids))  # folds with the same thetas are looked at together
+    ids, combos = np.asarray(ids)[np.argsort(rank)], np.sort(combos, kind="stable")
+    folds["_at"] = rank[code]
+    folds = folds.sort_values("_at", kind="stable")
     for lo in range(0, len(ids), TOGETHER):
-        names = np.asarray(ids[lo:lo + TOGETHER])
+        names = ids[lo:lo + TOGETHER]
         rows = folds.iloc[slice(*np.searchsorted(folds["_at"], [lo, lo + len(names)]))]
-        every, fine = [], np.zeros((len(names), len(valid)), int)
+        which, of = np.unique(combos[lo:lo + len(names)], return_inverse=True)
+        parts, bounds, there = [], [], []
         for m, part in rows.groupby(model, sort=False):
             at = part["_at"].to_numpy() - lo
             here, first = np.unique(at, return_index=True)
-            t = np.zeros((len(OUT), len(names), len(valid)), np.int64)
-            of: dict = {f: set() for f in here}
-            for f, sp, v in zip(at, part["species_key"], part["vec"]):
-                of[f].add((sp, v))
-            for f, named in of.items():
-                t[:, f] = all_pairs(m, tuple(sorted(named)))
-            own = part["cls"].notna().to_numpy()
-            if own.any():
-                pairs = part[own]
-                t -= _own_cells(at[own], pairs["cls"].to_numpy(), [np.array(pairs[c].tolist(), np.int64) for c in ("fs", "fa", "cs", "ca")], cells, valid, len(names))
             n, hours = np.full((len(names), 1), np.nan), np.full((len(names), 1), np.nan)
             n[here, 0], hours[here, 0] = part["n"].to_numpy(float)[first], part["hours"].to_numpy(float)[first]
+            named = [dict(kinds[w]).get(m) for w in which]
+            t = np.stack([none if x is None else all_pairs(m, x) for x in named], axis=1)
+            own = part["cls"].notna().to_numpy()
+            most = pd.crosstab(at[own], part["cls"].to_numpy()[own]).max().to_dict() if own.any() else {}
+            parts.append((m, at[own], part[own], t, n, hours))
+            bounds.append(_bounds(t, most, (np.nanmin(n), np.nanmax(n))))
+            there.append(np.array([x is not None for x in named]))
+        may = np.flatnonzero(_may_be_chosen(bounds, there, cons, n_models))
+        may = may if len(may) else np.zeros(1, np.int64)
+        cell = {c: x[may] for c, x in every_cell.items()}
+        every, fine = [], np.zeros((len(names), len(may)), int)
+        for m, at, pairs, t, n, hours in parts:
+            t = t[:, :, may][:, of]
+            if len(pairs):
+                t -= _own_cells(at, pairs["cls"].to_numpy(), [np.concatenate(pairs[c].to_numpy()).reshape(len(pairs), -1) for c in ("fs", "fa", "cs", "ca")], cells, valid[may], len(names))
             st = _statistics(t.astype(float), n, hours)
             ok = kept(st)
             absent = np.isnan(n[:, 0])
@@ -409,13 +517,13 @@ def choose(folds: pd.DataFrame, tables: pd.DataFrame, cells: Cells, cons: Constr
                 st[s][absent] = np.nan
             fine += ok
             every.append(st)
-            out.append(said(m, names, st, best(st, ok)))
+            out.append(said(m, names, st, best(st, ok, cell), cell))
         mean = {}
         for s in STATS:
             x = np.array([st[s] for st in every])
             some = ~np.isnan(x)
             mean[s] = np.where(some.any(axis=0), np.where(some, x, 0).sum(axis=0) / np.maximum(some.sum(axis=0), 1), np.nan)
-        out.append(said(None, names, mean, best(mean, fine == n_models)))
+        out.append(said(None, names, mean, best(mean, fine == n_models, cell), cell))
     return pd.concat(out, ignore_index=True)[[model, "fold", "check_floor", "floor", "k", *STATS]]
 
 
