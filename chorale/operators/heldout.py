@@ -31,6 +31,8 @@ FOLD_BLOCK, RECORDING_BLOCK = 4096, 4096
 CHOICE_BLOCK = 4096
 #: Folds of such a task whose cells are looked at together.
 TOGETHER = 256
+#: Points of a curve that may be some fold's answer, up to which every fold is held against all of them.
+CLOSE = 512
 #: Distinct scores of a bucket of bins, which are looked into together; a bin has fewer (``prefix.score_bin``).
 BUCKET = 1 << 14
 #: Cells of a table of questions by scores that is made at once.
@@ -153,9 +155,10 @@ def _points_of_bin(asked: pd.DataFrame, ties: pd.DataFrame, floors, min_support:
     return pd.DataFrame({"fold": asked["fold"].to_numpy()[hit], "i": asked["i"].to_numpy()[hit], "tp": got_tp[found], "seen": got_seen[found], "theta": score[place[found]].astype(float)})
 
 
-def _alike_folds(ties: DataFrame, curve: DataFrame, keys: list[str], folds: DataFrame, floors, min_support: int) -> DataFrame:
+def _alike_folds(ties: DataFrame, curve: DataFrame, keys: list[str], folds: DataFrame, floors, min_support: int) -> tuple[DataFrame, DataFrame]:
     """(keys, fold, like, own): every fold with what its thetas depend on, and its positives. Folds with the same ``like``
-    have the same thetas.
+    have the same thetas. And the points these lie among: (keys, place, score, p, n, tp, seen, asked), ``asked`` telling for
+    each floor, and last for the first point with enough rows, whether it may be there.
 
     A point of the curve is open if it can hold a floor without some fold, going by the most rows that any fold has. Where
     it holds without every fold, only a fold with all its positives can take it away, which no fold can do to more points
@@ -168,36 +171,97 @@ def _alike_folds(ties: DataFrame, curve: DataFrame, keys: list[str], folds: Data
     gain = [F.col("tp") * int(d) - F.col("seen") * int(m) for m, d in zip(num, den)]
     some, enough = (F.col("p") > 0) & (F.col("seen") >= min_support), F.col("seen") - F.col("_rows") >= min_support
     flags = curve.join(most, keys).select(
-        *keys, "score", "_p", "_rows", (F.col("seen") >= min_support).alias("_late"), enough.cast("long").alias("_enough"),
+        *keys, "score", F.struct("p", "n", "tp", "seen").alias("_curve"), "_p", "_rows", (F.col("seen") >= min_support).alias("_late"), enough.cast("long").alias("_enough"),
         *[(some & (g >= F.col("_p") * int(min(d - m, 0)) - F.col("_neg") * int(m))).alias(f"_open{i}") for i, (g, m, d) in enumerate(zip(gain, num, den))],
         *[(some & enough & (g >= F.col("_p") * int(max(d - m, 0)))).cast("long").alias(f"_held{i}") for i, (g, m, d) in enumerate(zip(gain, num, den))])
     below = running_totals(flags, keys, "score", {"_c": "_enough", **{f"_c{i}": f"_held{i}" for i in at}}, descending=False)
-    asked = F.col("_late") & (F.col("total__c") - F.col("_c") <= F.col("_rows"))  # the first point with enough rows
-    for i in at:
-        asked = asked | (F.col(f"_open{i}") & (F.col(f"_c{i}") - F.col(f"_held{i}") <= F.col("_p")))
-    placed = running_totals(below.select(*keys, "score", asked.cast("long").alias("_asked")), keys, "score", {"_down": "_asked"}, descending=False)
-    places = cut(placed.where("_down > 0").select(*keys, "score", ((F.col("total__down") - F.col("_down")) * 2 + F.col("_asked")).alias("place")))
-    near = ties.join(_apart(places), [*keys, "score"]).groupBy(*keys, "fold", "place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    like = near.groupBy(*keys, "fold").agg(F.array_sort(F.collect_list(F.struct("place", "p", "n"))).alias("like"))
+    asked = [F.col(f"_open{i}") & (F.col(f"_c{i}") - F.col(f"_held{i}") <= F.col("_p")) for i in at]
+    asked.append(F.col("_late") & (F.col("total__c") - F.col("_c") <= F.col("_rows")))  # the first point with enough rows
+    marked = below.select(*keys, "score", "_curve", F.array(*asked).alias("asked")).withColumn("_any", F.array_contains("asked", True).cast("long"))
+    placed = running_totals(marked, keys, "score", {"_down": "_any"}, descending=False)
+    places = cut(placed.where("_down > 0").select(*keys, "score", "_curve.*", "asked", ((F.col("total__down") - F.col("_down")) * 2 + F.col("_any")).alias("place")))
+    points = places.where("place % 2 = 1")
+    near = ties.join(_apart(places.select(*keys, "score", "place")), [*keys, "score"]).groupBy(*keys, "fold", "place").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     base = curve.select(*keys).distinct().withColumn("_one", F.lit(1)).join(folds.select("fold").withColumn("_one", F.lit(1)), "_one").drop("_one")  # the result has a row for each
-    return base.join(like, [*keys, "fold"], "left").join(_apart(sizes.drop("_n")), [*keys, "fold"], "left").withColumn(
-        "like", F.coalesce("like", F.array().cast(like.schema["like"].dataType))).fillna(0, ["own"])
+    said = F.struct("place", "p", "n")
+    zero = F.lit(0).cast("long")
+    rows = near.select(*keys, "fold", zero.alias("own"), said.alias("said")).unionByName(_apart(sizes).select(*keys, "fold", "own", F.lit(None).cast(near.select(said.alias("x")).schema["x"].dataType).alias("said"))).unionByName(
+        base.select(*keys, "fold", zero.alias("own"), F.lit(None).cast(near.select(said.alias("x")).schema["x"].dataType).alias("said")))
+    return rows.groupBy(*keys, "fold").agg(F.sum("own").alias("own"), F.array_sort(F.collect_list("said")).alias("like")), points
+
+
+def _close_thetas(like: pd.DataFrame, points: pd.DataFrame, floors, min_support: int) -> np.ndarray:
+    """(folds, floors) thetas, NaN where no point holds. ``like``: lists place, p and n of each fold's rows."""
+    num, den = _exact(floors)
+    points = points.sort_values("place")
+    score, p, n, tp, seen = (points[c].to_numpy() for c in ("score", "p", "n", "tp", "seen"))
+    asked = np.array(points["asked"].tolist(), bool).reshape(len(points), len(num) + 1)
+    out = np.full((len(like), len(num)), np.nan)
+    step = max(1, TABLE // max(len(score), 1))
+    for lo in range(0, len(like) if len(score) else 0, step):
+        part = like.iloc[lo:lo + step]
+        row = np.repeat(np.arange(len(part)), part["place"].map(len))
+        place, own_p, own_n = (np.concatenate(part[c].to_numpy()).astype(np.int64) for c in ("place", "p", "n"))
+        op, on, here_p, here_n = (np.zeros((len(part), len(score)), np.int64) for _ in range(4))
+        np.add.at(op, (row, place // 2), own_p)
+        np.add.at(on, (row, place // 2), own_n)
+        odd = place % 2 == 1  # rows at the point, and not between it and the one above
+        here_p[row[odd], place[odd] // 2], here_n[row[odd], place[odd] // 2] = own_p[odd], own_n[odd]
+        t, r = tp - np.cumsum(op, axis=1), seen - np.cumsum(on, axis=1)
+        rows = np.arange(len(part))
+        late = (r >= min_support) & (n > here_n) & asked[:, -1]
+        first, any_late = late.argmax(axis=1), late.any(axis=1)
+        for i in range(len(num)):
+            at = np.flatnonzero(asked[:, i])
+            ok = (r[:, at] >= min_support) & (p[at] > here_p[:, at]) & (den[i] * t[:, at] >= num[i] * r[:, at])
+            some = ok.any(axis=1) if len(at) else np.zeros(len(part), bool)
+            out[lo + rows[some], i] = score[at[ok.shape[1] - 1 - ok[some][:, ::-1].argmax(axis=1)]] if some.any() else np.nan
+            else_first = ~some & any_late & (den[i] * t[rows, first] >= num[i] * r[rows, first])
+            out[lo + rows[else_first], i] = score[first[else_first]]
+    return out
 
 
 def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds: int, floors=FLOORS, min_support: int = 10) -> DataFrame:
     """(keys, fold, n_pos, thetas): for each fold, without its rows, positives left and per floor the theta of the deepest
     point that holds it, as ``floor_thetas`` picks it on the refitted curve; null where none does.
 
-    ``ties`` has (keys, fold, score, p, n), ``folds`` each fold once. Cells hold the bins of one key, or the scores of one
-    bin, and a bounded number of folds."""
-    num, den = _exact(floors)
+    ``ties`` has (keys, fold, score, p, n), ``folds`` each fold once. One fold of those alike is held against the points that
+    may be its answer, or refitted where these are many."""
     curve = running_totals(ties.groupBy(*keys, score_bin(F.col("score")).alias("bin"), "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), keys, "score", {"tp": "p", "seen": "n"})
     curve = cut(curve.select(*keys, "bin", "score", "p", "n", "tp", "seen"))
-    every_fold = cut(_alike_folds(ties, curve, keys, folds, floors, min_support))
+    every_fold, points = _alike_folds(ties, curve, keys, folds, floors, min_support)
+    every_fold = cut(every_fold)
     asked_for = cut(every_fold.groupBy(*keys, "like").agg(F.min("fold").alias("fold")))
-    base = asked_for.select(*keys, "fold")
-    fewer = base.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-min(n_folds, fewer) // FOLD_BLOCK))
+    sizes = asked_for.groupBy(*keys).agg(F.count(F.lit(1)).alias("_folds")).join(_apart(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))), keys, "left").withColumn("_wide", F.coalesce(F.col("_points") > CLOSE, F.lit(False)))
+    sizes = cut(sizes.drop("_points"))  # a row per key
+    most = {r["_wide"]: r["most"] for r in sizes.groupBy("_wide").agg(F.max("_folds").alias("most")).collect()}
+    fold_kind = dict(ties.dtypes)["fold"]
+    kinds = ", ".join(f"`{k}` {t}" for k, t in ties.select(*keys).dtypes)
+    blocks = max(1, -(-most.get(False, 0) // FOLD_BLOCK))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    close = asked_for.join(sizes.where("not _wide").select(*keys), keys, "left_semi").select(
+        *keys, "fold", *[F.col("like")[c].alias(c) for c in ("place", "p", "n")], F.pmod(F.xxhash64("fold"), F.lit(blocks)).cast("int").alias("block"))
+
+    def look(left, right):
+        if not len(left):
+            return pd.DataFrame(columns=[*keys, "fold", "thetas"])
+        return left[[*keys, "fold"]].assign(thetas=list(_close_thetas(left, right, floors, min_support)))
+
+    found = close.groupBy(*keys, "block").cogroup(_apart(points.select("*", every)).groupBy(*keys, "block")).applyInPandas(look, f"{kinds}, fold {fold_kind}, thetas array<double>")
+    found = found.select(*keys, "fold", F.transform("thetas", lambda t: F.when(~F.isnan(t), t)).alias("thetas"))
+    if True in most:
+        wide = asked_for.join(sizes.where("_wide").select(*keys), keys, "left_semi").select(*keys, "fold")
+        found = found.unionByName(_refitted(ties, curve, keys, cut(wide), most[True], floors, min_support))
+    total = curve.groupBy(*keys).agg(F.sum("p").alias("_all"))
+    found = cut(asked_for.join(found, [*keys, "fold"]).join(_apart(total), keys).select(*keys, "like", "_all", "thetas"))
+    return every_fold.join(found, [*keys, "like"]).select(*keys, "fold", (F.col("_all") - F.col("own")).alias("n_pos"), "thetas")
+
+
+def _refitted(ties: DataFrame, curve: DataFrame, keys: list[str], base: DataFrame, n_folds: int, floors, min_support: int) -> DataFrame:
+    """(keys, fold, thetas) of the folds of ``base``. Cells hold the bins of one key, or the scores of one bin, and a bounded
+    number of folds."""
+    num, den = _exact(floors)
+    blocks = max(1, -(-n_folds // FOLD_BLOCK))
     block = F.pmod(F.xxhash64("fold"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     kinds = ", ".join(f"`{k}` {t}" for k, t in ties.select(*keys).dtypes)
@@ -237,9 +301,7 @@ def held_out_thetas(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds:
     best = found.groupBy(*keys, "fold").agg(*[F.max(F.when(F.col("i") == i, F.struct("tp", "theta"))).alias(f"b{i}") for i in range(len(num))],
                                             F.max(F.when(F.col("i") == -1, F.struct("tp", "seen", "theta"))).alias("first"))
     theta = F.array(*[F.coalesce(F.col(f"b{i}.theta"), F.when(F.col("first.tp") * int(d) >= F.col("first.seen") * int(m), F.col("first.theta"))) for i, (m, d) in enumerate(zip(num, den))])
-    total = curve.groupBy(*keys).agg(F.sum("p").alias("_all"))
-    found = cut(asked_for.join(best, [*keys, "fold"], "left").join(_apart(total), keys).select(*keys, "like", "_all", theta.alias("thetas")))
-    return every_fold.join(found, [*keys, "like"]).select(*keys, "fold", (F.col("_all") - F.col("own")).alias("n_pos"), "thetas")
+    return base.join(best, [*keys, "fold"], "left").select(*keys, "fold", theta.alias("thetas"))
 
 
 def held_out_bars(ties: DataFrame, keys: list[str], folds: DataFrame, n_folds: int, spec: RuleSpec, floors=FLOORS) -> DataFrame:
